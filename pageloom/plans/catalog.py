@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from pageloom.plans import catalog_articles, catalog_urls  # noqa: F401
+from pageloom.plans import catalog_articles, catalog_discovery, catalog_tables, catalog_urls  # noqa: F401
 from pageloom.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
