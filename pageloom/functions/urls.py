@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import fixed_values as V
@@ -108,16 +108,6 @@ def strip_trailing_slashes(url: Column | str) -> Column:
     return F.regexp_replace(_col(url), r"/+$", "")
 
 
-def _after(marker: str, text: Column) -> Column:
-    """Text behind the first ``marker``; empty when there is none."""
-    at = F.locate(marker, text)
-    return F.when(at > 0, F.substring(text, at + 1, F.length(text))).otherwise("")
-
-
-def _before(marker: str, text: Column) -> Column:
-    return F.substring_index(text, marker, 1)
-
-
 def _fold_dots(segments: Column) -> Column:
     """Resolve ``.`` and ``..`` in an array of path segments."""
     last = F.element_at(segments, -1)
@@ -133,53 +123,69 @@ def _fold_dots(segments: Column) -> Column:
     return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
-def url_join(base: Column | str, href: Column | str) -> Column:
-    """Absolute url of ``href`` on the page ``base`` (absolute, ``//``, ``/``, ``?``, ``#``, relative)."""
-    b = _col(base)
-    h = F.regexp_replace(F.regexp_replace(_col(href), r"[\t\r\n]", ""), r"^[\x00-\x20]+", "")
-    b_scheme, h_scheme = scheme(b), scheme(h)
-    # "http:x" on an http page is a relative reference.
-    own = (h_scheme == b_scheme) & ~h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://")
-    foreign = (h_scheme != "") & (h_scheme != b_scheme)
-    rest = F.when(own, F.regexp_replace(h, _SCHEME, "")).otherwise(h)
-
-    h_frag, h_main = _after("#", rest), _before("#", rest)
-    h_query, h_head = _after("?", h_main), _before("?", h_main)
-    h_path = F.regexp_extract(h_head, _PATH, 1)
-    h_host = netloc(h_head)
-    b_main = _before("#", b)
-    b_query = _after("?", b_main)
-    b_path = F.regexp_extract(b_main, _PATH, 1)
-    root = F.concat(b_scheme, F.lit("://"), netloc(b))
-
-    def suffix(query: Column) -> Column:
-        return F.concat(
-            F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
-            F.when(h_frag != "", F.concat(F.lit("#"), h_frag)).otherwise(""),
-        )
+_PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+_PART_NAMES = ("scheme", "host", "path", "query", "fragment")
+
+
+def _parts(url: Column) -> dict[str, Column]:
+    found = {name: F.regexp_extract(url, _PARTS, i) for i, name in enumerate(_PART_NAMES, 1)}
+    return {**found, "scheme": F.lower(found["scheme"])}
+
+
+def _trimmed(href: Column) -> Column:
+    return F.regexp_replace(href, r"^[\x00-\x20]+|[\t\r\n]", "")
+
+
+def _joined(base: Column, href: Column, b: dict[str, Column], h: dict[str, Column]) -> Column:
+    """Join out of the parts of both urls."""
+    root = F.concat(b["scheme"], F.lit("://"), b["host"])
+    host_root = F.concat(b["scheme"], F.lit("://"), h["host"])
+    fragment = F.when(h["fragment"] != "", F.concat(F.lit("#"), h["fragment"])).otherwise("")
 
-    rooted = h_path.startswith("/")
-    base_parts = F.split(b_path, "/")
-    base_dir = F.when(F.element_at(base_parts, -1) == "", base_parts).otherwise(
+    def query(text: Column) -> Column:
+        return F.when(text != "", F.concat(F.lit("?"), text)).otherwise("")
+
+    base_parts = F.split(b["path"], "/")
+    base_dir = F.when(b["path"].endswith("/") | (b["path"] == ""), base_parts).otherwise(
         F.slice(base_parts, 1, F.size(base_parts) - 1)
     )
-    merged = F.concat(base_dir, F.split(h_path, "/"))
+    merged = F.concat(base_dir, F.split(h["path"], "/"))
     inner = F.filter(F.slice(merged, 2, F.greatest(F.size(merged) - 2, F.lit(0))), lambda s: s != "")
     relative = F.concat(F.slice(merged, 1, 1), inner, F.slice(merged, -1, 1))
-    plain = rooted & ~h_path.contains("/.")
-    has_host = h_head.startswith("//") | h_head.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://")
-
-    host_path = F.when((h_path == "") | h_path.startswith("/"), h_path).otherwise(F.concat(F.lit("/"), h_path))
+    rooted = h["path"].startswith("/")
+    plain = rooted & ~h["path"].contains("/.")
+    path = (
+        F.when((h["host"] != "") | plain, h["path"])
+        .when(h["path"] == "", b["path"])
+        .otherwise(_fold_dots(F.when(rooted, F.split(h["path"], "/")).otherwise(relative)))
+    )
+    kept_query = F.when((h["host"] == "") & (h["path"] == "") & (h["query"] == ""), b["query"]).otherwise(h["query"])
     return (
-        F.when(b == "", h)
-        .when(h == "", b)
-        .when(foreign, h)
-        .when(has_host & (h_host != ""), F.concat(b_scheme, F.lit("://"), h_host, host_path, suffix(h_query)))
-        .when(
-            h_path == "",
-            F.concat(root, b_path, suffix(F.when(h_query != "", h_query).otherwise(b_query))),
-        )
-        .when(plain, F.concat(root, h_path, suffix(h_query)))
-        .when(rooted, F.concat(root, _fold_dots(F.split(h_path, "/")), suffix(h_query)))
-        .otherwise(F.concat(root, _fold_dots(relative), suffix(h_query)))
+        F.when(base == "", href)
+        .when(href == "", base)
+        .when((h["scheme"] != "") & (h["scheme"] != b["scheme"]), href)
+        .otherwise(F.concat(F.when(h["host"] != "", host_root).otherwise(root), path, query(kept_query), fragment))
+    )
+
+
+def url_join(base: Column | str, href: Column | str) -> Column:
+    """Absolute url of ``href`` on the page ``base`` (absolute, ``//``, ``/``, ``?``, ``#``, relative)."""
+    b, h = _col(base), _trimmed(_col(href))
+    return _joined(b, h, _parts(b), _parts(h))
+
+
+def with_joined_url(df: DataFrame, base: str, href: str, out: str) -> DataFrame:
+    """Add ``url_join(base, href)``, taking both urls apart once per row.
+
+    The result comes out of a generator, so that filters on it are evaluated on the finished url
+    instead of repeating the expression for each of their terms.
+    """
+    names = df.columns
+    split = df.withColumn("_href", _trimmed(F.col(href))).select(
+        *names, "_href",
+        *[c.alias(f"_b_{n}") for n, c in _parts(F.col(base)).items()],
+        *[c.alias(f"_h_{n}") for n, c in _parts(F.col("_href")).items()],
     )
+    b = {n: F.col(f"_b_{n}") for n in _PART_NAMES}
+    h = {n: F.col(f"_h_{n}") for n in _PART_NAMES}
+    return split.select(*names, F.explode(F.array(_joined(F.col(base), F.col("_href"), b, h))).alias(out))

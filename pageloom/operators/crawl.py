@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.urls import classify_link, is_internal, is_useful, path
 from pageloom.operators.skew import per_key_limit
-from pageloom.session import ensure_checkpoint_dir
+from pageloom.session import materialize
 
 
 def crawl_frontier(
@@ -18,27 +18,25 @@ def crawl_frontier(
     ``seeds``: (seed) base urls. ``edges``: (src_url, pos, dst_url). Internal, useful links count;
     index links are followed, articles collected, the rest dropped. A page is placed by the link
     positions on the way to it, so comparing those arrays within a level is comparing queue order.
-    Each level is one join on the page url; the frontier and the visited set are checkpointed, and
+    Each level is one join on the page url; frontier and links are written to the checkpoint folder, and
     a seed that has its articles is not followed further. Edges that come out of page texts are
     written once and read per level; ``stored_edges`` says they are a table already.
     """
-    ensure_checkpoint_dir(seeds.sparkSession)
     links = edges.filter(is_useful("dst_url")).select(
         "src_url", "pos", "dst_url", classify_link(path("dst_url")).alias("kind")
     ).filter("kind <> 'unknown'")
     if not stored_edges:
-        links = links.checkpoint()
-    frontier = seeds.select("seed", F.col("seed").alias("url"), F.array().cast("array<int>").alias("way")).distinct()
+        links = materialize(links)
+    frontier = seeds.filter("seed is not null").select("seed", F.col("seed").alias("url"), F.array().cast("array<int>").alias("way")).distinct()
     visited = frontier.select("seed", "url")
     found: DataFrame | None = None
     for level in range(depth + 1):
-        stepped = (
+        stepped = materialize(
             frontier.join(links, frontier["url"] == links["src_url"])
             .filter(is_internal("dst_url", "seed"))
             .groupBy("seed", "dst_url", "kind")
             .agg(F.min(F.concat("way", F.array(F.col("pos").cast("int")))).alias("way"))
             .select("seed", F.col("dst_url").alias("url"), "kind", "way")
-            .checkpoint()
         )
         articles = stepped.filter("kind = 'article'").select(
             "seed", "url", F.struct(F.lit(level).alias("depth"), "way").alias("at")
@@ -49,11 +47,10 @@ def crawl_frontier(
         if level == depth:
             break
         full = found.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= max_articles)
-        frontier = (
+        frontier = materialize(
             stepped.filter("kind = 'index'").select("seed", "url", "way")
             .join(visited, ["seed", "url"], "left_anti")
             .join(full, "seed", "left_anti")
-            .checkpoint()
         )
         if frontier.isEmpty():
             break

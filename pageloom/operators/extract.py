@@ -30,16 +30,27 @@ def _group(text: Column, pattern: str) -> Column:
     return non_empty(F.regexp_extract(text, pattern, 1))
 
 
-def _meta(head: Column, *names: str) -> Column:
-    """Content of the first ``<meta>`` with one of the names, whichever attribute comes first."""
-    found = []
-    for name in names:
-        key = rf"""(?:name|property|itemprop)\s*=\s*["']{re.escape(name)}["']"""
-        for quote in ('"', "'"):
-            value = rf"content\s*=\s*{quote}([^{quote}]*){quote}"
-            found.append(_group(head, rf"(?is)<meta\b[^>]*\b{key}[^>]*\b{value}"))
-            found.append(_group(head, rf"(?is)<meta\b[^>]*\b{value}[^>]*\b{key}"))
-    return non_empty(strip(unescape_common(F.coalesce(*found))))
+def _metas(head: Column) -> Column:
+    """The ``<meta>`` tags as an array of (name, content)."""
+    tags = F.regexp_extract_all(head, F.lit(r"(?is)<meta\b[^>]*>"), 0)
+
+    def pair(tag: Column) -> Column:
+        name = F.regexp_extract(tag, r"""(?is)\b(?:name|property|itemprop)\s*=\s*["']([^"']*)["']""", 1)
+        content = r"""(?is)\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+        value = F.concat(F.regexp_extract(tag, content, 1), F.regexp_extract(tag, content, 2))
+        return F.struct(F.lower(name).alias("name"), strip(unescape_common(value)).alias("content"))
+
+    return F.transform(tags, pair)
+
+
+def _meta(metas: Column, *names: str) -> Column:
+    """Content of the first filled ``<meta>`` of the first name that has one."""
+
+    def named(name: str) -> Column:
+        hits = F.filter(metas, lambda m: (m["name"] == name.lower()) & (m["content"] != ""))
+        return F.get(hits, F.lit(0))["content"]
+
+    return F.coalesce(*[named(n) for n in names])
 
 
 _NESTABLE = re.compile(
@@ -127,21 +138,21 @@ def extract_articles(pages: DataFrame, python_helpers: bool = True) -> DataFrame
     head = F.coalesce(non_empty(F.regexp_extract(page, r"(?is)<head\b.*?</head\s*>", 0)), page)
     heading = tidy(unescape_common(F.regexp_replace(
         F.regexp_extract(page, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1), TAG, "")))
-    with_text = marked.withColumn("clean_text", non_empty(tidy(decoded))).withColumn("_head", head)
-    head, text = F.col("_head"), F.col("clean_text")
+    with_text = marked.withColumn("clean_text", non_empty(tidy(decoded))).withColumn("_metas", _metas(head))
+    metas, text = F.col("_metas"), F.col("clean_text")
     found = text.isNotNull()
     published = F.coalesce(
-        _meta(head, "article:published_time", "datePublished", "date"),
+        _meta(metas, "article:published_time", "datePublished", "date"),
         _group(page, r"""(?is)<time\b[^>]*\bdatetime\s*=\s*["']([^"']*)["']"""),
     )
     return with_text.select(
         *pages.columns,
         title_fallback(
-            F.when(found, F.coalesce(_meta(head, "og:title"), non_empty(heading))), page
+            F.when(found, F.coalesce(_meta(metas, "og:title"), non_empty(heading))), page
         ).alias("title"),
-        F.when(found, _meta(head, "author", "article:author")).alias("author"),
+        F.when(found, _meta(metas, "author", "article:author")).alias("author"),
         F.when(found, published).alias("published_date"),
-        F.when(found, _meta(head, "og:image")).alias("main_image"),
+        F.when(found, _meta(metas, "og:image")).alias("main_image"),
         "clean_text",
-        F.when(found, summary_fallback(_meta(head, "description", "og:description"), text)).alias("summary"),
+        F.when(found, summary_fallback(_meta(metas, "description", "og:description"), text)).alias("summary"),
     )

@@ -5,9 +5,10 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(app: str = "pageloom", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -59,3 +60,15 @@ def ship_package(spark: SparkSession) -> None:
     target = os.path.join(tempfile.mkdtemp(prefix="pageloom-"), "pageloom")
     sc.addPyFile(shutil.make_archive(target, "zip", root.parent, root.name))
     sc._pageloom_shipped = True
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared checkpoint folder and read it back.
+
+    This cuts the lineage like ``checkpoint()`` but computes the rows once, keeps them columnar and
+    gives the planner their real size.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/pageloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

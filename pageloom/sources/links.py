@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import unescape_common
-from pageloom.functions.urls import url_join
+from pageloom.functions.urls import with_joined_url
 
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 _HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
@@ -27,4 +27,4 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """The link graph: page url, position, absolute target url."""
-    return extract_links(pages).select("src_url", "pos", url_join("src_url", "href").alias("dst_url"))
+    return with_joined_url(extract_links(pages), "src_url", "href", "dst_url").drop("href")
