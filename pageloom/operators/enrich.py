@@ -118,6 +118,27 @@ _NOT_LETTERS = r"[^\p{L}]+"
 _ALARM = r"[!?]|[0-9]+"
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used in inner functions."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _run_starts(words: Column) -> Column:
+    """Places, from 1, at which a new word begins in a sorted array."""
+    places = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.array().cast("array<int>"))
+    return F.filter(places, lambda i: ~F.get(words, i - 1).eqNullSafe(F.get(words, i - 2)))
+
+
+def _most_frequent(words: Column, starts: Column) -> Column:
+    counted = F.transform(
+        starts,
+        lambda at, i: F.struct(
+            (at - F.coalesce(F.get(starts, i + 1), F.size(words) + 1)).alias("minus_count"), F.get(words, at - 1).alias("word")
+        ),
+    )
+    return F.transform(F.slice(F.array_sort(counted), 1, TAGS), lambda x: x["word"])
+
+
 def default_analysis(text: Column) -> Column:
     """Rule-based analysis of the head of a text, in built-in functions.
 
@@ -126,13 +147,7 @@ def default_analysis(text: Column) -> Column:
     """
     head = truncate(text, V.ANALYSIS_CHARS)
     words = F.array_sort(F.filter(F.split(F.lower(head), _NOT_LETTERS), lambda w: F.length(w) >= TAG_CHARS))
-    places = F.transform(F.array_distinct(words), lambda w: F.array_position(words, w))
-    ends = F.concat(F.slice(places, 2, F.greatest(F.size(places), F.lit(1))), F.array((F.size(words) + 1).cast("bigint")))
-    counted = F.zip_with(
-        places, F.when(F.size(places) > 0, ends).otherwise(places),
-        lambda a, b: F.struct((a - b).alias("n"), F.element_at(words, a.cast("int")).alias("w")),
-    )
-    tags = F.transform(F.slice(F.array_sort(counted), 1, TAGS), lambda x: x["w"])
+    tags = _bound(words, lambda ws: _bound(_run_starts(ws), lambda starts: _most_frequent(ws, starts)))
     low = F.lower(head)
     category = F.lit(None).cast("string")
     for name, keys in CATEGORY_WORDS.items():
