@@ -147,7 +147,7 @@ def _stored(spark, folder):
     none = [F.lit(None).cast(t).alias(n) for n, t in (
         ("source_id", "bigint"), ("author", "string"), ("published_date", "string"), ("summary", "string"),
         ("main_image", "string"), ("clean_text", "string"), ("content", "string"), ("ai_error_log", "string"))]
-    return D.pages(spark, folder).filter("page_id % 3 = 0").select(
+    return D.page_urls(spark, folder).filter("page_id % 3 = 0").select(
         F.col("page_id").alias("id"), "url", F.lit("old title").alias("title"), F.lit("completed").alias("ai_status"),
         now().alias("created_at"), *none)
 
@@ -184,7 +184,7 @@ def discover_urls(spark, folder):
     sites = D.site_seeds(spark, folder).select(F.xxhash64("seed").alias("id"), netloc("seed").alias("domain"))
     rows = registered.unionByName(sites, allowMissingColumns=True)
     sitemaps = D.sitemap_names(spark, folder).filter(F.md5("host") < "4")
-    stored = link_edges(D.pages(spark, folder)).select(F.col("src_url").alias("url"))
+    stored = D.page_urls(spark, folder).select("url")
     return C.discover_urls(
         rows, sitemaps, D.sitemap_docs(spark, folder), link_edges(D.site_pages(spark, folder)), stored, now(), limit=7).urls
 
@@ -193,7 +193,7 @@ def discover_urls(spark, folder):
           JOIN (SELECT page_id AS id, url, 2 + page_id % 3 AS n FROM pages WHERE page_id % 2 = 0) j ON j.url = f.feed_url
           WHERE f.pos < j.n AND f.url NOT IN (SELECT url FROM page_links WHERE page_id % 10 = 1)""", "feed_items", "page_links")
 def poll_feeds(spark, folder):
-    feed_jobs = D.pages(spark, folder).filter("page_id % 2 = 0").select(
+    feed_jobs = D.page_urls(spark, folder).filter("page_id % 2 = 0").select(
         F.col("page_id").alias("id"), "url", F.lit("rss").alias("job_type"), (F.col("page_id") % 3 + 2).cast("int").alias("items_limit"))
     stored = link_edges(D.pages(spark, folder).filter("page_id % 10 = 1")).select(
         F.regexp_replace("dst_url", "^http:", "https:").alias("url"))

@@ -53,7 +53,7 @@ def flatten_summary(spark, folder):
 @query()
 def embed_documents(spark, folder):
     """Default model over whole documents' heads; its vectors are checked in the tests."""
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = D.documents(spark, folder).select("doc_id", "text")
     vectors = E.embed_documents(docs, "text", dim=64)
     return vectors.select("doc_id", F.size("embedding").alias("dims"))
 
@@ -74,7 +74,7 @@ _ANALYSIS = f"""
 
 @query(_ANALYSIS)
 def analyze_documents(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = D.documents(spark, folder).select("doc_id", "text")
     return E.analyze_documents(docs, "text").select(
         "doc_id", "analysis.summary", F.array_join("analysis.tags", ", ").alias("tags"), "analysis.category", "analysis.urgency")
 
@@ -86,7 +86,7 @@ def analyze_documents(spark, folder):
            FROM d JOIN documents x ON x.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id""")
 def enrich_articles(spark, folder):
     cols = ["id", "clean_text", "summary", "embedding", "ai_status", "ai_error_log", "ai_tags", "ai_category", "ai_urgency"]
-    done = C.enrich_articles(D.articles(spark, folder, cols), dim=64)
+    done = C.enrich_articles(D.articles(spark, folder, cols, spread=True), dim=64)
     return done.select("id", "ai_status", "ai_category", "ai_urgency", F.array_join("ai_tags", ", ").alias("tags"))
 
 

@@ -54,7 +54,7 @@ def upsert_articles(spark, folder):
            FROM (SELECT {O.netloc('url')} AS d, min(url) AS u FROM pages GROUP BY 1) WHERE d NOT IN (SELECT domain FROM half_sources)""",
        "half_sources")
 def register_sources(spark, folder):
-    return M.register_sources(D.sources(spark, folder, "8"), D.pages(spark, folder).select("url"), now())
+    return M.register_sources(D.sources(spark, folder, "8"), D.page_urls(spark, folder).select("url"), now())
 
 
 _LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END"
@@ -113,7 +113,7 @@ _CREATED = f"""
 
 
 def _created(spark, folder):
-    asked = D.pages(spark, folder).select(
+    asked = D.page_urls(spark, folder).select(
         F.expr(_REQUEST).alias("url"), F.expr("case when page_id % 4 = 0 then concat('named ', page_id) end").alias("name"),
         F.expr("case when page_id % 5 = 1 then true end").alias("force_single"))
     return M.create_jobs(asked, now())
@@ -213,20 +213,20 @@ def adjust_interval(spark, folder):
 @query("SELECT j.id, j.url, s.id AS source_id FROM (SELECT page_id AS id, url FROM pages) j "
        f"LEFT JOIN half_sources s ON s.domain = {O.netloc('j.url')}", "half_sources")
 def job_source_join(spark, folder):
-    made = D.pages(spark, folder).select(F.col("page_id").alias("id"), "url")
+    made = D.page_urls(spark, folder).select(F.col("page_id").alias("id"), "url")
     return J.resolve_jobs(made, D.sources(spark, folder, "8")).select("id", "url", "source_id")
 
 
 @query(f"SELECT p.page_id, p.url, s.id AS source_id FROM pages p LEFT JOIN half_sources s ON s.domain = {O.netloc('p.url')}",
        "half_sources")
 def article_source_join(spark, folder):
-    return A.with_source(D.pages(spark, folder).select("page_id", "url"), D.sources(spark, folder, "8"))
+    return A.with_source(D.page_urls(spark, folder).select("page_id", "url"), D.sources(spark, folder, "8"))
 
 
 @query(f"SELECT p.page_id, p.url, s.id AS source_id, s.domain FROM pages p JOIN half_sources s ON s.domain = {O.netloc('p.url')}",
        "half_sources")
 def source_articles(spark, folder):
-    return A.source_articles(D.sources(spark, folder, "8"), D.pages(spark, folder).select("page_id", "url"))
+    return A.source_articles(D.sources(spark, folder, "8"), D.page_urls(spark, folder).select("page_id", "url"))
 
 
 @query("SELECT 'https://' || source || '.example.com/' || lang || '/' || (doc_id + 100) AS url FROM documents EXCEPT SELECT url FROM articles",

@@ -84,17 +84,17 @@ def scan_search_results(spark, folder):
 
 @query("SELECT url, allowed FROM robots_allowed", "robots_allowed")
 def robots_join(spark, folder):
-    return robots(D.pages(spark, folder).select("url"), D.robots_files(spark, folder))
+    return robots(D.page_urls(spark, folder).select("url"), D.robots_files(spark, folder))
 
 
 @query("SELECT url FROM robots_allowed WHERE allowed", "robots_allowed")
 def allowed_urls(spark, folder):
-    return allowed(D.pages(spark, folder).select("url"), D.robots_files(spark, folder))
+    return allowed(D.page_urls(spark, folder).select("url"), D.robots_files(spark, folder))
 
 
 @query(f"SELECT page_id, url, {O.useful('url')} AS useful FROM pages")
 def useful_links(spark, folder):
-    return D.pages(spark, folder).select("page_id", "url", U.is_useful("url").alias("useful"))
+    return D.page_urls(spark, folder).select("page_id", "url", U.is_useful("url").alias("useful"))
 
 
 # Targets of each page: its links, the same on its host without www., and one link to another host.
@@ -121,7 +121,7 @@ def internal_links(spark, folder):
 @query(f"SELECT page_id, lower(regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1)) AS scheme, {O.netloc('url')} AS netloc, "
        f"{O.path('url')} AS path FROM pages")
 def url_parts(spark, folder):
-    return D.pages(spark, folder).select(
+    return D.page_urls(spark, folder).select(
         "page_id", U.scheme("url").alias("scheme"), U.netloc("url").alias("netloc"), U.path("url").alias("path")
     )
 
@@ -142,7 +142,7 @@ _JOINED = f"""
 @query(_JOINED)
 def url_join(spark, folder):
     forms = F.array(*[F.expr(f.replace("||", "||")) for f in _FORMS])
-    rows = D.pages(spark, folder).select("page_id", "url", F.posexplode(forms).alias("f", "href"))
+    rows = D.page_urls(spark, folder).select("page_id", "url", F.posexplode(forms).alias("f", "href"))
     return rows.select("page_id", F.col("f").cast("long").alias("f"), U.url_join("url", "href").alias("joined"))
 
 
@@ -150,7 +150,7 @@ def url_join(spark, folder):
 def url_join_dots(spark, folder):
     """Dot segments; checked against the standard library in the tests."""
     forms = F.array(*[F.lit(h) for h in ("../up", "./here", "a/../b", "/x/./y/../z", "../../..", ".")])
-    rows = D.pages(spark, folder).select("page_id", "url", F.posexplode(forms).alias("f", "href"))
+    rows = D.page_urls(spark, folder).select("page_id", "url", F.posexplode(forms).alias("f", "href"))
     return rows.select("page_id", "f", "href", U.url_join("url", "href").alias("joined"))
 
 
@@ -163,7 +163,7 @@ def normalize_source(spark, folder):
     from pageloom.operators.skew import lookup_join
 
     raw = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(U.netloc("url"), F.lit("/")))
-    given = D.pages(spark, folder).select("page_id", raw.alias("raw")).withColumn("asked", U.with_scheme("raw"))
+    given = D.page_urls(spark, folder).select("page_id", raw.alias("raw")).withColumn("asked", U.with_scheme("raw"))
     redirects = D.hosts(spark, folder).filter(F.md5("host") < "8").select(
         F.concat(F.lit("https://"), F.col("host"), F.lit("/")).alias("asked"),
         F.concat(F.lit("https://www."), F.col("host"), F.lit("//")).alias("final_url"),
@@ -180,7 +180,7 @@ _CASES = """CASE page_id % 6 WHEN 0 THEN '/2024/01' || p WHEN 1 THEN '/news' ||
 @query(f"SELECT page_id, path, {O.classify('path')} AS kind FROM (SELECT page_id, {_CASES} AS path FROM "
        f"(SELECT page_id, {O.path('url')} AS p FROM pages))")
 def classify_link(spark, folder):
-    rows = D.pages(spark, folder).select("page_id", U.path("url").alias("p")).select("page_id", F.expr(_CASES).alias("path"))
+    rows = D.page_urls(spark, folder).select("page_id", U.path("url").alias("p")).select("page_id", F.expr(_CASES).alias("path"))
     return rows.select("page_id", "path", U.classify_link("path").alias("kind"))
 
 
@@ -189,7 +189,7 @@ _SCORED = "url || CASE page_id % 5 WHEN 0 THEN '/sitemap-news.xml' WHEN 1 THEN '
 
 @query(f"SELECT page_id, CAST({O.score('u')} AS INTEGER) AS score FROM (SELECT page_id, {_SCORED} AS u FROM pages)")
 def score_sitemap(spark, folder):
-    return D.pages(spark, folder).select("page_id", F.expr(_SCORED).alias("u")).select(
+    return D.page_urls(spark, folder).select("page_id", F.expr(_SCORED).alias("u")).select(
         "page_id", U.score_sitemap("u").alias("score")
     )
 
@@ -212,7 +212,7 @@ _TYPED = "CASE page_id % 4 WHEN 0 THEN ' ' || url || '/FEED ' WHEN 1 THEN url ||
              AS interval_seconds, CASE kind WHEN 'rss' THEN 'RSS Feed' WHEN 'single' THEN 'Single Article' ELSE 'Site Discovery' END
              AS label FROM (SELECT page_id, {O.source_type('u')} AS kind FROM (SELECT page_id, {_TYPED} AS u FROM pages))""")
 def detect_source_type(spark, folder):
-    return D.pages(spark, folder).select("page_id", F.expr(_TYPED).alias("u")).select(
+    return D.page_urls(spark, folder).select("page_id", F.expr(_TYPED).alias("u")).select(
         "page_id", U.detect_source_type("u").alias("k")
     ).select("page_id", "k.*")
 
@@ -220,7 +220,7 @@ def detect_source_type(spark, folder):
 @query(f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'mine' ELSE 'Site Discovery: ' || {O.netloc('url')} END AS name FROM pages")
 def default_job_name(spark, folder):
     given = F.when(F.col("page_id") % 3 == 0, "mine").when(F.col("page_id") % 3 == 1, "")
-    return D.pages(spark, folder).select(
+    return D.page_urls(spark, folder).select(
         "page_id", U.job_name(given, F.lit("Site Discovery"), F.col("url")).alias("name")
     )
 

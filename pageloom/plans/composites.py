@@ -1,4 +1,4 @@
-"""Whole jobs, chained from the operators. Each takes and returns DataFrames; nothing runs until a sink."""
+"""Whole jobs, chained from the operators. Each takes and returns DataFrames."""
 
 from __future__ import annotations
 
@@ -24,6 +24,7 @@ from pageloom.operators.enrich import Analyzer, Embedder, analysis, embedding
 from pageloom.operators.extract import extract_articles
 from pageloom.operators.memory import knn_join
 from pageloom.operators.robots_join import robots_join
+from pageloom.session import materialize
 from pageloom.sources.feeds import feed_items, sitemap_links
 from pageloom.sources.tables import fetched_pages
 
@@ -81,10 +82,14 @@ def read_articles(pages: DataFrame, sources: DataFrame, ts: Column) -> DataFrame
 def ingest_pages(
     pages: DataFrame, robots_files: DataFrame, articles: DataFrame, sources: DataFrame, ts: Column, seq: str = "page_id"
 ) -> Ingested:
-    """Register sources, apply robots, extract, merge into the article table, and log every page."""
-    registered = M.register_sources(sources, pages.select("url"), ts)
+    """Register sources, apply robots, extract, merge into the article table, and log every page.
+
+    The merge uses the extracted rows several times, so they are written once to the checkpoint folder.
+    """
+    registered = materialize(M.register_sources(sources, pages.select("url"), ts))
     checked = readable_pages(pages.withColumn("seq", F.col(seq)), robots_files)
-    merged = M.upsert_articles(articles, read_articles(checked.filter("ok"), registered, ts), ts)
+    rows = materialize(read_articles(checked.filter("ok"), registered, ts))
+    merged = M.upsert_articles(articles, rows, ts)
     stored = articles.select("url", F.lit(True).alias("_stored"))
     told = checked.select("url", "allowed", "ok", "error").join(stored, "url", "left")
     level = F.when(~F.col("allowed"), "WARN").when(~F.col("ok"), "ERROR").otherwise("INFO")
@@ -167,7 +172,7 @@ def discover_urls(
         .select("source", "rank", F.struct("child", "pos").alias("pos"), "url")
         .join(domains, "source", "left_semi")
     )
-    from_sitemaps = L.discovery_limit(listed, limit)
+    from_sitemaps = materialize(L.discovery_limit(listed, limit))
     open_sources = domains if force else domains.join(from_sitemaps.select("source").distinct(), "source", "left_anti")
     seeds = open_sources.select(F.concat(F.lit("https://"), F.col("source")).alias("seed"))
     crawled = crawl_frontier(seeds, edges, max_articles=limit).select(netloc("seed").alias("source"), "url")

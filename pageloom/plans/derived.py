@@ -46,10 +46,12 @@ _ARTICLE = {
 _LABELLED = {"ai_status", "ai_error_log", "ai_tags", "ai_urgency"}
 
 
-def articles(spark: SparkSession, folder: str, cols: Sequence[str] | None = None) -> DataFrame:
+def articles(
+    spark: SparkSession, folder: str, cols: Sequence[str] | None = None, spread: bool = False
+) -> DataFrame:
     """The article table; only the tables behind the asked columns are read."""
     cols = list(cols or _ARTICLE)
-    df = table(spark, folder, "documents")
+    df = table(spark, folder, "documents", spread=spread)
     if _LABELLED & set(cols):
         df = df.join(table(spark, folder, "labels", ["doc_id", "toxic"]), "doc_id", "left")
     if "embedding" in cols:
@@ -59,7 +61,15 @@ def articles(spark: SparkSession, folder: str, cols: Sequence[str] | None = None
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages")
+    return table(spark, folder, "pages", spread=True)
+
+
+def page_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "pages", ["page_id", "url"])
+
+
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "documents", spread=True)
 
 
 def page_log(spark: SparkSession, folder: str) -> DataFrame:
@@ -74,7 +84,7 @@ def page_log(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hosts(spark: SparkSession, folder: str) -> DataFrame:
-    return pages(spark, folder).select(netloc("url").alias("host")).distinct()
+    return page_urls(spark, folder).select(netloc("url").alias("host")).distinct()
 
 
 def sources(spark: SparkSession, folder: str, registered: str = "~") -> DataFrame:
@@ -171,7 +181,7 @@ def search_rows(spark: SparkSession, folder: str) -> DataFrame:
     """Stored search results: page rows by two providers, one topic per language and host."""
     p = F.col("page_id")
     lang = F.regexp_extract("url", r"//[^/]+/([a-z]+)/", 1)
-    return pages(spark, folder).select(
+    return page_urls(spark, folder).select(
         F.concat(lang, F.lit(" "), netloc("url")).alias("topic"),
         F.when(p % 2 == 0, "A").otherwise("B").alias("provider"),
         (F.floor(p / 2) % 12 + 1).cast("int").alias("rank"), "url",
@@ -224,7 +234,7 @@ _MAP_NAME = (
 
 def sitemap_names(spark: SparkSession, folder: str) -> DataFrame:
     """(host, sitemap_url): one sitemap per page."""
-    return pages(spark, folder).select(netloc("url").alias("host"), F.expr(_MAP_NAME).alias("sitemap_url"))
+    return page_urls(spark, folder).select(netloc("url").alias("host"), F.expr(_MAP_NAME).alias("sitemap_url"))
 
 
 def sitemap_docs(spark: SparkSession, folder: str) -> DataFrame:
@@ -258,7 +268,7 @@ def site_pages(spark: SparkSession, folder: str) -> DataFrame:
         F.array(own, F.lit("https://elsewhere.example.org/news/1"), F.concat(own, F.lit("#top"))),
     )
     anchors = F.array_join(F.transform(hrefs_, lambda h: F.concat(F.lit('<a href="'), h, F.lit('">x</a>'))), "")
-    return pages(spark, folder).select(
+    return page_urls(spark, folder).select(
         F.when(i == 0, root).otherwise(F.concat(root, own)).alias("url"),
         F.concat(F.lit("<html><body>"), anchors, F.lit("</body></html>")).alias("html"),
     )
@@ -266,7 +276,7 @@ def site_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def site_seeds(spark: SparkSession, folder: str) -> DataFrame:
     root = F.concat(F.lit("https://site"), (F.col("page_id") % 8).cast("string"), F.lit(".example.com"))
-    return pages(spark, folder).select(root.alias("seed")).distinct()
+    return page_urls(spark, folder).select(root.alias("seed")).distinct()
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:

@@ -71,15 +71,12 @@ def sitemap_urls(docs: DataFrame) -> DataFrame:
 
 def sitemap_links(docs: DataFrame) -> DataFrame:
     """Page urls of each sitemap; the children of an index count as part of it, in index order."""
-    rows = sitemap_urls(docs)
-    own = rows.filter("kind = 'url'").select(
-        "sitemap_url", F.lit(-1).alias("child"), "pos", F.col("loc").alias("url")
+    index = F.col("xml").contains("<sitemapindex")
+    pages = sitemap_urls(docs.filter(~index)).filter("kind = 'url'").select(
+        F.col("sitemap_url").alias("child_url"), "pos", F.col("loc").alias("url")
     )
-    children = rows.filter("kind = 'sitemap'").select(
+    children = sitemap_urls(docs.filter(index)).filter("kind = 'sitemap'").select(
         "sitemap_url", F.col("pos").alias("child"), F.col("loc").alias("child_url")
     )
-    pages = rows.filter("kind = 'url'").select(
-        F.col("sitemap_url").alias("child_url"), "pos", F.col("loc").alias("url")
-    )
-    nested = children.join(pages, "child_url").select("sitemap_url", "child", "pos", "url")
-    return own.unionByName(nested)
+    own = pages.select(F.col("child_url").alias("sitemap_url"), F.lit(-1).alias("child"), "pos", "url")
+    return own.unionByName(children.join(pages, "child_url").select("sitemap_url", "child", "pos", "url"))

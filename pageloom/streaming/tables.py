@@ -22,6 +22,7 @@ from pageloom.operators.enrich import Analyzer, Embedder, analysis, embedding
 from pageloom.operators.mutations import last_per_url
 from pageloom.operators.skew import assign_ids
 from pageloom.plans.composites import read_articles, readable_pages
+from pageloom.session import materialize
 
 _READ = [f for f in schemas.ARTICLES.fields if f.name not in (
     "embedding", "ai_status", "ai_error_log", "ai_tags", "ai_category", "ai_urgency")]
@@ -60,7 +61,7 @@ def stream_ingest(
     def read(batch: DataFrame, batch_id: int) -> None:
         ts = F.current_timestamp().cast("timestamp_ntz")
         ok = readable_pages(batch.withColumn("seq", F.col("page_id")), robots_files).filter("ok")
-        rows = last_per_url(read_articles(ok, sources, ts), "seq").withColumn("created_at", ts)
+        rows = materialize(last_per_url(read_articles(ok, sources, ts), "seq").withColumn("created_at", ts))
         before = article_log(batch.sparkSession, folder).filter(F.col("batch_id") < batch_id)
         known = (
             before.select("url", "id", F.col("created_at").alias("_created"))
