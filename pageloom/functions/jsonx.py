@@ -13,11 +13,22 @@ def _without_fences(raw: Column) -> Column:
     return strip(bare)
 
 
+def strict_json(text: Column) -> Column:
+    """VARIANT of a text that is one JSON value and nothing else.
+
+    The parser stops behind the first value. A text that parses both as the only item of an array
+    and as the value of an object can have nothing behind its value.
+    """
+    as_item = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    as_field = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(as_field.isNotNull(), F.try_variant_get(as_item, "$[0]", "variant"))
+
+
 def clean_json(raw: Column) -> Column:
     """VARIANT of a reply that is JSON, fenced JSON, or chatter around one object; else null."""
     text = _without_fences(raw)
     span = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.coalesce(F.try_parse_json(text), F.try_parse_json(non_empty(span)))
+    return F.coalesce(strict_json(text), strict_json(non_empty(span)))
 
 
 def is_filled_object(value: Column) -> Column:

@@ -24,9 +24,7 @@ def robots_join(urls: DataFrame, files: DataFrame, agent: str = V.BOT_AGENT) ->
     target = decoded(F.regexp_extract("url", _TARGET, 1))
     target = F.when(target == "", "/").otherwise(target)
     joined = lookup_join(urls.withColumn("host", netloc("url")), policy, "host", spread="url")
-    hit = F.get(
-        F.filter("rules", lambda r: (r["prefix"] == "*") | F.col("_target").startswith(r["prefix"])), F.lit(0)
-    )
+    hit = F.get(F.filter("rules", lambda r: F.col("_target").startswith(r["prefix"])), F.lit(0))
     return (
         joined.withColumn("_target", target)
         .withColumn("allowed", F.coalesce("verdict", hit["allow"], F.lit(True)))

@@ -153,7 +153,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
               CASE WHEN regexp_replace(url, '^[a-z]+://[^/?#]*', '') = '' THEN '/'
                 ELSE regexp_replace(url, '^[a-z]+://[^/?#]*', '') END AS target FROM pages) q
           JOIN robots_choice c ON c.host = q.host JOIN robots_rules r ON r.host = c.host AND r.grp = c.grp
-          WHERE r.prefix IS NOT NULL AND (r.prefix = '*' OR starts_with(q.target, r.prefix)) GROUP BY q.url) m ON m.url = p.url"""),
+          WHERE r.prefix IS NOT NULL AND starts_with(q.target, r.prefix) GROUP BY q.url) m ON m.url = p.url"""),
     "jobs": ((), """
         SELECT user_id AS id, 'job ' || user_id AS name,
           'https://src' || (user_id % 30) || '.example.com' || CASE user_id % 3 WHEN 0 THEN '/feed' WHEN 1 THEN ''
