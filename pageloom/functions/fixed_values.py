@@ -51,3 +51,11 @@ GAP_POLLS_PARTIAL, GAP_POLLS_MAX = 20, 40
 PROMOTED_INTERVAL, PROMOTED_ITEMS = 86400, 5
 EMBEDDING_DIM = 768
 BOT_AGENT = "MyBot/1.0"
+
+# Texts stored or shown as they are.
+NO_ANALYSIS = "AI returned no data"
+NO_CONTEXT = "No info."
+NO_TITLE = "No Title"
+HUNTING, SYNTHESIZING = "Hunting for new data...", "Analyzing & Synthesizing..."
+BLOCKED, FETCH_FAILED = "Blocked by robots.txt: ", "Network Error: "
+PROMOTED_NAME = "Auto-Discovery: "

@@ -53,7 +53,7 @@ def html_title(html: Column) -> Column:
 
 
 def title_fallback(title: Column, html: Column) -> Column:
-    return F.coalesce(non_empty(title), html_title(html), F.lit("No Title"))
+    return F.coalesce(non_empty(title), html_title(html), F.lit(V.NO_TITLE))
 
 
 def parse_audit(reply: Column, prompt: Column) -> Column:

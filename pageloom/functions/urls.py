@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions import fixed_values as V
+from pageloom.functions.bind import bound
 
 _SCHEME = r"^([A-Za-z][A-Za-z0-9+.-]*):"
 _NETLOC = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)"
@@ -110,17 +111,23 @@ def strip_trailing_slashes(url: Column | str) -> Column:
 
 def _fold_dots(segments: Column) -> Column:
     """Resolve ``.`` and ``..`` in an array of path segments."""
-    last = F.element_at(segments, -1)
-    folded = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, seg: F.when(seg == ".", acc)
-        .when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .otherwise(F.concat(acc, F.array(seg))),
-    )
-    tail = F.when(last.isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-    joined = F.array_join(F.concat(folded, tail), "/")
-    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+    none = F.array().cast("array<string>")
+
+    def fold(segs: Column) -> Column:
+        folded = F.aggregate(
+            segs,
+            none,
+            lambda acc, seg: F.when(seg == ".", acc)
+            .when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .otherwise(F.concat(acc, F.array(seg))),
+        )
+        tail = F.when(F.element_at(segs, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+        return F.array_join(F.concat(folded, tail), "/")
+
+    def rooted(joined: Column) -> Column:
+        return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
+
+    return bound(bound(segments, fold), rooted)
 
 
 _PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
@@ -150,8 +157,12 @@ def _joined(base: Column, href: Column, b: dict[str, Column], h: dict[str, Colum
         F.slice(base_parts, 1, F.size(base_parts) - 1)
     )
     merged = F.concat(base_dir, F.split(h["path"], "/"))
-    inner = F.filter(F.slice(merged, 2, F.greatest(F.size(merged) - 2, F.lit(0))), lambda s: s != "")
-    relative = F.concat(F.slice(merged, 1, 1), inner, F.slice(merged, -1, 1))
+
+    def filled(m: Column) -> Column:
+        inner = F.filter(F.slice(m, 2, F.greatest(F.size(m) - 2, F.lit(0))), lambda s: s != "")
+        return F.concat(F.slice(m, 1, 1), inner, F.slice(m, -1, 1))
+
+    relative = bound(merged, filled)
     rooted = h["path"].startswith("/")
     plain = rooted & ~h["path"].contains("/.")
     path = (
@@ -170,8 +181,18 @@ def _joined(base: Column, href: Column, b: dict[str, Column], h: dict[str, Colum
 
 def url_join(base: Column | str, href: Column | str) -> Column:
     """Absolute url of ``href`` on the page ``base`` (absolute, ``//``, ``/``, ``?``, ``#``, relative)."""
-    b, h = _col(base), _trimmed(_col(href))
-    return _joined(b, h, _parts(b), _parts(h))
+    b = _col(base)
+
+    def join(p: Column) -> Column:
+        return _joined(p["base"], p["href"], {n: p[f"b_{n}"] for n in _PART_NAMES}, {n: p[f"h_{n}"] for n in _PART_NAMES})
+
+    def parts(h: Column) -> Column:
+        return F.struct(
+            b.alias("base"), h.alias("href"),
+            *[c.alias(f"b_{n}") for n, c in _parts(b).items()], *[c.alias(f"h_{n}") for n, c in _parts(h).items()],
+        )
+
+    return bound(bound(_trimmed(_col(href)), parts), join)
 
 
 def with_joined_url(df: DataFrame, base: str, href: str, out: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pageloom import schemas
 from pageloom.functions import fixed_values as V
+from pageloom.functions.bind import bound
 from pageloom.functions.jsonx import clean_json, flatten_summary, is_filled_object
 from pageloom.functions.text import excerpt, strip, truncate
 
@@ -118,11 +119,6 @@ _NOT_LETTERS = r"[^\p{L}]+"
 _ALARM = r"[!?]|[0-9]+"
 
 
-def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with the value computed once, however often it is used in inner functions."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _run_starts(words: Column) -> Column:
     """Places, from 1, at which a new word begins in a sorted array."""
     places = F.when(F.size(words) > 0, F.sequence(F.lit(1), F.size(words))).otherwise(F.array().cast("array<int>"))
@@ -147,7 +143,7 @@ def default_analysis(text: Column) -> Column:
     """
     head = truncate(text, V.ANALYSIS_CHARS)
     words = F.array_sort(F.filter(F.split(F.lower(head), _NOT_LETTERS), lambda w: F.length(w) >= TAG_CHARS))
-    tags = _bound(words, lambda ws: _bound(_run_starts(ws), lambda starts: _most_frequent(ws, starts)))
+    tags = bound(words, lambda ws: bound(_run_starts(ws), lambda starts: _most_frequent(ws, starts)))
     low = F.lower(head)
     category = F.lit(None).cast("string")
     for name, keys in CATEGORY_WORDS.items():

@@ -23,7 +23,7 @@ from pageloom.operators.skew import per_key_limit
 
 # Queries are shipped to every task only up to this number and this many bytes of vectors.
 BROADCAST_QUERIES, BROADCAST_BYTES = 4096, 64 << 20
-BLOCK_QUERIES, BLOCK_ARTICLES = 2048, 50_000
+BLOCK_QUERIES, BLOCK_ARTICLES = 16_384, 32_768
 _QUERIES_AT_ONCE = 512
 
 

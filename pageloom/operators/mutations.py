@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -126,13 +126,16 @@ def apply_enrichment(articles: DataFrame, analysis: DataFrame, embeddings: DataF
         "ai_urgency": F.when(done, F.col("_urgency")).otherwise(F.col("ai_urgency")).cast("int"),
         "embedding": F.when(open_row, F.coalesce("_embedding", "embedding")).otherwise(F.col("embedding")),
         "ai_status": F.when(done, schemas.COMPLETED).when(lost, schemas.FAILED).otherwise(F.col("ai_status")),
-        "ai_error_log": F.when(lost, "AI returned no data").when(open_row, None).otherwise(F.col("ai_error_log")),
+        "ai_error_log": F.when(lost, V.NO_ANALYSIS).when(open_row, None).otherwise(F.col("ai_error_log")),
     }
     joined = articles.join(found, "id", "left").join(vectors, "id", "left")
     return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in articles.columns])
 
 
-def delete_failed(articles: DataFrame) -> DataFrame:
+def delete_failed(articles: DataFrame, counts: Observation | None = None) -> DataFrame:
+    """The articles that have not failed; ``counts`` receives ``deleted`` when the result is written."""
+    if counts is not None:
+        articles = articles.observe(counts, F.count_if(F.col("ai_status") == schemas.FAILED).alias("deleted"))
     return articles.filter(~F.col("ai_status").eqNullSafe(schemas.FAILED))
 
 

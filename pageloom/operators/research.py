@@ -33,7 +33,7 @@ def audit_context(queries: DataFrame, hits: DataFrame) -> DataFrame:
     """Audit context of every query, also of those without a hit."""
     blocks = context_block(hits, "audit")
     return queries.select("query_id").join(blocks, "query_id", "left").select(
-        "query_id", F.coalesce("context", F.lit("No info.")).alias("context")
+        "query_id", F.coalesce("context", F.lit(V.NO_CONTEXT)).alias("context")
     )
 
 
@@ -68,8 +68,8 @@ def run_progress(runs: DataFrame) -> DataFrame:
     """What to tell about a run, and how many articles it used."""
     hunting = F.coalesce(F.size("search_queries") > 0, F.lit(False))
     progress = (
-        F.when((F.col("status") == schemas.PROCESSING) & hunting, "Hunting for new data...")
-        .when(F.col("status") == schemas.PROCESSING, "Analyzing & Synthesizing...")
+        F.when((F.col("status") == schemas.PROCESSING) & hunting, V.HUNTING)
+        .when(F.col("status") == schemas.PROCESSING, V.SYNTHESIZING)
         .otherwise(F.col("status"))
     )
     used = F.when(F.col("used_article_ids").isNull(), 0).otherwise(F.size("used_article_ids"))
@@ -139,7 +139,7 @@ def promoted_jobs(new_domains: DataFrame, jobs: DataFrame, ts: Column) -> DataFr
     """A daily discovery job for each new domain."""
     return assign_ids(new_domains, "domain", jobs).select(
         "id",
-        F.concat(F.lit("Auto-Discovery: "), F.col("domain")).alias("name"),
+        F.concat(F.lit(V.PROMOTED_NAME), F.col("domain")).alias("name"),
         F.concat(F.col("scheme"), F.lit("://"), F.col("domain")).alias("url"),
         F.lit(schemas.DISCOVERY).alias("job_type"),
         F.lit(V.PROMOTED_ITEMS).alias("items_limit"),

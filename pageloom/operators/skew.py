@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SALTS = 16
+# Up to here Spark cuts groups before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
+_GROUP_LIMIT = 1000
 
 
 def _salt(*columns: Column | str) -> Column:
@@ -30,22 +32,19 @@ def per_key_limit(
 ) -> DataFrame:
     """First ``n`` rows per key in the given order; ``n`` is a number or a column that is equal within a key.
 
-    A first cut within salted parts of each key leaves at most ``SALTS * n`` rows per key for the
-    second, so no task sorts a whole hot key.
+    No task sorts a whole hot key. For a small number Spark itself keeps ``n`` rows per key and task
+    before the shuffle. Otherwise a first cut within salted parts of each key does: it leaves
+    at most ``SALTS * n`` rows per key.
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     limit = F.col(n) if isinstance(n, str) else F.lit(n)
-    part = W.partitionBy(*keys, "_salt").orderBy(*order)
+    if isinstance(n, str) or n >= _GROUP_LIMIT:
+        part = W.partitionBy(*keys, "_salt").orderBy(*order)
+        df = df.withColumn("_salt", _salt(spread)).withColumn("_n", F.row_number().over(part))
+        df = df.filter(F.col("_n") <= limit).drop("_salt")
     whole = W.partitionBy(*keys).orderBy(*order)
-    return (
-        df.withColumn("_salt", _salt(spread))
-        .withColumn("_n", F.row_number().over(part))
-        .filter(F.col("_n") <= limit)
-        .withColumn("_n", F.row_number().over(whole))
-        .filter(F.col("_n") <= limit)
-        .drop("_n", "_salt")
-    )
+    return df.withColumn("_n", F.row_number().over(whole)).filter(F.col("_n") <= limit).drop("_n")
 
 
 def spread_rank(

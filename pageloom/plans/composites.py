@@ -95,8 +95,8 @@ def ingest_pages(
     level = F.when(~F.col("allowed"), "WARN").when(~F.col("ok"), "ERROR").otherwise("INFO")
     verb = F.when(F.col("_stored"), "Updated").otherwise("Created")
     message = (
-        F.when(~F.col("allowed"), F.concat(F.lit("Blocked by robots.txt: "), F.col("url")))
-        .when(~F.col("ok"), F.concat(F.lit("Network Error: "), F.coalesce("error", F.lit("no content"))))
+        F.when(~F.col("allowed"), F.concat(F.lit(V.BLOCKED), F.col("url")))
+        .when(~F.col("ok"), F.concat(F.lit(V.FETCH_FAILED), F.coalesce("error", F.lit("no content"))))
         .otherwise(F.concat(verb, F.lit(" basic data for "), netloc("url")))
     )
     return Ingested(merged, registered, M.log_rows(told, level, message, ts))
@@ -124,7 +124,7 @@ def enrich_articles(
         "ai_urgency": F.when(done, F.col("_a.urgency")).otherwise(F.col("ai_urgency")).cast("int"),
         "embedding": F.coalesce("_v", "embedding"),
         "ai_status": F.when(done, schemas.COMPLETED).otherwise(schemas.FAILED),
-        "ai_error_log": F.when(~done, "AI returned no data"),
+        "ai_error_log": F.when(~done, V.NO_ANALYSIS),
     }
     enriched = opened.select(*[values[c].alias(c) if c in values else F.col(c) for c in articles.columns])
     rest = articles.filter(F.col("id").isNull() | F.col("ai_status").eqNullSafe(schemas.COMPLETED))

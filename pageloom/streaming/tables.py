@@ -132,7 +132,7 @@ def current_articles(spark: SparkSession, folder: str) -> DataFrame:
     values = {
         "summary": summary,
         "ai_status": F.when(failed, schemas.FAILED).when(up_to_date, schemas.COMPLETED).otherwise(schemas.PENDING),
-        "ai_error_log": F.when(failed, "AI returned no data"),
+        "ai_error_log": F.when(failed, V.NO_ANALYSIS),
         "ai_tags": F.col("_a.tags"),
         "ai_category": F.col("_a.category"),
         "ai_urgency": F.col("_a.urgency"),

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 from conftest import values
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pageloom import schemas
@@ -70,7 +71,8 @@ def test_apply_enrichment(spark):
 
 def test_small_mutations(spark):
     a = stored(spark, (1, "a", "A", "failed", None), (2, "b", "B", None, None))
-    assert values(M.delete_failed(a), "id") == [2]
+    counts = Observation()
+    assert values(M.delete_failed(a, counts), "id") == [2] and counts.get == {"deleted": 1}
     assert values(A.filter_pending(a), "id") == [1, 2]
     df = spark.createDataFrame([(1, None), (2, None)], "id bigint, last_crawled timestamp_ntz")
     keys = spark.createDataFrame([(2,), (2,), (9,)], "id bigint")
@@ -140,6 +142,7 @@ def test_limits_hold_a_hot_key(spark):
     df = spark.createDataFrame(rows, "k string, pos int").withColumn("n", F.when(F.col("k") == "hot", 4).otherwise(1))
     assert values(per_key_limit(df, "k", ["pos"], 3, spread="pos"), "k", "pos") == [
         ("cold", 4), ("cold", 5), ("hot", 0), ("hot", 1), ("hot", 2)]
+    assert per_key_limit(df, "k", ["pos"], 2000, spread="pos").count() == 2002
     assert values(per_key_limit(df, "k", ["pos"], "n", spread="pos"), "k", "pos") == [
         ("cold", 4), ("hot", 0), ("hot", 1), ("hot", 2), ("hot", 3)]
 
