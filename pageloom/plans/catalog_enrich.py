@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.jsonx import clean_json as cleaned
 from pageloom.functions.jsonx import flatten_summary as flattened
+from pageloom.functions.urls import netloc
 from pageloom.operators import enrich as E
 from pageloom.operators import research as R
 from pageloom.operators.memory import knn_join
@@ -115,20 +116,18 @@ def used_article_ids(spark, folder):
     return used.select("query_id", F.array_join(F.col("used_article_ids").cast("array<string>"), ",").alias("ids"))
 
 
-@query("""SELECT run, count(*) AS requested, count(*) FILTER (WHERE done) AS ready,
+@query(f"""SELECT run, count(*) AS requested, count(*) FILTER (WHERE done) AS ready,
             count(*) FILTER (WHERE done) >= count(*) OR (count(*) FILTER (WHERE done) > 0 AND 25 > 20) AS stop
-          FROM (SELECT DISTINCT b.item_id AS run, a.url, a.ai_status = 'completed' AS done FROM benchmark b
-            JOIN articles a ON a.id % 200 = b.item_id) GROUP BY run""", "articles")
+          FROM (SELECT DISTINCT {O.netloc('url')} AS run, url, ai_status = 'completed' AS done FROM articles) GROUP BY run""", "articles")
 def gap_fill_status(spark, folder):
     a = D.articles(spark, folder, ["id", "url", "ai_status"])
-    runs = table(spark, folder, "benchmark").select(F.col("item_id").alias("run"))
-    asked = a.select((F.col("id") % 200).alias("run"), "url").join(runs, "run", "left_semi")
+    asked = a.select(netloc("url").alias("run"), "url")
     return R.gap_fill_status(asked, a, F.lit(25))
 
 
 # Job urls in mixed case, one of them a longer host around a domain.
 _WATCHED = """(SELECT id, CASE WHEN id % 2 = 0 THEN upper(url) ELSE replace(url, '//src', '//m.src') || '/news' END AS url, job_type
-    FROM jobs WHERE id % 4 <> 3)"""
+    FROM jobs)"""
 _FRESH = f"""SELECT domain FROM domains d WHERE NOT EXISTS (SELECT 1 FROM {_WATCHED} j WHERE j.job_type = 'discovery'
     AND j.url ILIKE '%' || d.domain || '%')"""
 _DOMAINS = f", domains AS (SELECT DISTINCT {O.netloc('url')} AS domain FROM articles UNION SELECT host FROM hosts) "
@@ -138,13 +137,11 @@ def _watched(spark, folder):
     u = F.col("url")
     url = F.when(F.col("id") % 2 == 0, F.upper(u)).otherwise(
         F.concat(F.replace(u, F.lit("//src"), F.lit("//m.src")), F.lit("/news")))
-    return D.jobs(spark, folder).filter("id % 4 <> 3").withColumn("url", url)
+    return D.jobs(spark, folder).withColumn("url", url)
 
 
 @query(_DOMAINS + _FRESH, "articles", "hosts", "jobs")
 def unmonitored_domains(spark, folder):
-    from pageloom.functions.urls import netloc
-
     domains = D.articles(spark, folder, ["url"]).select(netloc("url").alias("domain")).unionByName(
         D.hosts(spark, folder).withColumnRenamed("host", "domain")).distinct()
     return R.unmonitored_domains(domains, _watched(spark, folder))
