@@ -11,6 +11,7 @@ from pageloom.functions import fixed_values as V
 from pageloom.functions import urls as U
 from pageloom.functions.text import truncate
 from pageloom.operators.skew import assign_ids
+from pageloom.session import materialize
 
 # Columns a fresh read of a page replaces. Everything else of a stored article stays as it is.
 READ_COLS = (
@@ -33,7 +34,8 @@ def upsert_articles(current: DataFrame, batch: DataFrame, ts: Column, seq: str =
 
     A stored url keeps id, creation time and enrichment values, takes the new page columns and goes
     back to pending without an error. A small batch is joined without moving the article table:
-    the table is only on the streamed side of a left join and of a semi join on its url.
+    the table is only on the streamed side of a left join and of a semi join on its url. The new
+    rows are written once to the checkpoint folder, as numbering them reads them twice.
     """
     updates = [c for c in READ_COLS if c in batch.columns and c in current.columns]
     rows = last_per_url(batch.select("url", seq, *updates), seq)
@@ -47,7 +49,7 @@ def upsert_articles(current: DataFrame, batch: DataFrame, ts: Column, seq: str =
         *[changed[c].alias(c) if c in changed else F.col(c) for c in current.columns]
     )
     known = current.select("url").join(rows.select("url"), "url", "left_semi")
-    fresh = assign_ids(rows.join(known, "url", "left_anti"), "url", current.select("id"))
+    fresh = assign_ids(materialize(rows.join(known, "url", "left_anti")), "url", current.select("id"))
     added = fresh.select(
         *[
             F.col(c) if c in ("id", "url", *updates)

@@ -94,9 +94,9 @@ def delete_failed(spark, folder):
     return M.delete_failed(D.articles(spark, folder, ["id", "url", "ai_status"]))
 
 
-@query("SELECT id, name, url FROM jobs WHERE id NOT IN (SELECT user_id FROM events WHERE value > 95)", "jobs")
+@query("SELECT id, name, url FROM jobs WHERE id NOT IN (SELECT user_id FROM events WHERE value > 200)", "jobs")
 def delete_job(spark, folder):
-    gone = table(spark, folder, "events").filter("value > 95").select(F.col("user_id").alias("id"))
+    gone = table(spark, folder, "events").filter("value > 200").select(F.col("user_id").alias("id"))
     return M.delete_jobs(D.jobs(spark, folder), gone).select("id", "name", "url")
 
 

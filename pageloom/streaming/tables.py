@@ -69,7 +69,7 @@ def stream_ingest(
             .groupBy("url").agg(F.min("id").alias("id"), F.min("_created").alias("_created"))
         )
         again = rows.join(known, "url").withColumn("created_at", F.col("_created"))
-        fresh = assign_ids(rows.join(known, "url", "left_anti"), "url", before.select("id"))
+        fresh = assign_ids(materialize(rows.join(known, "url", "left_anti")), "url", before.select("id"))
         names = ARTICLE_LOG.fieldNames()
         out = again.select(*names).unionByName(fresh.select(*names))
         out.write.mode("overwrite").parquet(f"{folder}/article_log/batch_id={batch_id}")
