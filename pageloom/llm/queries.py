@@ -49,3 +49,10 @@ def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
     extra = spark.createDataFrame([(-1, 0, "user", HOSTILE), (-1, 1, "assistant", HOSTILE)], "conv_id bigint, turn bigint, role string, text string")
     return format_digests(turns.unionByName(extra))
+
+
+@query
+def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from pageloom.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), k=3, percent=85, rows=5)

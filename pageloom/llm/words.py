@@ -1,7 +1,8 @@
 """Words of whole texts as numpy arrays, and 64-bit hashes of word sequences.
 
 A batch of texts is one UTF-8 buffer (as Arrow holds it) with row offsets. Every function below works on the whole
-buffer at once; ``chunks`` cuts a batch so that a buffer stays near ``CHUNK_BYTES`` unless one text alone is longer.
+buffer at once; ``chunks`` cuts a batch so that a buffer stays near ``CHUNK_BYTES`` unless one text alone is longer, with ``CHUNK_ROWS`` rows at
+most.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 4 << 20
+CHUNK_ROWS = 4096
 
 _U = np.uint64
 #: An odd multiplier, so that it has an inverse modulo 2**64.
@@ -87,14 +89,14 @@ def bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(batch: pa.RecordBatch, text: int | str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of about ``limit`` bytes of text each, one row at least."""
+    """Slices of a batch of about ``limit`` bytes of text and ``CHUNK_ROWS`` rows at most, one row at least."""
     n = batch.num_rows
     if not n:
         return
     _, offsets = bytes_of(batch.column(text))
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        to = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1), at + CHUNK_ROWS)
         yield batch.slice(at, to - at)
         at = to
 
