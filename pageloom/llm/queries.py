@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pageloom.llm.common import table
 
@@ -56,3 +57,11 @@ def op1_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from pageloom.llm.neardup import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"), k=3, percent=85, rows=5)
+
+
+@query
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from pageloom.llm.substrings import remove_repeats
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
