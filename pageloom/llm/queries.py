@@ -65,3 +65,10 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op8_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    from pageloom.llm.ctw import score_texts
+
+    return score_texts(table(spark, folder, "documents"))
