@@ -72,3 +72,17 @@ def op8_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     from pageloom.llm.ctw import score_texts
 
     return score_texts(table(spark, folder, "documents"))
+
+
+def tokenizer_file() -> str:
+    """The same vocabulary in the form of the tokenizers library."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
+    from pageloom.llm.packing import pack
+
+    return pack(table(spark, folder, "documents"), tokenizer_file())
