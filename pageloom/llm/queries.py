@@ -86,3 +86,29 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     from pageloom.llm.packing import pack
 
     return pack(table(spark, folder, "documents"), tokenizer_file())
+
+
+@query
+def op3_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    from pageloom.llm.topk import top_k
+
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return top_k(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
+ORACLES["op3_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), scored as (
+  select q.vec_id as query_id, r.vec_id,
+         cast(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * r.v[i])) as bigint) as score
+  from v q join v r on q.vec_id <> r.vec_id
+  where q.vec_id % 50 = 0
+), ranked as (
+  select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank from scored
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+"""
