@@ -112,3 +112,19 @@ with v as (
 )
 select query_id, rank, vec_id, score from ranked where rank <= 5
 """
+
+
+@query
+def op9_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    from pageloom.llm.langid import identify_documents
+
+    return identify_documents(table(spark, folder, "documents")).select("doc_id", "lang", "source", "language", "probability", "kept")
+
+
+@query
+def page_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The same operator with markup and address evidence, over all pages."""
+    from pageloom.llm.langid import fit, identify_pages
+
+    model = fit(table(spark, folder, "documents"), "doc_id", "text", "lang")
+    return identify_pages(table(spark, folder, "pages"), model).select("page_id", "language", "probability", "kept")
