@@ -128,3 +128,32 @@ def page_languages(spark: SparkSession, folder: str) -> DataFrame:
 
     model = fit(table(spark, folder, "documents"), "doc_id", "text", "lang")
     return identify_pages(table(spark, folder, "pages"), model).select("page_id", "language", "probability", "kept")
+
+
+@query
+def op5_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from pageloom.llm.embdup import embedding_duplicates
+
+    return embedding_duplicates(table(spark, folder, "embeddings"))
+
+
+ORACLES["op5_embedding_dedup"] = """
+with recursive v as (
+  select vec_id, label, cast(embedding as double[]) as v from embeddings
+), good as (
+  select * from v
+  where label is not null and v is not null and len(list_filter(v, lambda x: x is null or isnan(x) or isinf(x))) = 0
+    and len(list_filter(v, lambda x: x <> 0)) > 0
+), links as (
+  select a.vec_id as a, b.vec_id as b from good a join good b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+  where list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v)) / sqrt(list_dot_product(b.v, b.v)) >= 0.93
+), reach(id, seen) as (
+  select vec_id, vec_id from v union select r.id, l.b from reach r join links l on r.seen = l.a
+), least as (
+  select id, min(seen) as component_id from reach group by id
+), degree as (
+  select a, count(*) as n from links group by a
+)
+select v.vec_id, cast(coalesce(d.n, 0) as bigint) as n_links, l.component_id, v.vec_id = l.component_id as kept
+from v join least l on v.vec_id = l.id left join degree d on v.vec_id = d.a
+"""
