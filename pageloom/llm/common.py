@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.session import materialize, ship_package
 
-__all__ = ["by_rows", "column_batches", "long_id", "materialize", "ship_package", "table"]
+__all__ = ["by_rows", "materialize", "may_be_among", "ship_package", "table"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,11 +18,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def long_id(df: DataFrame, name: str) -> DataFrame:
-    """The column as bigint, whatever integer kind it came as."""
-    return df.withColumn(name, F.col(name).cast("bigint"))
-
-
 def by_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str) -> DataFrame:
     """Apply a function to bounded record batches; it returns a batch, columns by name, or None for no rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -51,9 +46,32 @@ def as_batch(columns: pa.RecordBatch | dict, target: pa.Schema) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays(arrays, schema=target)
 
 
-def column_batches(batches: Iterator[pa.RecordBatch], limit: int, text: str) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ``limit`` bytes of text each."""
-    from pageloom.llm.words import chunks
+#: Bits of the fixed bitmap that ``may_be_among`` sets; it takes 8 MB whatever the number of ids.
+FILTER_BITS = 1 << 26
+
+
+def may_be_among(ids: DataFrame) -> Callable[[Column], Column]:
+    """A test of a bigint column against ``ids`` (one column): true for all that are among them and for few others.
+
+    The ids set bits of one bitmap of fixed size, so what the driver holds and sends does not grow; with far more ids than
+    bits the test passes more values, never fewer. It spares a join the shuffle of rows that it would drop anyway.
+    """
+    import numpy as np
+
+    width = 32768
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS).cast("bigint"))
+    parts = (
+        ids.select(slot(F.col(ids.columns[0])).alias("s"))
+        .groupBy((F.col("s") / width).cast("bigint").alias("part")).agg(F.bitmap_construct_agg(F.col("s") % width).alias("bits"))
+    ).toArrow()
+    bitmap = np.zeros((FILTER_BITS // width, width // 8), dtype=np.uint8)
+    for part, bits in zip(parts.column("part").to_pylist(), parts.column("bits").to_pylist(), strict=True):
+        bitmap[part] = np.frombuffer(bits, np.uint8)
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap.reshape(-1))
+
+    @F.arrow_udf("boolean")
+    def met(slots: pa.Array) -> pa.Array:
+        s = slots.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1)
 
-    for batch in batches:
-        yield from chunks(batch, text, limit)
+    return lambda column: F.coalesce(met(slot(F.coalesce(column, F.lit(0).cast("bigint")))) & column.isNotNull(), F.lit(False))

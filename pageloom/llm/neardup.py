@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import by_rows, materialize
+from pageloom.llm.common import by_rows, materialize, may_be_among
 from pageloom.llm.components import UnionFind, components
 from pageloom.llm.minhash import bands, shingle_sets, signatures
 from pageloom.llm.words import chunks, mix, words
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sketch = materialize(sketches(docs, k, rows))
     same = ["n_shingles", "f1", "f2"]
-    classes = sketch.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"))
+    classes = materialize(sketch.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")))
     first = materialize(
         sketch.select("doc_id", *same, "bands").join(classes, same).filter("doc_id = rep").select("doc_id", "bands").dropDuplicates(["doc_id"])
     )
@@ -160,8 +160,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     buckets = spread.groupBy("band", "h").agg(F.min("doc").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(spread.join(buckets, ["band", "h"]).select("band", "h", "doc", "centre", "n"))
 
-    wanted = shared.select(F.col("doc").alias("doc_id")).distinct()
-    texts = materialize(docs.join(wanted, "doc_id"))
+    wanted = materialize(shared.select(F.col("doc").alias("doc_id")).distinct())
+    texts = materialize(docs.filter(may_be_among(wanted)(F.col("doc_id"))).join(wanted, "doc_id"))
     pairs = shared.filter("doc <> centre").select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
     links = materialize(_verified(pairs, texts, k, percent))
     found = components(links)
@@ -192,3 +192,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     out = sketch.select("doc_id", *same).join(classes, same, "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each group the document of least id stays, as it is.
+
+    Rows that repeat both id and text count once. Rows without id, and texts without words, stay. Only rows that may have to
+    go are shuffled.
+    """
+    found = materialize(near_duplicates(docs, k, percent, rows, key, text).select("doc_id", "kept"))
+    gone = found.filter("not kept").select("doc_id").distinct()
+    twice = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
+    suspect = may_be_among(gone.union(twice))(F.col(key).cast("bigint"))
+    checked = docs.filter(suspect).join(gone.withColumnRenamed("doc_id", "_gone"), F.col(key) == F.col("_gone"), "left_anti").dropDuplicates([key, text])
+    return docs.filter(~suspect).unionByName(checked)
