@@ -98,7 +98,7 @@ def _levels(counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Zeros and ones at the nodes of each of the eight decisions, first decision first."""
     out = []
     for _ in range(8):
-        pairs = counts.reshape(len(counts), -1, 2)
+        pairs = counts.reshape(len(counts), counts.shape[1] // 2, 2)
         out.append((pairs[..., 0], pairs[..., 1]))
         counts = pairs.sum(axis=2)
     return out[::-1]
@@ -134,7 +134,7 @@ def train(keys: np.ndarray, n: np.ndarray) -> Model:
             of_one = w0 * p0 + (1 - w0) * (w1 * p1 + (1 - w1) * 0.5)
             of_none = w0 * p0 + (1 - w0) * 0.5
             value = np.log10(np.concatenate([of_two, of_one, of_none]))
-            table.reshape(len(table), -1, 2, 1 << (7 - level))[:, :, one_bit, :] += value[:, :, None]
+            table.reshape(len(table), 1 << level, 2, 1 << (7 - level))[:, :, one_bit, :] += value[:, :, None]
     return Model(table.astype(np.float32), row)
 
 
