@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import html as html_lib
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageloom.functions import fixed_values as V
 
@@ -45,11 +49,21 @@ def unescape_common(text: Column) -> Column:
     return text
 
 
+@F.pandas_udf(T.StringType())
+def _unescape_all(texts: pd.Series) -> pd.Series:
+    return texts.map(html_lib.unescape, na_action="ignore")
+
+
+def unescape(text: Column) -> Column:
+    """Decode every entity; only texts with one beyond the common ones leave the JVM."""
+    return F.coalesce(_unescape_all(F.when(text.rlike(OTHER_ENTITY), text)), unescape_common(text))
+
+
 def html_title(html: Column) -> Column:
     """Text of the first ``<title>``, stripped; null when the page has none."""
     pattern = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
     found = F.regexp_extract(html, pattern, 1)
-    return F.when(html.rlike(pattern), strip(unescape_common(found)))
+    return F.when(html.rlike(pattern), strip(unescape(found)))
 
 
 def title_fallback(title: Column, html: Column) -> Column:

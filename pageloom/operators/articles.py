@@ -13,7 +13,6 @@ from pageloom.functions import fixed_values as V
 from pageloom.functions.jsonx import tags_text
 from pageloom.functions.schedule import numeric_urgency, to_ts
 from pageloom.functions.urls import netloc
-from pageloom.operators.skew import lookup_join
 
 LIST_COLS = ("id", "url", "title", "author", "published_date", "summary", "main_image", "created_at")
 DASHBOARD_COLS = (
@@ -36,10 +35,11 @@ def article_detail(articles: DataFrame, article_id: int) -> DataFrame:
 
 
 def keyword_search(articles: DataFrame, term: str | None) -> DataFrame:
-    """Title or summary holds the term in any case; ``%`` and ``_`` are wildcards; no term, no filter."""
+    """Title or summary holds the term in any case; ``%`` and ``_`` are wildcards, a backslash is itself; no term, no filter."""
     if not term:
         return articles
-    like = f"%{term}%"
+    escaped = term.replace("\\", "\\\\")
+    like = f"%{escaped}%"
     return articles.filter(F.col("title").ilike(like) | F.col("summary").ilike(like))
 
 
@@ -134,14 +134,14 @@ def with_source(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """Add ``source_id`` by the domain of the url; null when the domain is not registered."""
     domains = sources.select("domain", F.col("id").alias("source_id"))
     keyed = articles.drop("source_id").withColumn("domain", netloc("url"))
-    return lookup_join(keyed, domains, "domain", spread="url").drop("domain")
+    return keyed.join(domains, "domain", "left").drop("domain")
 
 
 def source_articles(sources: DataFrame, articles: DataFrame) -> DataFrame:
     """Articles of each source, one row per pair; sources without articles are absent."""
     wanted = sources.select("domain", F.col("id").alias("source_id"))
     keyed = articles.drop("source_id").withColumn("domain", netloc("url"))
-    return lookup_join(keyed, wanted, "domain", spread="url", how="inner")
+    return keyed.join(wanted, "domain")
 
 
 def new_urls(candidates: DataFrame, articles: DataFrame) -> DataFrame:

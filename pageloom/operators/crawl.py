@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.functions.urls import classify_link, is_internal, is_useful, path
+from pageloom.functions.urls import classify_link, is_internal, is_useful, netloc, path
 from pageloom.operators.skew import per_key_limit
 from pageloom.session import materialize
 
@@ -19,20 +19,24 @@ def crawl_frontier(
     index links are followed, articles collected, the rest dropped. A page is placed by the link
     positions on the way to it, so comparing those arrays within a level is comparing queue order.
     Each level is one join on the page url; frontier and links are written to the checkpoint folder, and
-    a seed that has its articles is not followed further. Edges that come out of page texts are
-    written once and read per level; ``stored_edges`` says they are a table already.
+    a seed that has its articles is not followed further. Only links that stay on a seed's host are
+    written, once, and read per level; ``stored_edges`` says the edges are a table already. A url with and
+    without a slash at its end is the same page.
     """
+    host = lambda url: F.replace(netloc(url), F.lit("www."), F.lit(""))
+    seeds = seeds.filter("seed is not null").select("seed").distinct()
     links = edges.filter(is_useful("dst_url")).select(
-        "src_url", "pos", "dst_url", classify_link(path("dst_url")).alias("kind")
-    ).filter("kind <> 'unknown'")
+        F.rtrim(F.col("src_url"), F.lit("/")).alias("page"), "pos", "dst_url", classify_link(path("dst_url")).alias("kind"), host("src_url").alias("host")
+    ).filter((F.col("kind") != "unknown") & (F.col("host") == host("dst_url")))
+    links = links.join(seeds.select(host("seed").alias("host")).distinct(), "host", "left_semi")
     if not stored_edges:
         links = materialize(links)
-    frontier = seeds.filter("seed is not null").select("seed", F.col("seed").alias("url"), F.array().cast("array<int>").alias("way")).distinct()
+    frontier = seeds.select("seed", F.col("seed").alias("url"), F.array().cast("array<int>").alias("way"))
     visited = frontier.select("seed", "url")
     found: DataFrame | None = None
     for level in range(depth + 1):
         stepped = materialize(
-            frontier.join(links, frontier["url"] == links["src_url"])
+            frontier.join(links, F.rtrim(frontier["url"], F.lit("/")) == links["page"])
             .filter(is_internal("dst_url", "seed"))
             .groupBy("seed", "dst_url", "kind")
             .agg(F.min(F.concat("way", F.array(F.col("pos").cast("int")))).alias("way"))

@@ -76,8 +76,14 @@ def hashed_vectors(dim: int = V.EMBEDDING_DIM) -> Embedder:
     return lambda texts: [vector(t) for t in texts]
 
 
-def embedding(text: Column, model: Embedder | None = None, dim: int = V.EMBEDDING_DIM) -> Column:
-    """Vector of the head of a text; null for empty text and where the model fails."""
+def embedding(
+    text: Column, model: Embedder | None = None, dim: int = V.EMBEDDING_DIM, max_chars: int | None = None
+) -> Column:
+    """Vector of a text; null for empty text and where the model fails.
+
+    ``max_chars`` is for models that read so many characters at most (``EMBEDDING_CHARS`` for the one this
+    replaces); without it the whole text counts.
+    """
     model = model or hashed_vectors(dim)
 
     @F.pandas_udf("array<float>")
@@ -92,7 +98,7 @@ def embedding(text: Column, model: Embedder | None = None, dim: int = V.EMBEDDIN
             out[at] = v
         return out
 
-    return embed(truncate(text, V.EMBEDDING_CHARS))
+    return embed(text if max_chars is None else truncate(text, max_chars))
 
 
 def _one(model: Embedder, text: str):
@@ -103,9 +109,10 @@ def _one(model: Embedder, text: str):
 
 
 def embed_documents(
-    df: DataFrame, text: str = "clean_text", model: Embedder | None = None, dim: int = V.EMBEDDING_DIM
-) -> DataFrame:
-    return df.withColumn("embedding", embedding(F.col(text), model, dim))
+    df: DataFrame, text: str = "clean_text", model: Embedder | None = None, dim: int = V.EMBEDDING_DIM,
+    max_chars: int | None = None,
+) -> DataFrame:
+    return df.withColumn("embedding", embedding(F.col(text), model, dim, max_chars))
 
 
 # Categories of the default analyser with the words that speak for them.
@@ -136,31 +143,35 @@ def _most_frequent(words: Column, starts: Column) -> Column:
 
 
 def default_analysis(text: Column) -> Column:
-    """Rule-based analysis of the head of a text, in built-in functions.
+    """Rule-based analysis of a whole text, in built-in functions.
 
     Tags are the most frequent words of four letters or more; the category is the first whose word
     occurs, else General; urgency grows with exclamation, question marks and numbers.
     """
-    head = truncate(text, V.ANALYSIS_CHARS)
-    words = F.array_sort(F.filter(F.split(F.lower(head), _NOT_LETTERS), lambda w: F.length(w) >= TAG_CHARS))
+    words = F.array_sort(F.filter(F.split(F.lower(text), _NOT_LETTERS), lambda w: F.length(w) >= TAG_CHARS))
     tags = bound(words, lambda ws: bound(_run_starts(ws), lambda starts: _most_frequent(ws, starts)))
-    low = F.lower(head)
+    low = F.lower(text)
     category = F.lit(None).cast("string")
     for name, keys in CATEGORY_WORDS.items():
         for key in keys:
             category = F.coalesce(category, F.when(low.contains(key), name))
-    urgency = F.least(F.lit(10), F.size(F.regexp_extract_all(head, F.lit(_ALARM), 0)) + 1)
+    urgency = F.least(F.lit(10), F.size(F.regexp_extract_all(text, F.lit(_ALARM), 0)) + 1)
     return F.when(
         F.coalesce(text, F.lit("")) != "",
         F.struct(
-            excerpt(head).alias("summary"), tags.alias("tags"),
+            excerpt(text).alias("summary"), tags.alias("tags"),
             F.coalesce(category, F.lit("General")).alias("category"), urgency.alias("urgency"),
         ),
     )
 
 
-def analysis(text: Column, analyzers: Sequence[Analyzer] | None = None) -> Column:
-    """``struct(summary, tags, category, urgency)``: the default rules, or the first callable that answers."""
+def analysis(text: Column, analyzers: Sequence[Analyzer] | None = None, max_chars: int | None = None) -> Column:
+    """``struct(summary, tags, category, urgency)``: the default rules, or the first callable that answers.
+
+    ``max_chars`` is for callables with a limit of their own (``ANALYSIS_CHARS`` for the model this replaces). A
+    summary given as a list or object is joined by blanks; a field of the wrong kind is left out, so an odd
+    answer costs its row at most a column.
+    """
     if not analyzers:
         return default_analysis(text)
 
@@ -168,9 +179,9 @@ def analysis(text: Column, analyzers: Sequence[Analyzer] | None = None) -> Colum
     def analyse(texts: pd.Series) -> pd.DataFrame:
         rows = [_first_answer(analyzers, t) if isinstance(t, str) and t else None for t in texts]
         names = schemas.ANALYSIS.fieldNames()
-        return pd.DataFrame([[(r or {}).get(n) for n in names] for r in rows], columns=names, dtype=object)
+        return pd.DataFrame([[_field(n, (r or {}).get(n)) for n in names] for r in rows], columns=names, dtype=object)
 
-    out = analyse(truncate(text, V.ANALYSIS_CHARS))
+    out = analyse(text if max_chars is None else truncate(text, max_chars))
     return F.when(F.coalesce(*[out[n].cast("string") for n in schemas.ANALYSIS.fieldNames()]).isNotNull(), out)
 
 
@@ -180,12 +191,28 @@ def _first_answer(analyzers: Sequence[Analyzer], text: str) -> dict | None:
             answer = analyze(text)
         except Exception:
             continue
-        if answer:
+        if isinstance(answer, dict) and answer:
             return answer
     return None
 
 
+def _field(name: str, value):
+    """One field of an answer in its column's type, or None."""
+    if value is None:
+        return None
+    if name == "tags":
+        return [str(v) for v in value if v is not None] if isinstance(value, (list, tuple, set)) else None
+    if name == "urgency":
+        try:
+            return int(float(value))
+        except (TypeError, ValueError, OverflowError):
+            return None
+    if isinstance(value, dict):
+        value = [value[k] for k in sorted(value)]
+    return " ".join(str(v) for v in value if v is not None) if isinstance(value, (list, tuple)) else str(value)
+
+
 def analyze_documents(
-    df: DataFrame, text: str = "clean_text", analyzers: Sequence[Analyzer] | None = None
+    df: DataFrame, text: str = "clean_text", analyzers: Sequence[Analyzer] | None = None, max_chars: int | None = None
 ) -> DataFrame:
-    return df.withColumn("analysis", analysis(F.col(text), analyzers))
+    return df.withColumn("analysis", analysis(F.col(text), analyzers, max_chars))

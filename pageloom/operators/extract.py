@@ -7,7 +7,6 @@ list items, rows and blocks; strip tags; decode entities; squeeze blanks.
 
 from __future__ import annotations
 
-import html as html_lib
 import re
 
 import pandas as pd
@@ -15,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.functions.text import OTHER_ENTITY, non_empty, strip, summary_fallback, title_fallback, unescape_common
+from pageloom.functions.text import non_empty, strip, summary_fallback, title_fallback, unescape, unescape_common
 
 AD_BLOCK = r"""<div\b[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?ads?(?:\s[^"']*)?["'][^>]*>.*?</div\s*>"""
 DROPPED = (
@@ -38,13 +37,13 @@ def _metas(head: Column) -> Column:
         name = F.regexp_extract(tag, r"""(?is)\b(?:name|property|itemprop)\s*=\s*["']([^"']*)["']""", 1)
         content = r"""(?is)\bcontent\s*=\s*(?:"([^"]*)"|'([^']*)')"""
         value = F.concat(F.regexp_extract(tag, content, 1), F.regexp_extract(tag, content, 2))
-        return F.struct(F.lower(name).alias("name"), strip(unescape_common(value)).alias("content"))
+        return F.struct(F.lower(name).alias("name"), strip(value).alias("content"))
 
     return F.transform(tags, pair)
 
 
 def _meta(metas: Column, *names: str) -> Column:
-    """Content of the first filled ``<meta>`` of the first name that has one."""
+    """Content of the first filled ``<meta>`` of the first name that has one, as it stands."""
 
     def named(name: str) -> Column:
         hits = F.filter(metas, lambda m: (m["name"] == name.lower()) & (m["content"] != ""))
@@ -85,11 +84,6 @@ def drop_nested_blocks(pages: pd.Series) -> pd.Series:
     return pages.map(_drop_nested, na_action="ignore")
 
 
-@F.pandas_udf(T.StringType())
-def unescape_all(texts: pd.Series) -> pd.Series:
-    return texts.map(html_lib.unescape, na_action="ignore")
-
-
 def _needs_nesting(page: Column) -> Column:
     """An ad or navigation block that holds a block of its own kind."""
     ads = F.regexp_extract_all(page, F.lit("(?is)" + AD_BLOCK), 0)
@@ -129,15 +123,11 @@ def extract_articles(pages: DataFrame, python_helpers: bool = True) -> DataFrame
     marked = marked.withColumn(
         "_text", clean_text(page, F.col("_nested") if python_helpers else None)
     )
-    if python_helpers:
-        odd = F.col("_text").rlike(OTHER_ENTITY)
-        marked = marked.withColumn("_odd", unescape_all(F.when(odd, F.col("_text"))))
-        decoded = F.coalesce("_odd", unescape_common(F.col("_text")))
-    else:
-        decoded = unescape_common(F.col("_text"))
+    decode = unescape if python_helpers else unescape_common
+    decoded = decode(F.col("_text"))
     head = F.coalesce(non_empty(F.regexp_extract(page, r"(?is)<head\b.*?</head\s*>", 0)), page)
-    heading = tidy(unescape_common(F.regexp_replace(
-        F.regexp_extract(page, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1), TAG, "")))
+    heading = tidy(decode(F.regexp_replace(F.regexp_extract(page, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1), TAG, "")))
+    plain = lambda *names: non_empty(strip(decode(_meta(metas, *names))))
     with_text = marked.withColumn("clean_text", non_empty(tidy(decoded))).withColumn("_metas", _metas(head))
     metas, text = F.col("_metas"), F.col("clean_text")
     found = text.isNotNull()
@@ -148,11 +138,11 @@ def extract_articles(pages: DataFrame, python_helpers: bool = True) -> DataFrame
     return with_text.select(
         *pages.columns,
         title_fallback(
-            F.when(found, F.coalesce(_meta(metas, "og:title"), non_empty(heading))), page
+            F.when(found, F.coalesce(plain("og:title"), non_empty(heading))), page
         ).alias("title"),
-        F.when(found, _meta(metas, "author", "article:author")).alias("author"),
+        F.when(found, plain("author", "article:author")).alias("author"),
         F.when(found, published).alias("published_date"),
-        F.when(found, _meta(metas, "og:image")).alias("main_image"),
+        F.when(found, plain("og:image")).alias("main_image"),
         "clean_text",
-        F.when(found, summary_fallback(_meta(metas, "description", "og:description"), text)).alias("summary"),
+        F.when(found, summary_fallback(plain("description", "og:description"), text)).alias("summary"),
     )

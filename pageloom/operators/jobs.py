@@ -9,7 +9,6 @@ from pageloom import schemas
 from pageloom.functions import fixed_values as V
 from pageloom.functions.schedule import is_due
 from pageloom.functions.urls import netloc
-from pageloom.operators.skew import lookup_join
 
 
 def active_jobs(jobs: DataFrame) -> DataFrame:
@@ -36,7 +35,7 @@ def job_caption(jobs: DataFrame) -> DataFrame:
 def resolve_jobs(jobs: DataFrame, sources: DataFrame) -> DataFrame:
     """Add ``source_id`` by the domain of the job url; null marks a job without a source."""
     domains = sources.select("domain", F.col("id").alias("source_id"))
-    return lookup_join(jobs.withColumn("domain", netloc("url")), domains, "domain", spread="id")
+    return jobs.withColumn("domain", netloc("url")).join(domains, "domain", "left")
 
 
 def work_rows(resolved: DataFrame) -> DataFrame:

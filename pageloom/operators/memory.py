@@ -21,8 +21,7 @@ from pageloom.functions import fixed_values as V
 from pageloom.operators.articles import filter_embedded
 from pageloom.operators.skew import per_key_limit
 
-# Queries are shipped to every task only up to this number and this many bytes of vectors.
-BROADCAST_QUERIES, BROADCAST_BYTES = 4096, 64 << 20
+# Queries and articles that meet in one task.
 BLOCK_QUERIES, BLOCK_ARTICLES = 16_384, 32_768
 _QUERIES_AT_ONCE = 512
 
@@ -75,13 +74,17 @@ def _nearest(
     q = np.empty(0, dtype=np.int64)
     ids, dist = np.empty(0, dtype=np.int64), np.empty(0)
     for batch_ids, rows in batches:
+        by_id = np.argsort(batch_ids, kind="stable")
+        batch_ids, rows = batch_ids[by_id], rows[by_id]
         new_q, new_row, new_d = [q], [ids], [dist]
         for at in range(0, len(queries), _QUERIES_AT_ONCE):
             d = _distances(rows, queries[at : at + _QUERIES_AT_ONCE])
             d = np.where(np.isnan(d), np.inf, d)
             if len(rows) > k:
-                # Everything up to the k-th distance stays, equal ones included.
-                near = d <= np.partition(d, k - 1, axis=0)[k - 1]
+                # k rows per query: all below the k-th distance, then of those at it the least ids.
+                kth = np.partition(d, k - 1, axis=0)[k - 1]
+                below, at_it = d < kth, d == kth
+                near = below | (at_it & (np.cumsum(at_it, axis=0) <= k - below.sum(axis=0)))
             else:
                 near = np.ones_like(d, dtype=bool)
             row, col = np.nonzero(near)
@@ -100,20 +103,6 @@ def _nearest(
 _HITS = "query_id long, id long, distance double"
 
 
-def _knn_broadcast(base: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
-    shipped = base.sparkSession.sparkContext.broadcast((ids, queries))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, matrix = shipped.value
-        parts = (
-            (b.column("id").to_numpy(), _matrix(b.column("embedding"))) for b in batches if b.num_rows
-        )
-        found = _nearest(query_ids, matrix, parts, k)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], names=["query_id", "id", "distance"])
-
-    return base.mapInArrow(best, _HITS)
-
-
 def _knn_blocks(base: DataFrame, queries: DataFrame, n_queries: int, k: int, block: int, slice_: int) -> DataFrame:
     """Every block of queries meets every slice of articles in one task; both are of bounded size."""
     blocks, slices = ceil(n_queries / block), max(1, ceil(base.count() / slice_))
@@ -142,27 +131,16 @@ def _knn_blocks(base: DataFrame, queries: DataFrame, n_queries: int, k: int, blo
 
 
 def knn_join(
-    articles: DataFrame,
-    queries: DataFrame,
-    k: int,
-    broadcast_queries: int = BROADCAST_QUERIES,
-    block: int = BLOCK_QUERIES,
-    slice_: int = BLOCK_ARTICLES,
+    articles: DataFrame, queries: DataFrame, k: int, block: int = BLOCK_QUERIES, slice_: int = BLOCK_ARTICLES
 ) -> DataFrame:
     """Nearest ``k`` articles for a table of queries (``query_id``, ``embedding``).
 
-    Returns query_id, id, distance and rank. Up to a checked number of queries each task gets them
-    all and the article vectors do not move; beyond it blocks of queries meet slices of articles.
+    Returns query_id, id, distance and rank; equal distances by id. Blocks of queries meet slices of articles, of
+    ``block`` and ``slice_`` rows at most on average.
     """
     base = filter_embedded(articles).select(F.col("id").cast("long").alias("id"), "embedding")
     asked = filter_embedded(queries).select(F.col("query_id").cast("long").alias("query_id"), "embedding")
-    few = asked.limit(broadcast_queries + 1).toArrow()
-    if few.num_rows == 0:
-        hits = base.select(F.lit(0).cast("long").alias("query_id"), "id", F.lit(0.0).alias("distance")).limit(0)
-    elif few.num_rows <= broadcast_queries and few.column("embedding").nbytes <= BROADCAST_BYTES:
-        hits = _knn_broadcast(base, few.column("query_id").to_numpy(), _matrix(few.column("embedding")), k)
-    else:
-        hits = _knn_blocks(base, asked, asked.count(), k, block, slice_)
+    hits = _knn_blocks(base, asked, max(1, asked.count()), k, block, slice_)
     best = per_key_limit(hits, "query_id", ["distance", "id"], k, spread="id")
     return with_rank(best, "query_id")
 

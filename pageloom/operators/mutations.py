@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pageloom import schemas
 from pageloom.functions import fixed_values as V
 from pageloom.functions import urls as U
-from pageloom.functions.text import truncate
+from pageloom.functions.text import non_empty, truncate
 from pageloom.operators.skew import assign_ids
 from pageloom.session import materialize
 
@@ -122,7 +122,7 @@ def apply_enrichment(articles: DataFrame, analysis: DataFrame, embeddings: DataF
     done = open_row & F.col("_found").isNotNull()
     lost = open_row & F.col("_found").isNull()
     changed = {
-        "summary": F.when(done, F.coalesce("_summary", "summary")).otherwise(F.col("summary")),
+        "summary": F.when(done, F.coalesce(non_empty(F.col("_summary")), F.col("summary"))).otherwise(F.col("summary")),
         "ai_tags": F.when(done, F.col("_tags")).otherwise(F.col("ai_tags")),
         "ai_category": F.when(done, F.col("_category")).otherwise(F.col("ai_category")),
         "ai_urgency": F.when(done, F.col("_urgency")).otherwise(F.col("ai_urgency")).cast("int"),

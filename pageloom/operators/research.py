@@ -79,48 +79,45 @@ def run_progress(runs: DataFrame) -> DataFrame:
     )
 
 
-# Longest domain the source table stores; longer ones are matched on their first characters first.
-_DOMAIN_CHARS = 255
-
-
-def _pieces(urls: DataFrame) -> DataFrame:
-    """Every piece of the urls that a domain could equal: runs of characters between / ? and #."""
-    part, start = F.col("_part"), F.col("_start")
-    longest = F.least(F.lit(_DOMAIN_CHARS), F.length(part) - start + 1)
-    return (
-        urls.select(F.lower("url").alias("_url"))
-        .select("_url", F.explode(F.split("_url", "[/?#]")).alias("_part"))
-        .filter("_part <> ''")
-        .select("_url", "_part", F.explode(F.sequence(F.lit(1), F.length(part))).alias("_start"))
-        .select("_url", "_part", "_start", F.explode(F.sequence(F.lit(1), longest)).alias("_len"))
-        .select("_url", F.substring(part, start, F.col("_len")).alias("_piece"))
-    )
+# Characters of the piece by which a domain looks for the urls that hold it.
+_ANCHOR = 8
+
+
+def _parts(text: Column, length: Column) -> Column:
+    """All runs of ``length`` characters of a text, as an array."""
+    places = F.sequence(F.lit(1), F.length(text) - length + 1)
+    none = F.array().cast("array<string>")
+    return F.when(F.length(text) >= length, F.transform(places, lambda i: F.substring(text, i, length))).otherwise(none)
 
 
 def unmonitored_domains(domains: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Domains that no discovery job's url contains, in any case.
+    """Domains that no discovery job's url contains, in any case; a null domain is left out.
 
-    "Contains" becomes equality: each job url is cut into the pieces a domain could be, and the
-    domains are anti-joined on them, so no domain is compared with every job. A domain with a
-    pattern sign (``_`` or ``%`` match anything in the store this replaces), or an overlong one, is
-    joined on its longest plain run and then compared as a pattern.
+    ``_`` and ``%`` in a domain match any character and any run, as in the store this replaces. A domain is looked up by
+    one piece of its plain text (of its longest plain run, for a pattern): the piece of up to ``_ANCHOR`` characters
+    that the fewest urls hold. Urls with that piece are then compared. A url has one piece per place and length, so the
+    work grows with the length of the urls. A pattern without plain text only asks whether some url is long enough.
     """
-    watched = jobs.filter(F.col("job_type") == schemas.DISCOVERY).select("url").distinct()
-    pieces = _pieces(watched)
+    watched = jobs.filter(F.col("job_type") == schemas.DISCOVERY).select(F.lower("url").alias("_url")).filter("_url is not null").distinct()
     low = F.lower("domain")
-    odd = F.col("domain").rlike("[%_]") | (F.length("domain") > _DOMAIN_CHARS)
-    plain = domains.filter(~odd).withColumn("_piece", low).join(
-        pieces.select("_piece").distinct(), "_piece", "left_anti"
-    )
     runs = F.array_sort(F.split(low, "[%_]"), lambda a, b: F.length(b) - F.length(a))
-    patterned = domains.filter(odd).withColumns({
-        "_piece": F.substring(F.element_at(runs, 1), 1, _DOMAIN_CHARS),
-        "_like": F.concat(F.lit("%"), low, F.lit("%")),
-    })
-    matched = patterned.alias("d").join(
-        pieces.alias("p"), (F.col("d._piece") == F.col("p._piece")) & F.expr("p._url like d._like"), "left_anti"
-    )
-    return plain.drop("_piece").unionByName(matched.drop("_piece", "_like"))
+    wanted = domains.filter("domain is not null").select(
+        "domain", low.alias("_low"), F.element_at(runs, 1).alias("_run"), F.concat(F.lit("%"), F.replace(low, F.lit("\\"), F.lit("\\\\")), F.lit("%")).alias("_like"),
+        (F.length("domain") - F.length(F.replace("domain", F.lit("_"), F.lit("")))).alias("_least"),
+    ).distinct().withColumn("_length", F.least(F.lit(_ANCHOR), F.length("_run")))
+    # one number, and at most _ANCHOR lengths
+    longest = watched.agg(F.max(F.length("_url")).alias("n")).head()["n"]
+    lengths = sorted(r["_length"] for r in wanted.select("_length").distinct().collect() if r["_length"])
+    pieces = watched.select("_url", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[_parts(F.col("_url"), F.lit(n)) for n in lengths]))).alias("_piece"))
+    held = pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_urls"))
+    asked = wanted.filter("_length > 0").withColumn("_piece", F.explode(F.array_distinct(_parts(F.col("_run"), F.col("_length")))))
+    anchors = asked.join(held, "_piece", "left").groupBy("domain", "_like").agg(
+        F.min(F.struct(F.coalesce("_urls", F.lit(0)).alias("_urls"), "_piece")).alias("_best")
+    ).select("domain", "_like", "_best._piece", "_best._urls").filter("_urls > 0").drop("_urls")
+    found = anchors.join(pieces, "_piece").filter(F.expr("_url like _like")).select("domain")
+    if longest is not None:
+        found = found.unionByName(wanted.filter((F.col("_length") == 0) & (F.col("_least") <= longest)).select("domain"))
+    return domains.filter("domain is not null").join(found.distinct(), "domain", "left_anti")
 
 
 def promotions(used: DataFrame, articles: DataFrame, jobs: DataFrame) -> DataFrame:

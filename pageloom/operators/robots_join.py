@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from pageloom.functions import fixed_values as V
 from pageloom.functions.urls import netloc
-from pageloom.operators.skew import lookup_join
 from pageloom.sources.robots import decoded, robots_policy
 
 _TARGET = r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?(.*)$"
@@ -23,7 +22,7 @@ def robots_join(urls: DataFrame, files: DataFrame, agent: str = V.BOT_AGENT) ->
     policy = robots_policy(files, agent)
     target = decoded(F.regexp_extract("url", _TARGET, 1))
     target = F.when(target == "", "/").otherwise(target)
-    joined = lookup_join(urls.withColumn("host", netloc("url")), policy, "host", spread="url")
+    joined = urls.withColumn("host", netloc("url")).join(policy, "host", "left")
     hit = F.get(F.filter("rules", lambda r: F.col("_target").startswith(r["prefix"])), F.lit(0))
     return (
         joined.withColumn("_target", target)

@@ -3,28 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SALTS = 16
-# Up to here Spark cuts groups before the shuffle (spark.sql.optimizer.windowGroupLimitThreshold).
-_GROUP_LIMIT = 1000
 
 
 def _salt(*columns: Column | str) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(SALTS)).cast("int")
 
 
-def lookup_join(facts: DataFrame, lookup: DataFrame, key: str, spread: str, how: str = "left") -> DataFrame:
-    """Join many rows to a table with one row per ``key``; a hot key spreads over ``SALTS`` tasks.
-
-    ``spread`` is a column of ``facts`` that differs between the rows of one key. The looked-up side is copied once per salt, which is cheap as it holds one row per key. It is
-    broadcast only when Spark's own size limit allows.
-    """
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return facts.withColumn("_salt", _salt(spread)).join(copies, [key, "_salt"], how).drop("_salt")
+def null_safe(left: Sequence[Column | str], right: Sequence[Column | str]) -> Column:
+    """All pairs of columns are equal, two nulls included."""
+    as_col = lambda c: F.col(c) if isinstance(c, str) else c
+    return reduce(lambda a, b: a & b, [as_col(x).eqNullSafe(as_col(y)) for x, y in zip(left, right, strict=True)])
 
 
 def per_key_limit(
@@ -32,17 +27,15 @@ def per_key_limit(
 ) -> DataFrame:
     """First ``n`` rows per key in the given order; ``n`` is a number or a column that is equal within a key.
 
-    No task sorts a whole hot key. For a small number Spark itself keeps ``n`` rows per key and task
-    before the shuffle. Otherwise a first cut within salted parts of each key does: it leaves
-    at most ``SALTS * n`` rows per key.
+    No task sorts a whole hot key: a first cut within salted parts of each key leaves at most
+    ``SALTS * n`` rows per key.
     """
     keys = [key] if isinstance(key, str) else list(key)
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     limit = F.col(n) if isinstance(n, str) else F.lit(n)
-    if isinstance(n, str) or n >= _GROUP_LIMIT:
-        part = W.partitionBy(*keys, "_salt").orderBy(*order)
-        df = df.withColumn("_salt", _salt(spread)).withColumn("_n", F.row_number().over(part))
-        df = df.filter(F.col("_n") <= limit).drop("_salt")
+    part = W.partitionBy(*keys, "_salt").orderBy(*order)
+    df = df.withColumn("_salt", _salt(spread)).withColumn("_n", F.row_number().over(part))
+    df = df.filter(F.col("_n") <= limit).drop("_salt")
     whole = W.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_n", F.row_number().over(whole)).filter(F.col("_n") <= limit).drop("_n")
 
@@ -59,9 +52,10 @@ def spread_rank(
 
     The rows of a key are numbered in 4096 hash parts per lead value; running sums over the part
     counts turn part numbers into ranks. Neither step brings a whole key to one task. ``start``
-    is a one-row frame with a column ``n``: the rank to begin after (only without keys).
+    is a one-row frame with a column ``n``: the rank to begin after (only without keys). Null keys and
+    values rank like any other: nulls are one key, and a null ``unique`` hashes like an empty text.
     """
-    hashed = F.md5(F.col(unique))
+    hashed = F.md5(F.coalesce(F.col(unique).cast("string"), F.lit("")))
     parts = df.withColumn("_hash", hashed).withColumn("_part", F.substring("_hash", 1, 3))
     group = [*keys, *[name for name, _ in lead], "_part"]
     counts = parts.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
@@ -74,11 +68,12 @@ def spread_rank(
         "_before", F.sum("_n").over(running.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("_n")
     ).drop("_n")
     inside = W.partitionBy(*group).orderBy("_hash", unique)
+    known = before.select(*[F.col(c).alias(f"_of_{c}") for c in group], "_before")
     return (
         parts.withColumn("_row", F.row_number().over(inside))
-        .join(before, group)
+        .join(known, null_safe(group, [f"_of_{c}" for c in group]))
         .withColumn(out, (F.col("_before") + F.col("_row")).cast("long"))
-        .drop("_hash", "_part", "_row", "_before")
+        .drop("_hash", "_part", "_row", "_before", *[f"_of_{c}" for c in group])
     )
 
 

@@ -53,14 +53,14 @@ def flatten_summary(spark, folder):
 
 @query()
 def embed_documents(spark, folder):
-    """Default model over whole documents' heads; its vectors are checked in the tests."""
+    """Default model over whole documents; its vectors are checked in the tests."""
     docs = D.documents(spark, folder).select("doc_id", "text")
-    vectors = E.embed_documents(docs, "text", dim=64)
+    vectors = E.embed_documents(docs, "text")
     return vectors.select("doc_id", F.size("embedding").alias("dims"))
 
 
 _ANALYSIS = f"""
-    WITH heads AS (SELECT doc_id, substring(text, 1, 3000) AS h FROM documents),
+    WITH heads AS (SELECT doc_id, text AS h FROM documents),
     words AS (SELECT doc_id, unnest(string_split_regex(lower(h), '[^\\p{{L}}]+')) AS w FROM heads),
     counted AS (SELECT doc_id, w, count(*) AS n FROM words WHERE length(w) >= 4 GROUP BY doc_id, w),
     ranked AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, w) AS r FROM counted),
@@ -87,7 +87,7 @@ def analyze_documents(spark, folder):
            FROM d JOIN documents x ON x.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id""")
 def enrich_articles(spark, folder):
     cols = ["id", "clean_text", "summary", "embedding", "ai_status", "ai_error_log", "ai_tags", "ai_category", "ai_urgency"]
-    done = C.enrich_articles(D.articles(spark, folder, cols, spread=True), dim=64)
+    done = C.enrich_articles(D.articles(spark, folder, cols))
     return done.select("id", "ai_status", "ai_category", "ai_urgency", F.array_join("ai_tags", ", ").alias("tags"))
 
 

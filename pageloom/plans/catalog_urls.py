@@ -160,15 +160,13 @@ def url_join_dots(spark, folder):
            LEFT JOIN (SELECT DISTINCT 'https://' || host || '/' AS src, 'https://www.' || host || '//' AS url FROM hosts
              WHERE md5(host) < '8') r ON r.src = s.u""", "hosts")
 def normalize_source(spark, folder):
-    from pageloom.operators.skew import lookup_join
-
     raw = F.when(F.col("page_id") % 2 == 0, F.col("url")).otherwise(F.concat(U.netloc("url"), F.lit("/")))
     given = D.page_urls(spark, folder).select("page_id", raw.alias("raw")).withColumn("asked", U.with_scheme("raw"))
     redirects = D.hosts(spark, folder).filter(F.md5("host") < "8").select(
         F.concat(F.lit("https://"), F.col("host"), F.lit("/")).alias("asked"),
         F.concat(F.lit("https://www."), F.col("host"), F.lit("//")).alias("final_url"),
     )
-    resolved = lookup_join(given, redirects, "asked", spread="page_id")
+    resolved = given.join(redirects, "asked", "left")
     return resolved.select("page_id", "raw", U.strip_trailing_slashes(F.coalesce("final_url", "asked")).alias("base"))
 
 

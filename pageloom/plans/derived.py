@@ -47,11 +47,11 @@ _LABELLED = {"ai_status", "ai_error_log", "ai_tags", "ai_urgency"}
 
 
 def articles(
-    spark: SparkSession, folder: str, cols: Sequence[str] | None = None, spread: bool = False
+    spark: SparkSession, folder: str, cols: Sequence[str] | None = None
 ) -> DataFrame:
     """The article table; only the tables behind the asked columns are read."""
     cols = list(cols or _ARTICLE)
-    df = table(spark, folder, "documents", spread=spread)
+    df = table(spark, folder, "documents")
     if _LABELLED & set(cols):
         df = df.join(table(spark, folder, "labels", ["doc_id", "toxic"]), "doc_id", "left")
     if "embedding" in cols:
@@ -61,7 +61,7 @@ def articles(
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "pages", spread=True)
+    return table(spark, folder, "pages")
 
 
 def page_urls(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,7 +69,7 @@ def page_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents", spread=True)
+    return table(spark, folder, "documents")
 
 
 def page_log(spark: SparkSession, folder: str) -> DataFrame:

@@ -11,23 +11,10 @@ from pyspark.sql import types as T
 from pageloom import schemas
 
 
-def table(
-    spark: SparkSession, folder: str, name: str, cols: Sequence[str] | None = None, spread: bool = False
-) -> DataFrame:
-    """A table of the folder. ``spread`` is for tables whose rows are costly to process: see ``spread_scan``."""
+def table(spark: SparkSession, folder: str, name: str, cols: Sequence[str] | None = None) -> DataFrame:
+    """A table of the folder. How finely it is read is up to ``spark.sql.files.maxPartitionBytes`` and the like."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    df = df.select(*cols) if cols else df
-    return spread_scan(df) if spread else df
-
-
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Give a scan that has fewer splits than there are cores one partition per core.
-
-    A file of few row groups would otherwise keep costly row work on few cores. A table with splits
-    enough, which is every large one, is left alone: nothing is shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df.select(*cols) if cols else df
 
 
 def stored_articles(spark: SparkSession, path: str, cols: Sequence[str] | None = None) -> DataFrame:

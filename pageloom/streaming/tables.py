@@ -53,16 +53,29 @@ def enrich_log(spark: SparkSession, folder: str) -> DataFrame:
     return _log(spark, folder, "enrich_log", ENRICH_LOG)
 
 
+def _same_history(spark: SparkSession, log: DataFrame, batch_id: int) -> None:
+    """Refuse to number batches anew over a log that holds later ones: ids and readings would mix."""
+    if not log.filter(F.col("batch_id") > batch_id).isEmpty():
+        raise RuntimeError(f"the log holds batches after {batch_id}: the stream's checkpoint was lost, use its copy or a new folder")
+
+
 def stream_ingest(
-    pages: DataFrame, robots_files: DataFrame, sources: DataFrame, folder: str, checkpoint: str
-) -> StreamingQuery:
-    """Read new page files as they land; one log folder per micro-batch, keyed by url."""
+    pages: DataFrame, robots_files: DataFrame, sources: DataFrame, folder: str, checkpoint: str,
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Read new page files as they land; one log folder per micro-batch, keyed by url.
+
+    ``trigger`` holds the arguments of Spark's trigger; without it all that is there is read and the stream ends.
+    A new checkpoint over a log of later batches is refused.
+    """
 
     def read(batch: DataFrame, batch_id: int) -> None:
         ts = F.current_timestamp().cast("timestamp_ntz")
         ok = readable_pages(batch.withColumn("seq", F.col("page_id")), robots_files).filter("ok")
         rows = materialize(last_per_url(read_articles(ok, sources, ts), "seq").withColumn("created_at", ts))
-        before = article_log(batch.sparkSession, folder).filter(F.col("batch_id") < batch_id)
+        log = article_log(batch.sparkSession, folder)
+        _same_history(batch.sparkSession, log, batch_id)
+        before = log.filter(F.col("batch_id") < batch_id)
         known = (
             before.select("url", "id", F.col("created_at").alias("_created"))
             .join(rows.select("url"), "url", "left_semi")
@@ -76,7 +89,7 @@ def stream_ingest(
 
     return (
         pages.writeStream.foreachBatch(read).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 
@@ -92,10 +105,12 @@ def stream_enrich(
     analyzers: Sequence[Analyzer] | None = None,
     model: Embedder | None = None,
     dim: int = V.EMBEDDING_DIM,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
-    """Enrich articles as the ingest stream hands them over."""
+    """Enrich articles as the ingest stream hands them over; ``trigger`` and a lost checkpoint as in ``stream_ingest``."""
 
     def enrich(batch: DataFrame, batch_id: int) -> None:
+        _same_history(batch.sparkSession, enrich_log(batch.sparkSession, folder), batch_id)
         text = F.col("clean_text")
         batch.select(
             "url", F.col("batch_id").alias("version"), analysis(text, analyzers).alias("analysis"),
@@ -104,7 +119,7 @@ def stream_enrich(
 
     return (
         read.writeStream.foreachBatch(enrich).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
+        .trigger(**(trigger or {"availableNow": True})).start()
     )
 
 

@@ -88,7 +88,8 @@ def test_embeddings(spark):
         return [[float(len(t))] for t in texts]
 
     df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, "x" * 3000)], "id int, t string").coalesce(1)
-    got = {r.id: r.embedding for r in E.embed_documents(df, "t", picky).collect()}
+    assert {r.id: r.embedding for r in E.embed_documents(df, "t", picky).collect()} == {1: [4.0], 2: None, 3: [3000.0]}
+    got = {r.id: r.embedding for r in E.embed_documents(df, "t", picky, max_chars=2000).collect()}
     assert got == {1: [4.0], 2: None, 3: [2000.0]}
 
 
@@ -133,12 +134,12 @@ def brute(articles, queries, k):
     return out
 
 
-@pytest.mark.parametrize("bound", [100, 3])
-def test_knn_equals_brute_force(spark, bound):
+@pytest.mark.parametrize("block", [100, 4])
+def test_knn_equals_brute_force(spark, block):
     a, q = vectors(spark, 300, 1, zero=(5,)), vectors(spark, 11, 2)
     arts = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(a)] + [(999, None)], "id bigint, embedding array<float>").repartition(5)
     asked = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(q)], "query_id bigint, embedding array<float>")
-    hits = knn_join(arts, asked, 7, broadcast_queries=bound, block=4, slice_=60)
+    hits = knn_join(arts, asked, 7, block=block, slice_=60)
     got = {}
     for r in hits.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append(r.id)

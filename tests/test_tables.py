@@ -175,6 +175,31 @@ def test_unmonitored_domains(spark):
     assert values(out, "domain") == sorted(["quiet.net", "m.example.com", "userx1.io", "x_y.io", "a" * 300], key=repr)
 
 
+def test_unmonitored_patterns(spark):
+    jobs = spark.createDataFrame([("https://ab.io/" + "x" * 300, "discovery"), ("https://rss.only", "rss"), (None, "discovery")], "url string, job_type string")
+    names = ["_", "%", "_" * 400, "x" * 300, "x" * 301, "b.i", "b_io", "ab%xx", "b\\io", "", "rss.only"]
+    out = R.unmonitored_domains(spark.createDataFrame([(d,) for d in names] + [(None,)], "domain string"), jobs)
+    assert values(out, "domain") == sorted(["_" * 400, "x" * 301, "b\\io", "rss.only"], key=repr)
+    none = R.unmonitored_domains(spark.createDataFrame([("_",), ("a.b",)], "domain string"), jobs.filter("job_type = 'x'"))
+    assert values(none, "domain") == ["_", "a.b"]
+
+
+def test_null_urls_keep_their_rows(spark):
+    new = spark.createDataFrame([("a",), (None,), ("b",), (None,)], "url string")
+    assert sorted(r.id for r in assign_ids(new, "url").collect()) == [1, 2, 3, 4]
+    ranked = spread_rank(spark.createDataFrame([(None, 1, "x"), ("h", None, None), (None, 2, None)], "host string, score int, u string"), ["host"], [("score", True)], "u", "rank")
+    assert values(ranked, "host", "score", "rank") == sorted([(None, 2, 1), (None, 1, 2), ("h", None, 1)], key=repr)
+
+
+def test_empty_summary_keeps_the_old_one(spark):
+    art = spark.createDataFrame([(1, "old", "pending"), (2, "old", "pending")], "id long, summary string, ai_status string")
+    for name, kind in (("ai_tags", "array<string>"), ("ai_category", "string"), ("ai_urgency", "int"), ("embedding", "array<float>"), ("ai_error_log", "string")):
+        art = art.withColumn(name, F.lit(None).cast(kind))
+    found = spark.createDataFrame([(1, "", ["t"], "c", 3), (2, "new", ["t"], "c", 3)], "id long, summary string, tags array<string>, category string, urgency int")
+    out = M.apply_enrichment(art, found, spark.createDataFrame([], "id long, embedding array<float>"))
+    assert values(out, "id", "summary") == [(1, "old"), (2, "new")]
+
+
 def test_promote_domains(spark):
     arts = spark.createDataFrame([(1, "http://n.com/1"), (2, "https://n.com/2"), (3, "https://old.com/x"), (4, "bad")], "id bigint, url string")
     jobs = spark.createDataFrame([(9, "j", "https://www.old.com/feed", "discovery", 10, 3600, True, None, OLD)], schemas.JOBS)
