@@ -113,7 +113,7 @@ def _window_rows(docs: pa.Table, shared: pa.Table) -> pa.Table:
     known = np.sort(shared.column("h").to_numpy().view(np.uint64))
     x = _windows(one_batch(docs), known)
     order, new = _earliest(x)
-    first = order[new]
+    first = np.sort(order[new])  # in order of the texts: neighbouring rows are alike and shrink when they are shuffled
     block = docs.column("_block")[0].as_py() if docs.num_rows else 0
     return pa.table({
         "_block": pa.array(np.full(len(first), block)), "h": pa.array(x["h"][first].view(np.int64)),
@@ -161,7 +161,7 @@ def factors(duplicate: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def _parse(docs: pa.Table, known: pa.Table, schema: pa.Schema) -> pa.Table:
+def _parse(docs: pa.Table, known: pa.Table, schema: pa.Schema, layout: bool) -> pa.Table:
     batch = one_batch(docs)
     duplicate = _duplicate(batch, known)
     out, used = [], 0
@@ -176,10 +176,17 @@ def _parse(docs: pa.Table, known: pa.Table, schema: pa.Schema) -> pa.Table:
             keep = np.ones(b - a, dtype=bool)
             for s, e in found:
                 keep[s:e] = False
-            at = (np.flatnonzero(keep) + a).tolist()
-            texts.append(b" ".join(raw[s:e] for s, e in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)))
+            if layout:
+                edges = [0, *(x for span in found for x in span), b - a]
+                runs_left = [(s + a, e + a - 1) for s, e in zip(edges[::2], edges[1::2], strict=True) if s < e]
+                whole = (int(w.offsets[i]), int(w.offsets[i + 1]))
+                parts = [(w.start[s], w.end[e]) for s, e in runs_left] if found else [whole]
+            else:
+                at = np.flatnonzero(keep) + a
+                parts = zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)
+            texts.append(b" ".join(raw[s:e] for s, e in parts))
             n_words.append(b - a)
-            n_removed.append(b - a - len(at))
+            n_removed.append(b - a - int(keep.sum()))
             spans.append([{"start": s, "stop": e} for s, e in found])
         made = {
             "text": pa.array(texts, pa.binary()).cast(pa.string()), "n_words": pa.array(n_words, pa.int64()),
@@ -191,12 +198,12 @@ def _parse(docs: pa.Table, known: pa.Table, schema: pa.Schema) -> pa.Table:
     return pa.Table.from_batches(out, schema=schema)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", layout: bool = False) -> DataFrame:
     """The rows of ``docs`` with repeated passages taken out, and n_words, n_removed, factors (start, stop; in words).
 
     A word (run of bytes other than blank and 9..13) goes if it lies in ``WINDOW`` consecutive words of its document that
-    also start earlier: in a document of smaller id, or earlier in the same one. What is left is joined by one blank. A null
-    text comes back empty; fewer words than a window stay. A null id counts as smaller than any; rows of one id and equal place
+    also start earlier: in a document of smaller id, or earlier in the same one. What is left is joined by one blank, word
+    by word, or with ``layout`` run by run as it stood, so that a text without repeats stays as it is. A null text comes back empty; fewer words than a window stay. A null id counts as smaller than any; rows of one id and equal place
     are one place, so a repeated row keeps its words. Other columns come along unchanged, under any name but those added.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -216,7 +223,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     added = StructType.fromDDL("n_words bigint, n_removed bigint, factors array<struct<start: bigint, stop: bigint>>")
     schema = StructType([f for f in rows.schema.fields if f.name != "_block"] + added.fields)
     arrow = to_arrow_schema(schema)
-    out = by_block.cogroup(earlier.groupBy("_block")).applyInArrow(lambda a, b: _parse(a, b, arrow), schema)
+    out = by_block.cogroup(earlier.groupBy("_block")).applyInArrow(lambda a, b: _parse(a, b, arrow, layout), schema)
     names = dict(zip([f"x{i}" for i in range(len(extra))], extra, strict=True)) | {"doc_id": key, "text": text}
     order = {c: i for i, c in enumerate([c for c in docs.columns if c in (key, text, *extra)])}
     cols = sorted(names, key=lambda c: order[names[c]])
