@@ -10,7 +10,9 @@ UTILITY_TERMS = (
 
 # Link classes.
 INDEX_KEYWORDS = ("blog", "news", "article", "post", "story", "feed", "tag", "category", "archive")
-MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+YEAR_IN_PATH = r"/20[0-9]{2}/"
+MONTH_IN_PATH = r"/(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)/"
+ID_AT_END = r"[-/]\d{4,}(\.html)?$"
 
 # Sitemap scores.
 NEWS_SITEMAP_TERMS = ("sitemap-news", "news-sitemap")
@@ -24,6 +26,8 @@ COMMON_SITEMAP_PATHS = ("/sitemap.xml", "/sitemap_index.xml", "/sitemap-news.xml
 
 # Job types by url: marker, then (interval in seconds, label).
 FEED_MARKERS = (".xml", ".rss", "/feed", "feeds.")
+DATE_IN_URL = r"/\d{4}/\d{2}/"
+ID_IN_URL = r"[-/]\d{6,}"
 SOURCE_TYPES = {
     "rss": (600, "RSS Feed"),
     "single": (0, "Single Article"),

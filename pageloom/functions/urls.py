@@ -62,9 +62,9 @@ def classify_link(url_path: Column | str) -> Column:
     low = F.lower(_col(url_path))
     index = _any(low.contains("/" + k) for k in V.INDEX_KEYWORDS)
     return (
-        F.when(low.rlike(r"/20[0-9]{2}/"), "article")
-        .when(low.rlike("/(" + "|".join(V.MONTHS) + ")/"), "article")
-        .when(low.rlike(r"[-/]\d{4,}(\.html)?$"), "article")
+        F.when(low.rlike(V.YEAR_IN_PATH), "article")
+        .when(low.rlike(V.MONTH_IN_PATH), "article")
+        .when(low.rlike(V.ID_AT_END), "article")
         .when(index, "index")
         .otherwise("unknown")
     )
@@ -91,7 +91,7 @@ def detect_source_type(url: Column | str) -> Column:
         )
 
     feed = _any(low.contains(m) for m in V.FEED_MARKERS)
-    single = low.rlike(r"/\d{4}/\d{2}/") | low.rlike(r"[-/]\d{6,}")
+    single = low.rlike(V.DATE_IN_URL) | low.rlike(V.ID_IN_URL)
     return F.when(feed, kind("rss")).when(single, kind("single")).otherwise(kind("discovery"))
 
 

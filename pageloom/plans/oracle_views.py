@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
+from pageloom.functions import fixed_values as V
+
 NETLOC = r"'^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)'"
 HIDDEN = r"'(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>'"
 HREF = r"""'(?is)<a\s(?:[^>]*?\s)?href\s*=\s*"([^"]*)"'"""
@@ -12,50 +16,44 @@ def netloc(url: str) -> str:
 
 
 def excerpt(text: str) -> str:
-    return f"CASE WHEN length({text}) > 200 THEN substring({text}, 1, 200) || '...' ELSE {text} END"
+    n = V.SUMMARY_CHARS
+    return f"CASE WHEN length({text}) > {n} THEN substring({text}, 1, {n}) || '...' ELSE {text} END"
+
+
+def _holds_any(text: str, terms: Iterable[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{t}')" for t in terms) + ")"
+
+
+def _hits(text: str, terms: Iterable[str]) -> str:
+    return "(" + " + ".join(f"CAST(contains({text}, '{t}') AS BIGINT)" for t in terms) + ")"
 
 
 def useful(url: str) -> str:
     low = f"lower({url})"
-    return (
-        rf"NOT regexp_matches({low}, '\.(png|jpg|jpeg|gif|svg|css|js|pdf|zip|mp4)$') AND NOT regexp_matches({low}, "
-        r"'login|register|signin|signup|contact|cart|checkout|account|#|javascript:|/ads/|/redirect/|/banner/|/click/"
-        r"|youtube\.com|youtu\.be|vimeo\.com|dailymotion\.com')"
-    )
+    asset = " OR ".join(f"ends_with({low}, '{s}')" for s in V.ASSET_SUFFIXES)
+    return f"NOT ({asset}) AND NOT {_holds_any(low, V.UTILITY_TERMS)}"
 
 
 def classify(path: str) -> str:
     low = f"lower({path})"
-    return (
-        rf"CASE WHEN regexp_matches({low}, '/20[0-9][0-9]/') THEN 'article' "
-        rf"WHEN regexp_matches({low}, '/(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)/') THEN 'article' "
-        rf"WHEN regexp_matches({low}, '[-/]\d\d\d\d+(\.html)?$') THEN 'article' "
-        rf"WHEN regexp_matches({low}, '/(blog|news|article|post|story|feed|tag|category|archive)') THEN 'index' "
-        "ELSE 'unknown' END"
-    )
+    article = " OR ".join(f"regexp_matches({low}, '{p}')" for p in (V.YEAR_IN_PATH, V.MONTH_IN_PATH, V.ID_AT_END))
+    index = _holds_any(low, [f"/{k}" for k in V.INDEX_KEYWORDS])
+    return f"CASE WHEN {article} THEN 'article' WHEN {index} THEN 'index' ELSE 'unknown' END"
 
 
 def score(url: str) -> str:
     low = f"lower({url})"
-
-    def hits(terms: str) -> str:
-        return " + ".join(f"CAST(contains({low}, '{t}') AS BIGINT)" for t in terms.split())
-
+    news = f"CAST({_holds_any(low, V.NEWS_SITEMAP_TERMS)} AS BIGINT)"
     return (
-        f"(CAST(contains({low}, 'sitemap-news') OR contains({low}, 'news-sitemap') AS BIGINT) * 100 "
-        f"+ ({hits('news en-us uk world front-page top')}) * 10 - 1000 * ("
-        + hits("gahuza arabic hindi urdu pashto mundo brasil russian turkish vietnamese bengali tamil nepali zhongwen indonesia")
-        + "))"
+        f"({news} * {V.NEWS_SCORE} + {_hits(low, V.PRIORITY_TERMS)} * {V.PRIORITY_SCORE} "
+        f"+ {_hits(low, V.SKIP_TERMS)} * ({V.SKIP_SCORE}))"
     )
 
 
 def source_type(url: str) -> str:
     low = f"trim(lower({url}))"
-    return (
-        rf"CASE WHEN regexp_matches({low}, '\.xml|\.rss|/feed|feeds\.') THEN 'rss' "
-        rf"WHEN regexp_matches({low}, '/\d\d\d\d/\d\d/') OR regexp_matches({low}, '[-/]\d\d\d\d\d\d') THEN 'single' "
-        "ELSE 'discovery' END"
-    )
+    single = " OR ".join(f"regexp_matches({low}, '{p}')" for p in (V.DATE_IN_URL, V.ID_IN_URL))
+    return f"CASE WHEN {_holds_any(low, V.FEED_MARKERS)} THEN 'rss' WHEN {single} THEN 'single' ELSE 'discovery' END"
 
 
 def path(url: str) -> str:
@@ -179,7 +177,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "search_picked": (("search_rows",), f"""
         WITH u AS (SELECT * FROM search_rows WHERE {useful('url')}),
         a AS (SELECT topic, provider, rank, url FROM u WHERE provider = 'A' AND rank <= 3
-          AND NOT regexp_matches(url, 'youtube\\.com|facebook\\.com|twitter\\.com|tiktok\\.com')),
+          AND NOT {_holds_any('url', V.EXCLUDED_SEARCH_DOMAINS)}),
         b AS (SELECT topic, provider, rank, url, row_number() OVER (PARTITION BY topic ORDER BY rank, url) AS n
           FROM u WHERE provider = 'B' AND rank <= 6 AND topic NOT IN (SELECT topic FROM a))
         SELECT * FROM a UNION ALL SELECT topic, provider, rank, url FROM b WHERE n <= 3"""),
