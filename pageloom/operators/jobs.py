@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,11 +84,14 @@ def adapted_intervals(jobs: DataFrame, state: DataFrame) -> DataFrame:
     return joined.select(F.col("id").alias("job_id"), "last_seen", folded_interval().alias("interval_seconds"))
 
 
+#: After so many steps the largest 32-bit interval has shrunk to the minimum; cutting off fractions only hastens it.
+_STEPS = math.ceil(math.log(V.MIN_INTERVAL / (1 << 31)) / math.log(V.SHRINK))
+
+
 def folded_interval() -> Column:
     """Interval out of the columns ``reset``, ``last_calm``, ``n_calm`` and ``interval_seconds``."""
     start = F.col("interval_seconds")
-    # Past this many steps every 32-bit interval has shrunk to the minimum.
-    steps = F.least(F.coalesce("n_calm", F.lit(0)), F.lit(300)).cast("int")
+    steps = F.least(F.coalesce("n_calm", F.lit(0)), F.lit(_STEPS)).cast("int")
     shrunk = F.when(steps == 0, start).otherwise(
         F.aggregate(
             F.sequence(F.lit(1), F.greatest(steps, F.lit(1))),

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from pageloom.functions import fixed_values as V
 from pageloom.operators.articles import filter_embedded
+from pageloom.operators.enrich import Embedder, embedding
 from pageloom.operators.skew import per_key_limit
 
 # Queries and articles that meet in one task.
@@ -145,6 +146,17 @@ def knn_join(
     return with_rank(best, "query_id")
 
 
+def search_by_text(
+    articles: DataFrame, questions: DataFrame, k: int = V.AUDIT_HITS, model: Embedder | None = None, dim: int = V.EMBEDDING_DIM
+) -> DataFrame:
+    """Nearest articles for a table of questions (``query_id``, ``text``), each turned into a vector by ``model`` first.
+
+    The model must be the one that the article vectors come from. A question without words has no hits.
+    """
+    asked = questions.select("query_id", embedding(F.col("text"), model, dim).alias("embedding"))
+    return knn_join(articles, asked, k)
+
+
 def with_rank(hits: DataFrame, key: str) -> DataFrame:
     """Number the hits of each query from 1; the input holds at most k per query."""
     return hits.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy("distance", "id")))

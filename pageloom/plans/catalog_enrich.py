@@ -10,6 +10,7 @@ from pageloom.functions.urls import netloc
 from pageloom.operators import enrich as E
 from pageloom.operators import research as R
 from pageloom.operators.memory import knn_join
+from pageloom.operators.memory import search_by_text as text_search
 from pageloom.plans import composites as C
 from pageloom.plans import derived as D
 from pageloom.plans import oracle_views as O
@@ -83,12 +84,44 @@ def analyze_documents(spark, folder):
 @query(f"""WITH d AS ({_ANALYSIS}), a AS (SELECT doc_id, toxic FROM labels)
            SELECT d.doc_id AS id, 'completed' AS ai_status, CASE WHEN a.toxic = 0 THEN x.lang ELSE d.category END AS ai_category,
              CAST(CASE WHEN a.toxic = 0 THEN d.doc_id % 10 + 1 ELSE d.urgency END AS INTEGER) AS ai_urgency,
-             CASE WHEN a.toxic = 0 THEN x.lang || ', ' || x.source ELSE d.tags END AS tags
-           FROM d JOIN documents x ON x.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id""")
+             CASE WHEN a.toxic = 0 THEN x.lang || ', ' || x.source ELSE d.tags END AS tags,
+             CAST(CASE WHEN a.toxic = 0 THEN len(e.embedding) ELSE 768 END AS INTEGER) AS dims
+           FROM d JOIN documents x ON x.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id
+           LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
 def enrich_articles(spark, folder):
     cols = ["id", "clean_text", "summary", "embedding", "ai_status", "ai_error_log", "ai_tags", "ai_category", "ai_urgency"]
     done = C.enrich_articles(D.articles(spark, folder, cols))
-    return done.select("id", "ai_status", "ai_category", "ai_urgency", F.array_join("ai_tags", ", ").alias("tags"))
+    return done.select("id", "ai_status", "ai_category", "ai_urgency", F.array_join("ai_tags", ", ").alias("tags"), F.size("embedding").alias("dims"))
+
+
+@query()
+def search_by_text(spark, folder):
+    """Documents nearest to each benchmark text, both under the default model."""
+    docs = E.embed_documents(D.documents(spark, folder).select(F.col("doc_id").alias("id"), "text"), "text")
+    asked = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return text_search(docs, asked)
+
+
+_QUERY = "'topic ' || (item_id % 40)"
+
+
+@query(f"""SELECT run, url FROM (SELECT run, url, row_number() OVER (PARTITION BY run ORDER BY place, url) AS n FROM (
+             SELECT run, url, min(pos * 1000000 + rank) AS place FROM (
+               SELECT b.run, b.pos, s.rank, s.url, row_number() OVER (PARTITION BY b.run, b.pos ORDER BY s.rank, s.url) AS k
+               FROM (SELECT item_id AS run, 0 AS pos, {_QUERY} AS q FROM benchmark WHERE item_id % 3 <> 0
+                     UNION ALL SELECT item_id, 1, 'topic ' || (item_id % 7) FROM benchmark WHERE item_id % 3 = 1) b
+               JOIN (SELECT 'topic ' || (page_id % 40) AS q, page_id // 40 AS rank, url FROM pages) s ON s.q = b.q) WHERE k <= 3
+             GROUP BY run, url)) WHERE n <= 4""")
+def gap_list(spark, folder):
+    """Auditor replies: enough, two searches, or none (the prompt itself is searched)."""
+    items = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"))
+    own = F.concat(F.lit("topic "), (F.col("query_id") % 40).cast("string"))
+    other = F.concat(F.lit("topic "), (F.col("query_id") % 7).cast("string"))
+    reply = F.when(F.col("query_id") % 3 == 0, "yes, enough").when(F.col("query_id") % 3 == 1, F.concat(F.lit("NO\n\n "), own, F.lit(" \n-\n"), other))
+    asked = items.select("query_id", own.alias("prompt"))
+    pages = table(spark, folder, "pages").select(
+        F.concat(F.lit("topic "), (F.col("page_id") % 40).cast("string")).alias("query"), F.expr("page_id div 40").alias("rank"), "url")
+    return C.gap_list(asked, items.select("query_id", reply.alias("reply")), pages, 4)
 
 
 def _hits(spark, folder, k=10):

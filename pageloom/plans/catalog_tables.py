@@ -260,3 +260,10 @@ def run_progress(spark, folder):
 def run_counts(spark, folder):
     a = D.articles(spark, folder, ["ai_category", "ai_status"])
     return L.run_counts(a, "ai_category", completed=F.col("ai_status") == "completed", failed=F.col("ai_status") == "failed")
+
+
+@query("""SELECT id, CASE WHEN id % 2 = 0 THEN CAST(least(86400, floor(interval_seconds * 1.5)) AS INTEGER) ELSE interval_seconds END
+            AS interval_seconds FROM jobs""", "jobs")
+def rest_jobs(spark, folder):
+    jobs = D.jobs(spark, folder)
+    return C.rest_jobs(jobs, jobs.filter("id % 2 = 0").select("id")).select("id", "interval_seconds")

@@ -12,7 +12,7 @@ from pageloom import schemas
 from pageloom.functions import fixed_values as V
 from pageloom.functions.jsonx import content_json
 from pageloom.functions.schedule import adjust_interval
-from pageloom.functions.text import audit_prompt
+from pageloom.functions.text import audit_prompt, parse_audit
 from pageloom.functions.urls import netloc
 from pageloom.operators import articles as A
 from pageloom.operators import jobs as J
@@ -57,6 +57,7 @@ class Researched(NamedTuple):
     writer: DataFrame
     used: DataFrame
     promoted: Promoted
+    gaps: DataFrame | None = None
 
 
 class Dashboard(NamedTuple):
@@ -110,25 +111,22 @@ def enrich_articles(
 ) -> DataFrame:
     """Analyse and embed every article that is not completed; completed ones pass through unread.
 
-    Analysis and vector are computed next to the row they belong to, so nothing is shuffled.
+    One scan; analysis and vector are computed next to the row they belong to, so nothing is shuffled.
     """
-    text = F.col("clean_text")
-    opened = A.filter_pending(articles).withColumns(
-        {"_a": analysis(text, analyzers), "_v": embedding(text, model, dim)}
-    )
-    done = F.col("_a").isNotNull()
+    marked = articles.withColumn("_open", F.col("id").isNotNull() & ~F.col("ai_status").eqNullSafe(schemas.COMPLETED))
+    text = F.when(F.col("_open"), F.col("clean_text"))
+    read = marked.withColumns({"_a": analysis(text, analyzers), "_v": embedding(text, model, dim)})
+    done, lost = F.col("_open") & F.col("_a").isNotNull(), F.col("_open") & F.col("_a").isNull()
     values = {
         "summary": F.when(done, F.coalesce(F.nullif(F.col("_a.summary"), F.lit("")), "summary")).otherwise(F.col("summary")),
         "ai_tags": F.when(done, F.col("_a.tags")).otherwise(F.col("ai_tags")),
         "ai_category": F.when(done, F.col("_a.category")).otherwise(F.col("ai_category")),
         "ai_urgency": F.when(done, F.col("_a.urgency")).otherwise(F.col("ai_urgency")).cast("int"),
         "embedding": F.coalesce("_v", "embedding"),
-        "ai_status": F.when(done, schemas.COMPLETED).otherwise(schemas.FAILED),
-        "ai_error_log": F.when(~done, V.NO_ANALYSIS),
+        "ai_status": F.when(done, schemas.COMPLETED).when(lost, schemas.FAILED).otherwise(F.col("ai_status")),
+        "ai_error_log": F.when(lost, V.NO_ANALYSIS).when(~F.col("_open"), F.col("ai_error_log")),
     }
-    enriched = opened.select(*[values[c].alias(c) if c in values else F.col(c) for c in articles.columns])
-    rest = articles.filter(F.col("id").isNull() | F.col("ai_status").eqNullSafe(schemas.COMPLETED))
-    return rest.unionByName(enriched)
+    return read.select(*[values[c].alias(c) if c in values else F.col(c) for c in articles.columns])
 
 
 def adapt_jobs(jobs: DataFrame, history: DataFrame) -> DataFrame:
@@ -167,10 +165,10 @@ def discover_urls(
     """
     domains = sources.select(F.col("domain").alias("source"))
     ranked = L.rank_sitemaps(sitemaps).select("sitemap_url", F.col("host").alias("source"), "rank")
+    ranked = ranked.join(domains, "source", "left_semi")
     listed = (
-        sitemap_links(sitemap_docs).join(ranked, "sitemap_url")
+        sitemap_links(sitemap_docs, ranked).join(ranked, "sitemap_url")
         .select("source", "rank", F.struct("child", "pos").alias("pos"), "url")
-        .join(domains, "source", "left_semi")
     )
     from_sitemaps = materialize(L.discovery_limit(listed, limit))
     open_sources = domains if force else domains.join(from_sitemaps.select("source").distinct(), "source", "left_anti")
@@ -185,7 +183,8 @@ def poll_feeds(feeds: DataFrame, jobs: DataFrame, articles: DataFrame) -> DataFr
     asked = jobs.filter(F.col("job_type") == schemas.RSS).select(
         F.col("url").alias("feed_url"), F.col("id").alias("job_id"), "items_limit"
     )
-    items = feed_items(feeds).join(asked, "feed_url")
+    watched = feeds.join(asked.select("feed_url").distinct(), "feed_url", "left_semi")
+    items = feed_items(watched).join(asked, "feed_url")
     return A.new_urls(L.feed_limit(items, "items_limit"), articles).select("job_id", "feed_url", "pos", "url")
 
 
@@ -210,7 +209,7 @@ def promote_domains(
     used: DataFrame, articles: DataFrame, jobs: DataFrame, sources: DataFrame, ts: Column
 ) -> Promoted:
     """Daily discovery jobs, and sources, for the unmonitored domains of the used articles."""
-    fresh = R.promotions(used, articles, jobs)
+    fresh = materialize(R.promotions(used, articles, jobs))
     urls = fresh.select(F.concat(F.col("scheme"), F.lit("://"), F.col("domain")).alias("url"))
     return Promoted(
         M.register_sources(sources, urls, ts, crawled=False),
@@ -218,20 +217,36 @@ def promote_domains(
     )
 
 
+def gap_list(queries: DataFrame, replies: DataFrame, results: DataFrame, n: int) -> DataFrame:
+    """Urls to fetch for each query (query_id, prompt) that the auditor found lacking: (run, url), ``n`` per run.
+
+    ``replies``: (query_id, reply) of the auditor; ``results``: (query, rank, url) of the web search. A query without a
+    reply counts as lacking and is searched by its own prompt.
+    """
+    asked = queries.select("query_id", "prompt").join(replies.select("query_id", "reply"), "query_id", "left")
+    searches = asked.withColumn("audit", parse_audit(F.col("reply"), F.col("prompt"))).select(
+        F.col("query_id").alias("run"), F.posexplode("audit.queries").alias("query_pos", "query")
+    )
+    return L.gap_targets(searches.join(results.select("query", "rank", "url"), "query").select("run", "query_pos", "rank", "url"), n)
+
+
 def research_report(
-    queries: DataFrame, articles: DataFrame, jobs: DataFrame, sources: DataFrame, ts: Column
-) -> Researched:
+    queries: DataFrame, articles: DataFrame, jobs: DataFrame, sources: DataFrame, ts: Column,
+    replies: DataFrame | None = None, results: DataFrame | None = None, fetch: int = V.WRITER_HITS,
+) -> Researched:
     """For each query (query_id, prompt, embedding): audit text, writer context, used articles, promotions.
 
-    One search for ten hits serves the audit, which takes the first five, and the writer.
+    One search for ten hits, written once, serves the audit, which takes the first five, and the writer. With the
+    auditor's ``replies`` and search ``results`` there is also the list of urls to fetch (see ``gap_list``).
     """
-    found = knn_join(articles, queries, V.WRITER_HITS)
+    found = materialize(knn_join(articles, queries, V.WRITER_HITS))
     hits = found.join(articles.select("id", "title", "summary"), "id")
     audit = R.audit_context(queries, hits).join(queries.select("query_id", "prompt"), "query_id").select(
         "query_id", "context", audit_prompt(F.col("prompt"), F.col("context")).alias("audit_prompt")
     )
     promoted = promote_domains(found.select("id").distinct(), articles, jobs, sources, ts)
-    return Researched(found, audit, R.context_block(hits, "writer"), R.used_article_ids(found), promoted)
+    gaps = gap_list(queries, replies, results, fetch) if replies is not None and results is not None else None
+    return Researched(found, audit, R.context_block(hits, "writer"), R.used_article_ids(found), promoted, gaps)
 
 
 def dashboard_tables(articles: DataFrame) -> Dashboard:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.functions.text import strip, unescape_common
+from pageloom.session import materialize
 
 _ITEM = "struct<title:string,link:string>"
 _ENTRY = "struct<title:string,link:array<struct<_href:string,_rel:string>>>"
@@ -69,14 +70,16 @@ def sitemap_urls(docs: DataFrame) -> DataFrame:
     )
 
 
-def sitemap_links(docs: DataFrame) -> DataFrame:
-    """Page urls of each sitemap; the children of an index count as part of it, in index order."""
-    index = F.col("xml").contains("<sitemapindex")
-    pages = sitemap_urls(docs.filter(~index)).filter("kind = 'url'").select(
-        F.col("sitemap_url").alias("child_url"), "pos", F.col("loc").alias("url")
-    )
-    children = sitemap_urls(docs.filter(index)).filter("kind = 'sitemap'").select(
-        "sitemap_url", F.col("pos").alias("child"), F.col("loc").alias("child_url")
-    )
-    own = pages.select(F.col("child_url").alias("sitemap_url"), F.lit(-1).alias("child"), "pos", "url")
+def sitemap_links(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Page urls of each sitemap; the children of an index count as part of it, in index order.
+
+    Only the ``wanted`` ones (sitemap_url) are parsed, if given, and after them the children that they name. The
+    locations found first are written once.
+    """
+    top = docs if wanted is None else docs.join(wanted.select("sitemap_url").distinct(), "sitemap_url", "left_semi")
+    found = materialize(sitemap_urls(top))
+    own = found.filter("kind = 'url'").select("sitemap_url", F.lit(-1).alias("child"), "pos", F.col("loc").alias("url"))
+    children = found.filter("kind = 'sitemap'").select("sitemap_url", F.col("pos").alias("child"), F.col("loc").alias("child_url"))
+    named = docs.join(children.select(F.col("child_url").alias("sitemap_url")).distinct(), "sitemap_url", "left_semi")
+    pages = sitemap_urls(named).filter("kind = 'url'").select(F.col("sitemap_url").alias("child_url"), "pos", F.col("loc").alias("url"))
     return own.unionByName(children.join(pages, "child_url").select("sitemap_url", "child", "pos", "url"))

@@ -13,11 +13,17 @@ from pageloom import schemas
 from pageloom.operators.jobs import interval_state
 
 
-def stream_dedupe(stream: DataFrame, delay: str, event_time: str = "ts") -> DataFrame:
-    """Each url once within the delay; rows of a table are simply made distinct by url."""
-    if not stream.isStreaming:
-        return stream.dropDuplicates(["url"])
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["url"])
+def stream_dedupe(stream: DataFrame, delay: str, event_time: str = "ts", stored: DataFrame | None = None) -> DataFrame:
+    """Each url once within the delay; rows of a table are simply made distinct by url.
+
+    Urls in ``stored`` (url), a table that each micro-batch reads anew, are left out, so a copy that comes
+    after the delay does no harm once the first one is stored.
+    """
+    if stream.isStreaming:
+        once = stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["url"])
+    else:
+        once = stream.dropDuplicates(["url"])
+    return once if stored is None else once.join(stored.select("url").distinct(), "url", "left_anti").select(*stream.columns)
 
 
 def status_state(events: DataFrame) -> DataFrame:

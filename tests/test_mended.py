@@ -9,7 +9,8 @@ from pageloom.operators import articles as A
 from pageloom.operators import enrich as E
 from pageloom.operators.crawl import crawl_frontier
 from pageloom.operators.extract import extract_articles
-from pageloom.operators.memory import _nearest
+from pageloom.operators.memory import _nearest, search_by_text
+from pageloom.streaming.state import stream_dedupe
 
 
 def test_entities_are_decoded_everywhere(spark):
@@ -65,3 +66,26 @@ def test_equal_vectors_keep_k_rows(spark):
     ids = np.arange(5000)[::-1].copy()
     q, found, _ = _nearest(np.arange(600), queries, [(ids[:2500], same[:2500]), (ids[2500:], same[2500:])], 3)
     assert len(q) == 1800 and set(found.tolist()) == {0, 1, 2}
+
+
+def test_search_by_text_finds_the_text_itself(spark):
+    texts = ["alpha beta gamma", "delta epsilon", "zeta eta theta iota", ""]
+    docs = E.embed_documents(spark.createDataFrame(list(enumerate(texts)), "id bigint, text string"), "text")
+    asked = spark.createDataFrame([(i + 10, t) for i, t in enumerate(texts)], "query_id bigint, text string")
+    got = search_by_text(docs, asked, 1)
+    assert values(got, "query_id", "id") == [(10, 0), (11, 1), (12, 2)]
+
+
+def test_dedupe_leaves_out_stored_urls(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "url string, n int")
+    stored = spark.createDataFrame([("b",), ("b",), ("z",)], "url string")
+    assert values(stream_dedupe(rows, "1 hour", stored=stored), "url") == sorted(["a", None], key=repr)
+
+
+def test_lost_checkpoint_is_refused(spark, tmp_path):
+    from pageloom.streaming.tables import _same_history
+
+    log = spark.createDataFrame([(0,), (2,)], "batch_id bigint")
+    _same_history(spark, log, 2)
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        _same_history(spark, log, 1)
