@@ -14,13 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
 
 
-def blocked(docs: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
+def blocked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
     """The rows with a column ``_block`` (bigint), and the number of blocks, which follows the size of all texts."""
     total = docs.agg(F.sum(F.octet_length(text))).head()[0] or 0
-    count = max(1, math.ceil(total / block_bytes))
+    count = max(1, math.ceil(total / BLOCK_BYTES))
     return docs.withColumn("_block", F.pmod(F.xxhash64(F.col(key)), F.lit(count).cast("bigint"))), count
 
 

@@ -13,8 +13,21 @@ from pageloom.session import materialize, ship_package
 __all__ = ["by_rows", "materialize", "may_be_among", "ship_package", "table"]
 
 
+#: Rows of a record batch on its way to Python: texts of some kilobytes make it some megabytes.
+BATCH_ROWS = 2048
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to ``BATCH_ROWS``, unless they are lower already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship_package(spark)
+    bounded_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -24,6 +37,7 @@ def by_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict
     from pyspark.sql.types import StructType
 
     target = to_arrow_schema(StructType.fromDDL(schema))
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

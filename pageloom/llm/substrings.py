@@ -78,7 +78,7 @@ def _places(part: pa.RecordBatch, w: Words, at: np.ndarray) -> tuple[np.ndarray,
     """Document id and place in the document of each word place; a row without id comes before all others."""
     ids = part.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False)
     row = np.searchsorted(w.first, at, "right") - 1
-    return ids[row], at - w.first[row]
+    return ids[row], (at - w.first[row]).astype(np.int32)
 
 
 def _windows(batch: pa.RecordBatch, shared: np.ndarray | None) -> dict[str, np.ndarray]:
@@ -95,30 +95,39 @@ def _windows(batch: pa.RecordBatch, shared: np.ndarray | None) -> dict[str, np.n
         d, p = _places(part, w, at)
         for k, v in (("h", runs(w.hash, WINDOW)[at] if len(at) else np.zeros(0, np.uint64)), ("c", _check(w, at)), ("d", d), ("p", p)):
             out[k].append(v)
-    kinds = {"h": np.uint64, "c": np.uint32, "d": np.int64, "p": np.int64}
+    kinds = {"h": np.uint64, "c": np.uint32, "d": np.int64, "p": np.int32}
     return {k: np.concatenate(v) if v else np.zeros(0, kinds[k]) for k, v in out.items()}
 
 
+def _in_order(table: pa.Table) -> pa.RecordBatch:
+    """A block's rows by document id, none first; rows of one id as they come."""
+    batch = one_batch(table)
+    ids = batch.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False)
+    return batch.take(pa.array(np.argsort(ids, kind="stable")))
+
+
 def _earliest(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the windows by (hash, check, document, place), and where in it each different window begins."""
-    order = np.lexsort((x["p"], x["d"], x["c"], x["h"]))
+    """Order of the windows (given in order of the texts) by hash and check, and where in it each different window begins."""
+    order = np.argsort(x["h"], kind="stable")
     h, c = x["h"][order], x["c"][order]
+    same = h[1:] == h[:-1]
+    if (c[1:] != c[:-1])[same].any():  # equal hashes of different windows
+        order = np.lexsort((x["c"], x["h"]))
+        h, c = x["h"][order], x["c"][order]
+        same = h[1:] == h[:-1]
     new = np.ones(len(order), dtype=bool)
-    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
+    new[1:] = ~same | (c[1:] != c[:-1])
     return order, np.flatnonzero(new)
 
 
 def _window_rows(docs: pa.Table, shared: pa.Table) -> pa.Table:
     """A block's index: the earliest place of each window around an anchor that occurs more than once in the corpus."""
     known = np.sort(shared.column("h").to_numpy().view(np.uint64))
-    x = _windows(one_batch(docs), known)
+    x = _windows(_in_order(docs), known)
     order, new = _earliest(x)
     first = np.sort(order[new])  # in order of the texts: neighbouring rows are alike and shrink when they are shuffled
-    block = docs.column("_block")[0].as_py() if docs.num_rows else 0
-    return pa.table({
-        "_block": pa.array(np.full(len(first), block)), "h": pa.array(x["h"][first].view(np.int64)),
-        "c": pa.array(x["c"][first].view(np.int32)), "d": pa.array(x["d"][first]), "p": pa.array(x["p"][first].astype(np.int32)),
-    })
+    check_and_place = (x["c"][first].astype(np.uint64) << np.uint64(32)) | x["p"][first].astype(np.uint64)
+    return pa.table({"h": pa.array(x["h"][first].view(np.int64)), "cp": pa.array(check_and_place.view(np.int64)), "d": pa.array(x["d"][first])})
 
 
 def _duplicate(batch: pa.RecordBatch, known: pa.Table) -> np.ndarray:
@@ -130,20 +139,16 @@ def _duplicate(batch: pa.RecordBatch, known: pa.Table) -> np.ndarray:
     lead = new[group] if len(order) else order
     later = (d != d[lead]) | (p != p[lead])
     # windows whose earliest place is in another block
-    key = np.zeros(known.num_rows, dtype=[("h", np.uint64), ("c", np.uint32)])
-    key["h"], key["c"] = known.column("h").to_numpy().view(np.uint64), known.column("c").to_numpy().view(np.uint32)
-    if len(key) and len(order):
-        by = np.lexsort((key["c"], key["h"]))
-        heads_h, heads_c = x["h"][order[new]], x["c"][order[new]]
-        # both sides are sorted alike: mark heads that occur among the keys
-        both_h = np.concatenate([heads_h, key["h"][by]])
-        both_c = np.concatenate([heads_c, key["c"][by]])
-        o = np.lexsort((both_c, both_h))
-        same = np.zeros(len(o), dtype=bool)
-        same[:-1] = (both_h[o][1:] == both_h[o][:-1]) & (both_c[o][1:] == both_c[o][:-1])
-        hit = np.zeros(len(o), dtype=bool)
-        hit[o] = same
-        later |= hit[: len(new)][group]
+    known_h, known_c = known.column("h").to_numpy().view(np.uint64), known.column("c").to_numpy().view(np.uint32)
+    if len(known_h) and len(order):
+        by = np.argsort(known_h)
+        known_h, known_c = known_h[by], known_c[by]
+        h, c = x["h"][order[new]], x["c"][order[new]]
+        low, high = np.searchsorted(known_h, h, "left"), np.searchsorted(known_h, h, "right")
+        hit = (low < high) & (known_c[np.minimum(low, len(known_h) - 1)] == c)
+        for i in np.flatnonzero((high - low > 1) & ~hit):  # equal hashes of different windows
+            hit[i] = c[i] in known_c[low[i] : high[i]]
+        later |= hit[group]
     out = np.zeros(len(order), dtype=bool)
     out[order] = later
     return out
@@ -162,7 +167,7 @@ def factors(duplicate: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _parse(docs: pa.Table, known: pa.Table, schema: pa.Schema, layout: bool) -> pa.Table:
-    batch = one_batch(docs)
+    batch = _in_order(docs)
     duplicate = _duplicate(batch, known)
     out, used = [], 0
     for part, w in _sorted_chunks(batch):
@@ -203,20 +208,25 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", lay
 
     A word (run of bytes other than blank and 9..13) goes if it lies in ``WINDOW`` consecutive words of its document that
     also start earlier: in a document of smaller id, or earlier in the same one. What is left is joined by one blank, word
-    by word, or with ``layout`` run by run as it stood, so that a text without repeats stays as it is. A null text comes back empty; fewer words than a window stay. A null id counts as smaller than any; rows of one id and equal place
-    are one place, so a repeated row keeps its words. Other columns come along unchanged, under any name but those added.
+    by word, or with ``layout`` run by run as it stood, so that a text without repeats stays as it is. A null text comes back empty; fewer words than a window stay. A null id counts as smaller than any; rows of one
+    id stand in the order they come, and equal places of them are one place, so a repeated row keeps its words. Other columns come along unchanged, under any name but those added.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     extra = [c for c in docs.columns if c not in (key, text, "n_words", "n_removed", "factors")]
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(extra)])
-    rows, _ = blocked(rows, "doc_id", "text")
+    rows, count = blocked(rows, "doc_id", "text")
     by_block = rows.groupBy("_block")
 
     found = by_block.applyInArrow(_anchor_rows, "_block bigint, h bigint, n int")
     shared = found.withColumn("all", F.sum("n").over(Window.partitionBy("h"))).filter("`all` > 1").select("_block", "h")
-    index = by_block.cogroup(shared.groupBy("_block")).applyInArrow(_window_rows, "_block bigint, h bigint, c int, d bigint, p int")
+    index = by_block.cogroup(shared.groupBy("_block")).applyInArrow(_window_rows, "h bigint, cp bigint, d bigint")
+    # check and place travel as one number, and the block, which follows from the document, not at all
+    index = index.repartition("h").select(
+        "h", F.shiftright("cp", 32).cast("int").alias("c"), F.col("cp").bitwiseAND(0xFFFFFFFF).cast("int").alias("p"), "d",
+        F.pmod(F.xxhash64(F.when(F.col("d") != -(2**63), F.col("d"))), F.lit(count).cast("bigint")).alias("_block"),
+    )
     earliest = F.min(F.struct("d", "p")).over(Window.partitionBy("h", "c"))
     earlier = index.withColumn("e", earliest).filter(F.struct("d", "p") != F.col("e")).select("_block", "h", "c")
 

@@ -145,15 +145,17 @@ def words(texts: pa.Array, lower: bool) -> Words:
     return Words(buffer, offsets, np.searchsorted(start, offsets).astype(np.int64), start, end, hashes)
 
 
+_STEP = 0x9FB21C651E98DF25
+_STEP_BACK = pow(_STEP, -1, 1 << 64)
+
+
 def runs(values: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
     """Hash of each k consecutive values: one less than k fewer than there are values."""
     n = len(values) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        out = np.zeros(n, dtype=np.uint64)
-        factor = 1
-        for i in range(k):
-            out += values[i : i + n] * _U(factor)
-            factor = factor * 0x9FB21C651E98DF25 % (1 << 64)
-    return mix(out, seed + 1)
+        total = np.zeros(len(values) + 1, dtype=np.uint64)
+        weighted = mix(values, seed + 3) * powers(_STEP, len(values))
+        np.cumsum(weighted, out=total[1:])
+        return mix((total[k:] - total[:n]) * powers(_STEP_BACK, n), seed + 1)
