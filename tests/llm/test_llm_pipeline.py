@@ -4,8 +4,9 @@ import zlib
 
 import numpy as np
 import pytest
-from test_tables import check_pieces, library  # noqa: F401
-from test_texts import brute_groups, brute_repeats
+from test_llm_tables import check_pieces, library  # noqa: F401
+from llm_rows import messy, nothing  # noqa: F401
+from test_llm_texts import brute_groups, brute_repeats
 
 import corpus_pipeline
 

@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from conftest import messy_rows  # noqa: F401
+from llm_rows import messy, messy_rows, nothing  # noqa: F401
 from pageloom.llm import chat, components, embdup, packing, topk
 from pageloom.llm.queries import HOSTILE, tokenizer_file
 

@@ -9,7 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from conftest import messy_rows  # noqa: F401  (tests/llm/conftest.py)
+from llm_rows import messy, messy_rows, nothing  # noqa: F401
 
 from pageloom.llm import blocks, bpe, ctw, langid, licenses, minhash, neardup, substrings
 from pageloom.llm.queries import rank_file
