@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pageloom.llm.common import give_back
+
 BLOCK_BYTES = 6 << 20
 
 
@@ -25,6 +27,7 @@ def blocked(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
 
 
 def one_batch(table: pa.Table) -> pa.RecordBatch:
-    """A table's rows in one record batch, with offsets wide enough for any text."""
+    """A table's rows in one record batch, with offsets wide enough for any text; what earlier blocks left is freed."""
+    give_back()
     schema = pa.schema([f.with_type(pa.large_string()) if pa.types.is_string(f.type) else f for f in table.schema])
     return table.cast(schema).combine_chunks().to_batches()[0] if table.num_rows else pa.RecordBatch.from_pylist([], schema=schema)

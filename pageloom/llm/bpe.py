@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from pageloom.llm.common import by_rows
 
-REMEMBERED = 1_000_000
+REMEMBERED = 400_000
 
 
 def _ranges(keep, stop: int) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +32,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def by_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict | None], schema: str) -> DataFrame:
     """Apply a function to bounded record batches; it returns a batch, columns by name, or None for no rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,6 +53,7 @@ def by_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | dict
             got = fn(batch)
             if got is not None:
                 yield as_batch(got, target)
+        give_back()
 
     return df.mapInArrow(run, schema)
 

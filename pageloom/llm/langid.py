@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import by_rows, materialize
+from pageloom.llm.common import by_rows, give_back, materialize
 from pageloom.llm.words import bytes_of, chunks
 
 #: Labelled rows per language for fitting, about (rows are taken by a hash of the key), and languages at most.
@@ -110,6 +110,7 @@ def fit(labelled: DataFrame, key: str, text: str, label: str) -> TextModel:
                 lang = np.array([place[x] for x in part.column("label").to_pylist()])
                 total += np.bincount(np.repeat(lang, np.diff(first)) * BUCKETS + found, minlength=total.size).reshape(total.shape)
         at, bucket = np.nonzero(total)
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(total[at, bucket])], ["l", "b", "n"])
 
     got = sample.mapInArrow(run, "l int, b int, n bigint").groupBy("l", "b").agg(F.sum("n").alias("n")).toArrow()
@@ -185,7 +186,8 @@ def identify(
     schema = ", ".join([f"{c} string" for c in named] + [f"v{i} double" for i in range(n)])
     cast = [F.col(c).cast("string").alias(c) for c in named]
     priors = _host_priors(by_rows(rows.select(*cast, F.col(text).alias("t")), vote, schema), named, n)
-    priors = priors.select(*[F.col(c).alias(f"{c}_p") for c in named], "_prior")
+    # written, so that Spark knows its size and need not shuffle the texts to join it
+    priors = materialize(priors.select(*[F.col(c).alias(f"{c}_p") for c in named], "_prior"))
 
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
     same = reduce(lambda a, b: a & b, [F.col(c).cast("string").eqNullSafe(F.col(f"{c}_p")) for c in named])

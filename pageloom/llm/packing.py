@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.bpe import pieces
-from pageloom.llm.common import by_rows
+from pageloom.llm.common import by_rows, give_back
 from pageloom.llm.words import chunks
 from pageloom.session import ensure_checkpoint_dir
 
@@ -37,7 +37,8 @@ LENGTH = 1024
 WINDOW_SEQUENCES = 64
 #: Sources with a queue of their own, at most; all others share one queue.
 QUEUES = 1024
-REMEMBERED = 1_000_000
+#: Pieces kept with their ids while a partition is read, at most.
+REMEMBERED = 400_000
 
 
 class Pieces(dict):
@@ -54,10 +55,11 @@ class Pieces(dict):
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, each with id 0 behind."""
         cut = [pieces(t) for t in texts]
-        new = list({p for c in cut for p in c if p not in self})
+        met = set().union(*cut)
+        new = list(met - self.keys())
         if len(self) + len(new) > REMEMBERED:
             self.clear()
-            new = list({p for c in cut for p in c})
+            new = list(met)
         for p, e in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
             self[p] = np.array(e.ids, dtype=self.kind).tobytes()
         return [b"".join(map(self.__getitem__, c)) + self.end for c in cut]
@@ -87,6 +89,8 @@ def _encoded(docs: DataFrame, path: str) -> DataFrame:
                      pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "source", "part", "start", "n", "ids"],
                 )
+        table.clear()
+        give_back()
 
     return docs.mapInArrow(run, "doc_id bigint, source string, part bigint, start bigint, n bigint, ids binary")
 
