@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import materialize, table
+from pageloom.llm.common import bounded_batches, materialize, table
 from pageloom.llm.langid import identify_documents
 from pageloom.llm.neardup import keep_one
 from pageloom.llm.packing import pack
@@ -18,6 +18,11 @@ from pageloom.llm.substrings import remove_repeats
 from pageloom.session import ship_package
 
 
+def _ready(spark: SparkSession) -> None:
+    ship_package(spark)
+    bounded_batches(spark)
+
+
 def _apart(docs: DataFrame, *used: str) -> DataFrame:
     """The table with columns that a stage doesn't use under names of their own, so that none can clash."""
     return docs.withColumnsRenamed({c: f"carried_{i}" for i, c in enumerate(docs.columns) if c not in used})
@@ -30,21 +35,21 @@ def _back(kept: DataFrame, docs: DataFrame, *used: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages of the corpus; texts without letters or in no known language go."""
-    ship_package(spark)
+    _ready(spark)
     used = ("doc_id", "text", "lang", "source")
     return _back(identify_documents(_apart(docs, *used)).filter("kept"), docs, *used)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group whose five-word shingles have a similarity of 0.8 or more, the one of least id."""
-    ship_package(spark)
+    _ready(spark)
     used = ("doc_id", "text")
     return _back(keep_one(_apart(docs, *used), k=5, percent=80, rows=4), docs, *used)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words of passages of twenty words or more that start earlier; documents left without any go."""
-    ship_package(spark)
+    _ready(spark)
     used = ("doc_id", "text", "n_chars")
     found = remove_repeats(_apart(docs, *used), layout=True).filter("n_words > n_removed or n_words = 0")
     if "n_chars" in docs.columns:
@@ -54,7 +59,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens that hold the sources in proportion."""
-    ship_package(spark)
+    _ready(spark)
     return pack(docs, tokenizer_file())
 
 

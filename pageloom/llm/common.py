@@ -19,7 +19,12 @@ BATCH_ROWS = 2048
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's rows per Arrow batch to ``BATCH_ROWS``, unless they are lower already."""
+    """Lower the session's rows per Arrow batch to ``BATCH_ROWS``, unless they are lower already.
+
+    Python tracebacks are left whole as well: with the setting that shortens them Spark starts Python workers of two
+    kinds (grouped functions don't know it), each with its own memory.
+    """
+    spark.conf.set("spark.sql.execution.pyspark.udf.simplifiedTraceback.enabled", "false")
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(name))
     if not 0 < now <= BATCH_ROWS:
