@@ -1,60 +1,255 @@
 """Language-model scoring by context-tree weighting over bytes.
 
 A text is a sequence of bytes with one end symbol behind it. Every byte is eight binary decisions, so a byte belongs to a path
-of eight nodes among 255. For each node there is a tree of contexts: none, the last byte, the last two bytes. Every context
-counts the zeros and ones that followed it in training and gives the Krichevsky-Trofimov estimate of that sequence; the
-weighted probability of a context is half its own estimate and half the product of the contexts that lengthen it. After
-training this turns into a fixed mixture of the three depths for each decision, and the product over a byte's eight decisions
+of eight nodes among 255. For each node there is a tree of contexts: none, the last byte, and so on up to the last ``DEPTH``
+bytes. Every context counts the zeros and ones that followed it in training and gives the Krichevsky-Trofimov estimate of that
+sequence; the weighted probability of a context is half its own estimate and half the product of the contexts that lengthen it.
+After training this turns into a fixed mixture of the depths for each decision, and the product over a byte's eight decisions
 is its probability. A context never met predicts one half, which is what the same formulas say.
 
-Training counts are sums over all training texts. Their number is bounded by the 2**24 byte trigrams whatever the corpus
-size, which bounds what the driver and the broadcast hold (65,793 rows of 256 single-precision values at most).
+A context of ``DEPTH`` bytes and the byte behind it are one 64-bit key, exactly. What is gathered is the number of times each
+key occurs in training, which grows with the corpus and stays in Spark: a block sends its distinct keys, as compressed arrays,
+to buckets chosen by the last three bytes of the context, so that a bucket has all contexts of depth 3 and more that it
+needs. Contexts of two bytes and less are bounded by the 2**24 byte trigrams whatever the corpus size; the buckets give their
+counts and the folded weights of what lengthens them, the driver ends the fold and broadcasts the upper tree (65,793 rows of
+2 * 256 single-precision values at most), and the buckets answer each block with its keys' log probabilities.
 
-The base score needs the count of each word in the corpus, which has no such bound: words go by block (see ``blocks``).
+The base score needs the count of each word in the corpus, which has no such bound either: words go by block (see ``blocks``).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.blocks import blocked, one_batch
-from pageloom.llm.words import _LOWER, bytes_of, chunks, words
+from pageloom.llm.common import give_back, materialize
+from pageloom.llm.words import _LOWER, bytes_of, chunks, mix, words
 
 #: The end symbol, which no UTF-8 text holds; it also stands before a text's first bytes.
 END = 0xFF
 
 
-def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For all rows' bytes and end symbols in order: (two bytes before) * 256 + byte, and each row's first place."""
+#: Bytes of the longest context; with the byte behind it they fill 64 bits.
+DEPTH = 7
+#: Depth of the contexts that a bucket has whole, and the bits of a bucket's number.
+BUCKET_DEPTH = 3
+BUCKET_BITS = 12
+#: Keys that a task takes up before it folds them, at least; a bucket is never split.
+GROUP_KEYS = 1 << 21
+
+
+def context_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """For all rows' bytes and end symbols in order their keys, and each row's first place.
+
+    From its highest byte down a key has the byte before, the byte before that, and so on, and the byte itself as its lowest.
+    """
     buffer, offsets = bytes_of(texts)
     n, rows = len(buffer), len(offsets) - 1
-    # two end symbols, the row's bytes, one end symbol: the first two only serve as context
-    begin = offsets[:-1] + 3 * np.arange(rows)
-    padded = np.full(n + 3 * rows, END, dtype=np.int32)
-    padded[np.arange(n) + np.repeat(3 * np.arange(rows) + 2, np.diff(offsets))] = _LOWER[buffer]
+    # DEPTH end symbols, the row's bytes, one end symbol: the first only serve as context
+    begin = offsets[:-1] + (DEPTH + 1) * np.arange(rows)
+    padded = np.full(n + (DEPTH + 1) * rows, END, dtype=np.uint8)
+    padded[np.arange(n) + np.repeat((DEPTH + 1) * np.arange(rows) + DEPTH, np.diff(offsets))] = _LOWER[buffer]
     scored = np.ones(len(padded), dtype=bool)
-    scored[begin] = scored[begin + 1] = False
+    for i in range(DEPTH):
+        scored[begin + i] = False
     at = np.flatnonzero(scored)
-    return (padded[at - 2] << 16) | (padded[at - 1] << 8) | padded[at], offsets + np.arange(rows + 1)
+    keys = padded[at].astype(np.uint64)
+    for i in range(1, DEPTH + 1):
+        keys |= padded[at - i].astype(np.uint64) << np.uint64(64 - 8 * i)
+    return keys, offsets + np.arange(rows + 1)
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and their numbers."""
+    values = np.sort(values)
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return values[first], np.diff(np.append(first, len(values)))
+
 
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys >> np.uint64(64 - 8 * BUCKET_DEPTH)) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
 
-def trigram_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """(key, n): byte trigrams of all rows, at most 2**24 of them."""
 
-    def run(batches):
-        total = np.zeros(1 << 24, dtype=np.int64)
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                keys, n = np.unique(trigrams(part.column("text"))[0], return_counts=True)
-                total[keys] += n
-        keys = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32)), pa.array(total[keys])], ["key", "n"])
+def _squeezed(*columns: np.ndarray) -> bytes:
+    """Arrays of one length, byte plane by byte plane, compressed."""
+    planes = [c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
-    part = texts.select(F.col(text).alias("text")).mapInArrow(run, "key int, n bigint")
-    return part.groupBy("key").agg(F.sum("n").alias("n"))
+
+def _spread(raw: bytes, n: int, *kinds: str) -> list[np.ndarray]:
+    """What ``_squeezed`` was given."""
+    widths = [np.dtype(k).itemsize for k in kinds]
+    planes = np.frombuffer(pa.decompress(raw, n * sum(widths), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for kind, width in zip(kinds, widths, strict=True):
+        out.append(np.ascontiguousarray(planes[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind))
+        at += n * width
+    return out
+
+
+def _block_keys(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct keys, sorted, how often they occur in its training texts, and their order by bucket."""
+    training, held_out = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for part in chunks(one_batch(docs), "text"):
+        keys, begin = context_keys(part.column("text"))
+        held = np.repeat(part.column("held_out").to_numpy(zero_copy_only=False), np.diff(begin))
+        training.append(keys[~held])
+        held_out.append(_distinct(keys[held])[0])
+    met, times = _distinct(np.concatenate(training))
+    every, _ = _distinct(np.concatenate([met, *held_out]))
+    n = np.zeros(len(every), dtype=np.int64)
+    n[np.searchsorted(every, met)] = times
+    return every, n, np.argsort(_bucket(every), kind="stable")
+
+
+def _key_rows(docs: pa.Table) -> pa.Table:
+    """A block's keys and counts, one row per bucket."""
+    keys, n, order = _block_keys(docs)
+    keys, n = keys[order], n[order]
+    bucket = _bucket(keys)
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    raw, sizes = [], np.diff(np.append(cuts, len(keys)))
+    for a, m in zip(cuts.tolist(), sizes.tolist(), strict=True):
+        raw.append(_squeezed(np.diff(keys[a : a + m], prepend=np.uint64(0)), n[a : a + m]))
+    block = docs.column("_block")[0].as_py() if docs.num_rows else 0
+    return pa.table({
+        "_block": pa.array(np.full(len(cuts), block, np.int64)), "bucket": pa.array(bucket[cuts].astype(np.int32)),
+        "m": pa.array(sizes.astype(np.int64)), "raw": pa.array(raw, pa.binary()),
+    })
+
+
+class _Tree:
+    """Contexts of ``BUCKET_DEPTH`` to ``DEPTH`` bytes of whole buckets: their counts by node, folded from the longest up."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        self.gamma = _LogGamma()
+        #: by depth, longest first: sorted (context, byte) with counts, and the place of each longer one among them
+        self.entries, self.counts, self.up = [keys], [n], []
+        for depth in range(DEPTH - 1, BUCKET_DEPTH - 1, -1):
+            longer = self.entries[-1]
+            # a longer entry is its context and a byte; the context's oldest byte is the second lowest
+            entry = (longer >> np.uint64(16)) << np.uint64(8) | (longer & np.uint64(255))
+            shorter, at = np.unique(entry, return_inverse=True)
+            self.entries.append(shorter)
+            self.up.append(at)
+            self.counts.append(np.bincount(at, weights=self.counts[-1], minlength=len(shorter)).astype(np.int64))
+
+    def level(self, level: int, predict: bool):
+        """One of the eight decisions: first entry of each node of the shortest contexts and ln of its weighted probability;
+        with ``predict`` also the mixed probability of each key's bit by these contexts."""
+        shift, bit_at = np.uint64(8 - level), np.uint64(7 - level)
+        folded, node_before, chosen = None, None, []
+        for k, (entry, n) in enumerate(zip(self.entries, self.counts, strict=True)):
+            node = entry >> shift
+            new = np.concatenate([[True], node[1:] != node[:-1]])
+            first = np.flatnonzero(new)
+            node = np.cumsum(new) - 1
+            bit = (entry >> bit_at & np.uint64(1)).astype(bool)
+            every = np.add.reduceat(n, first)
+            ones = np.add.reduceat(np.where(bit, n, 0), first)
+            own = self.gamma.estimate(every - ones, ones)
+            if k:
+                parent = node[self.up[k - 1][node_before]]
+                below = np.bincount(parent, weights=folded, minlength=len(first))
+                weight = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
+                folded = np.logaddexp(own, below) - np.log(2.0)
+            else:
+                weight, folded = np.ones(len(first)), own
+            if predict:
+                one = (ones + 0.5) / (every + 1.0)
+                chosen.append((node, weight, one))
+            node_before = first
+        if not predict:
+            return first, folded, None
+        key_bit = (self.entries[0] >> bit_at & np.uint64(1)).astype(bool)
+        at = np.arange(len(self.entries[0]))
+        p = None
+        for k, (node, weight, one) in enumerate(chosen):
+            if k:
+                at = self.up[k - 1][at]
+            here = node[at]
+            own = np.where(key_bit, one[here], 1 - one[here])
+            p = own if p is None else weight[here] * own + (1 - weight[here]) * p
+        return first, folded, p
+
+
+def _two(entry: np.ndarray) -> np.ndarray:
+    """The last two bytes of entries of depth ``BUCKET_DEPTH``, the older one first."""
+    c = (entry >> np.uint64(8 * (BUCKET_DEPTH - 1))).astype(np.int64)
+    return (c & 255) << 8 | c >> 8
+
+
+def _merged(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct keys of (block, bucket, m, raw) rows with their counts, and each row's keys."""
+    each, times = [], []
+    for _, _, m, raw in rows:
+        steps, n = _spread(raw, m, "<u8", "<i8")
+        each.append(np.cumsum(steps, dtype=np.uint64))
+        times.append(n)
+    keys, at = np.unique(np.concatenate(each), return_inverse=True)
+    return keys, np.bincount(at, weights=np.concatenate(times), minlength=len(keys)).astype(np.int64), each
+
+
+def _groups(batches):
+    """Rows of whole buckets, together ``GROUP_KEYS`` keys or little more, from rows sorted by bucket."""
+    held, size = [], 0
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("_block", "bucket", "m", "raw")), strict=True):
+            if size >= GROUP_KEYS and row[1] != held[-1][1]:
+                yield held
+                held, size = [], 0
+                give_back()
+            held.append(row)
+            size += row[2]
+    if held:
+        yield held
+    give_back()
+
+
+def _upper_sums(batches):
+    """(key, n, deeper) of contexts of two bytes: by byte its count, by node the folded weights of the longer contexts."""
+    for rows in _groups(batches):
+        keys, n, _ = _merged(rows)
+        tree = _Tree(keys[n > 0], n[n > 0])
+        entry, counts = tree.entries[-1], tree.counts[-1]
+        if not len(entry):
+            continue
+        two = _two(entry)
+        contexts, at = np.unique(two, return_inverse=True)
+        total, deeper = np.zeros((len(contexts), 256), np.int64), np.zeros((len(contexts), 256))
+        np.add.at(total, (at, (entry & np.uint64(255)).astype(np.int64)), counts)
+        for level in range(8):
+            first, folded, _ = tree.level(level, False)
+            node = ((entry[first] & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - level)
+            np.add.at(deeper, (at[first], node.astype(np.int64)), folded)
+        r, c = np.nonzero((total != 0) | (deeper != 0))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array((contexts[r] << 8 | c).astype(np.int32)), pa.array(total[r, c]), pa.array(deeper[r, c])], ["key", "n", "deeper"])
+
+
+def _answers(batches, upper: Upper):
+    """For the rows of each block and bucket the log10 probabilities of its keys, in their order."""
+    for rows in _groups(batches):
+        keys, n, each = _merged(rows)
+        tree, value = _Tree(keys, n), np.zeros(len(keys))
+        c = (keys >> np.uint64(48)).astype(np.int64)
+        row = upper.row[(c & 255) << 8 | c >> 8]
+        for level in range(8):
+            node = (((keys & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - level)).astype(np.int64)
+            rest = upper.rest[row, node].astype(np.float64)
+            one = upper.one[row, node].astype(np.float64)
+            bit = (keys >> np.uint64(7 - level) & np.uint64(1)).astype(bool)
+            value += np.log10(np.where(bit, one, 1 - rest - one) + rest * tree.level(level, True)[2])
+        value = value.astype(np.float32)
+        for (block, bucket, m, _), own in zip(rows, each, strict=True):
+            raw = _squeezed(value[np.searchsorted(keys, own)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block], pa.int64()), pa.array([4], pa.int32()), pa.array([bucket], pa.int64()), pa.array([m], pa.int64()),
+                 pa.array([raw], pa.binary())], ["_block", "kind", "h", "n", "raw"])
 
 
 class _LogGamma:
@@ -94,6 +289,13 @@ class Model:
         return self.table[self.row[keys >> 8], keys & 255]
 
 
+class Upper:
+    """Contexts of two bytes and less: by node the probability of a one that they settle, and what they leave to longer ones."""
+
+    def __init__(self, one: np.ndarray, rest: np.ndarray, row: np.ndarray):
+        self.one, self.rest, self.row = one, rest, row
+
+
 def _levels(counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Zeros and ones at the nodes of each of the eight decisions, first decision first."""
     out = []
@@ -104,11 +306,18 @@ def _levels(counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out[::-1]
 
 
-def train(keys: np.ndarray, n: np.ndarray) -> Model:
-    """The weighted model of trigram counts."""
+def upper_tree(keys: np.ndarray, n: np.ndarray, deeper: np.ndarray | None = None) -> Upper:
+    """The upper tree of trigram counts.
+
+    ``deeper`` has for a key's context and, in place of its byte, a node the folded ln weights of the contexts that lengthen
+    it; without, contexts of two bytes are the longest.
+    """
     contexts, at = np.unique(keys >> 8, return_inverse=True)
     two = np.zeros((len(contexts), 256), dtype=np.int64)
     np.add.at(two, (at, keys & 255), n)
+    longer = np.zeros((len(contexts), 256))
+    if deeper is not None:
+        np.add.at(longer, (at, keys & 255), deeper)
     lasts, parent = np.unique(contexts & 255, return_inverse=True)
     one = np.zeros((len(lasts), 256), dtype=np.int64)
     np.add.at(one, parent, two)
@@ -118,24 +327,40 @@ def train(keys: np.ndarray, n: np.ndarray) -> Model:
     for i, c in enumerate(lasts.tolist()):
         row[c :: 256] = len(contexts) + i
     row[contexts] = np.arange(len(contexts))
-    table = np.zeros((len(contexts) + len(lasts) + 1, 256))
+    settled, rest = (np.zeros((len(contexts) + len(lasts) + 1, 256), np.float32) for _ in range(2))
     gamma, ln2 = _LogGamma(), np.log(2.0)
     for level, ((a2, b2), (a1, b1), (a0, b0)) in enumerate(zip(_levels(two), _levels(one), _levels(root), strict=True)):
         e2, e1, e0 = gamma.estimate(a2, b2), gamma.estimate(a1, b1), gamma.estimate(a0, b0)
+        nodes = slice(1 << level, 2 << level)
+        if deeper is None:
+            w2 = np.ones_like(e2)
+        else:
+            w2 = 1 / (1 + np.exp(np.clip(longer[:, nodes] - e2, -700, 700)))
+            e2 = np.logaddexp(e2, longer[:, nodes]) - ln2
         below = np.zeros_like(e1)
         np.add.at(below, parent, e2)
         w1 = 1 / (1 + np.exp(np.clip(below - e1, -700, 700)))
         mixed = np.logaddexp(e1, below) - ln2
         below = mixed.sum(axis=0, keepdims=True)
         w0 = 1 / (1 + np.exp(np.clip(below - e0, -700, 700)))
-        for one_bit in (0, 1):
-            p2, p1, p0 = (((b if one_bit else a) + 0.5) / (a + b + 1.0) for a, b in ((a2, b2), (a1, b1), (a0, b0)))
-            of_two = w0 * p0 + (1 - w0) * (w1[parent] * p1[parent] + (1 - w1[parent]) * p2)
-            of_one = w0 * p0 + (1 - w0) * (w1 * p1 + (1 - w1) * 0.5)
-            of_none = w0 * p0 + (1 - w0) * 0.5
-            value = np.log10(np.concatenate([of_two, of_one, of_none]))
-            table.reshape(len(table), 1 << level, 2, 1 << (7 - level))[:, :, one_bit, :] += value[:, :, None]
-    return Model(table.astype(np.float32), row)
+        p2, p1, p0 = ((b + 0.5) / (a + b + 1.0) for a, b in ((a2, b2), (a1, b1), (a0, b0)))
+        of_two = w0 * p0 + (1 - w0) * (w1[parent] * p1[parent] + (1 - w1[parent]) * w2 * p2)
+        of_one = w0 * p0 + (1 - w0) * w1 * p1
+        settled[:, nodes] = np.concatenate([of_two, of_one, w0 * p0])
+        rest[:, nodes] = np.concatenate([(1 - w0) * (1 - w1[parent]) * (1 - w2), (1 - w0) * (1 - w1), 1 - w0])
+    return Upper(settled, rest, row)
+
+
+def train(keys: np.ndarray, n: np.ndarray) -> Model:
+    """The weighted model of trigram counts, with two bytes as the longest context."""
+    upper = upper_tree(keys, n)
+    table = np.zeros(upper.one.shape)
+    for level in range(8):
+        nodes = slice(1 << level, 2 << level)
+        p = upper.one[:, nodes].astype(np.float64) + 0.5 * upper.rest[:, nodes]
+        by_bit = np.log10(np.stack([1 - p, p], axis=2))
+        table.reshape(len(table), 1 << level, 2, 1 << (7 - level))[:] += by_bit[..., None]
+    return Model(table.astype(np.float32), upper.row)
 
 
 def _word_rows(docs: pa.Table) -> pa.Table:
@@ -153,8 +378,21 @@ def _word_rows(docs: pa.Table) -> pa.Table:
     return pa.table({"_block": pa.array(np.full(len(h), block)), "h": pa.array(h.view(np.int64)), "n": pa.array(n)})
 
 
-def _scored(docs: pa.Table, counts: pa.Table, model: Model) -> pa.Table:
-    """Base and model scores of a block's texts; ``counts`` has its words' corpus counts and, without hash, the totals."""
+def _key_values(docs: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct keys, sorted, and their log10 probabilities as the buckets answered."""
+    keys, _, order = _block_keys(docs)
+    answers = answers.filter(pa.compute.equal(answers.column("kind"), 4)).sort_by("h")
+    values = [_spread(raw, m, "<f4")[0] for m, raw in zip(answers.column("n").to_pylist(), answers.column("raw").to_pylist(), strict=True)]
+    out = np.zeros(len(keys), np.float32)
+    out[order] = np.concatenate(values) if values else np.zeros(0, np.float32)
+    return keys, out
+
+
+def _scored(docs: pa.Table, counts: pa.Table) -> pa.Table:
+    """Base and model scores of a block's texts; ``counts`` has its words' corpus counts, its keys' probabilities by bucket
+    and, without hash, the totals."""
+    met_keys, key_values = _key_values(docs, counts)
+    counts = counts.select(["kind", "h", "n"])
     kind = counts.column("kind").to_numpy()
     h = counts.column("h").to_numpy().view(np.uint64)
     n = counts.column("n").to_numpy()
@@ -173,8 +411,8 @@ def _scored(docs: pa.Table, counts: pa.Table, model: Model) -> pa.Table:
         first = w.first
         base = np.array([np.log10((c[a:b] + 1.0) / below).sum() for a, b in zip(first[:-1], first[1:], strict=True)])
         known = met[first[1:]] - met[first[:-1]] + (end > 0)
-        keys, begin = trigrams(part.column("text"))
-        value = model.score(keys).astype(np.float64)
+        keys, begin = context_keys(part.column("text"))
+        value = key_values[np.searchsorted(met_keys, keys)].astype(np.float64)
         score = np.add.reduceat(value, begin[:-1]) if len(value) else np.zeros(0)
         out.append(pa.table({
             "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": pa.array(np.diff(first) + 1),
@@ -197,12 +435,6 @@ _SCHEMA = (
 )
 
 
-def fit(docs: DataFrame, text: str = "text") -> Model:
-    """The model of all rows of a table; its trigram counts (2**24 at most) meet in the driver."""
-    got = trigram_counts(docs, text).toArrow()
-    return train(got.column("key").to_numpy(), got.column("n").to_numpy())
-
-
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes.
 
@@ -216,10 +448,16 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     rows = rows.withColumn("held_out", held_out)
-    model = spark.sparkContext.broadcast(fit(rows.filter(~held_out)))
     rows, blocks = blocked(rows, "doc_id", "text")
     by_block = rows.groupBy("_block")
 
+    asked = materialize(by_block.applyInArrow(_key_rows, "_block bigint, bucket int, m bigint, raw binary"))
+    by_bucket = asked.repartition("bucket").sortWithinPartitions("bucket")
+    # 2**24 rows at most, whatever the input: contexts of two bytes
+    sums = by_bucket.mapInArrow(_upper_sums, "key int, n bigint, deeper double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("deeper").alias("deeper")).toArrow()
+    upper = spark.sparkContext.broadcast(upper_tree(*(sums.column(c).to_numpy() for c in ("key", "n", "deeper"))))
+    valued = by_bucket.mapInArrow(lambda batches: _answers(batches, upper.value), "_block bigint, kind int, h bigint, n bigint, raw binary")
+
     own = by_block.applyInArrow(_word_rows, "_block bigint, h bigint, n bigint")
     word = Window.partitionBy("h")
     counted = own.withColumn("c", F.sum("n").over(word)).withColumn("place", F.row_number().over(word.orderBy("_block")))
@@ -236,5 +474,6 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     answers = (
         counted.select("_block", F.lit(0).alias("kind"), "h", F.col("c").alias("n"))
         .unionByName(to_all(totals, "tokens", 1)).unionByName(to_all(totals, "distinct", 2)).unionByName(to_all(ends, "ends", 3))
+        .unionByName(valued, allowMissingColumns=True)
     )
-    return by_block.cogroup(answers.groupBy("_block")).applyInArrow(lambda a, b: _scored(a, b, model.value), _SCHEMA)
+    return by_block.cogroup(answers.groupBy("_block")).applyInArrow(_scored, _SCHEMA)

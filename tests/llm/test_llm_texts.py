@@ -298,6 +298,54 @@ def test_context_tree_against_the_definition():
         assert model.score(np.array([context << 8 | s]))[0] == pytest.approx(total, abs=1e-4)
 
 
+@pytest.mark.parametrize("group_keys", [1 << 21, 1])
+def test_scores_mix_all_depths(spark, monkeypatch, group_keys):
+    """Scores equal those of a tree of all contexts of up to seven bytes, weighted node by node."""
+    monkeypatch.setattr(ctw, "GROUP_KEYS", group_keys)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 300)
+    rng, parts = random.Random(6), ["the cat ", "the cart ", "a cat sat ", "abcabc", "é", "B"]
+    rows = [(d, "".join(rng.choice(parts) for _ in range(rng.randrange(9)))) for d in range(40)] + [(40, None)]
+    text = {d: b"\xff" * 7 + (t or "").lower().encode() + b"\xff" for d, t in rows}
+    out = {d: zlib.crc32(str(d).encode()) % 7 == 2 for d in text}
+    counts, longer = {}, {}
+    for d, t in text.items():
+        for i in range(7, len(t)) if not out[d] else ():
+            for k in range(8):
+                longer.setdefault(t[i - k + 1 : i] if k else None, set()).add(t[i - k : i])
+                for level in range(8):
+                    counts.setdefault((t[i - k : i], (t[i] | 256) >> (8 - level)), [0, 0])[t[i] >> (7 - level) & 1] += 1
+
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)
+
+    memo = {}
+
+    def weighted(context, node):
+        """ln of the estimate and of the longer contexts' product; together they are the weighted probability."""
+        if (context, node) not in memo:
+            own = kt(*counts.get((context, node), (0, 0)))
+            below = own if len(context) == 7 else sum(np.logaddexp(*weighted(c, node)) - math.log(2) for c in longer.get(context, ()) if len(c) > len(context))
+            memo[context, node] = own, below
+        return memo[context, node]
+
+    def probability(t, i, k, node, bit):
+        context = t[i - k : i]
+        n = counts.get((context, node), (0, 0))
+        p = (n[bit] + 0.5) / (sum(n) + 1)
+        if k == 7:
+            return p
+        own, below = weighted(context, node)
+        w = 1 / (1 + math.exp(below - own))
+        return w * p + (1 - w) * probability(t, i, k + 1, node, bit)
+
+    want = {}
+    for d, t in text.items():
+        bits = ((i, (t[i] | 256) >> (8 - level), t[i] >> (7 - level) & 1) for i in range(7, len(t)) for level in range(8))
+        want[d] = sum(math.log10(probability(t, i, 0, node, bit)) for i, node, bit in bits)
+    got = ctw.score_texts(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.score for r in got} == pytest.approx(want, abs=1e-3)
+
+
 def test_large_counts_follow_the_series():
     g = ctw._LogGamma()
     a, b = np.array([0, 5, 4095, 4097, 10**9]), np.array([3, 4096, 0, 70000, 10**12])
