@@ -8,6 +8,12 @@ place: a document's tokens have fixed places as soon as the tokens before it in
 windows and partitions alike. When a queue runs dry, one window is filled by what is left of it, the rest of the queues share
 the remainder, and a new phase begins with the queues that remain. All sequences but the very last are full.
 
+A source with less than a token per window has no quota of a whole token. All of them share one queue, in which their tokens are
+interleaved by a binary tree over these sources: of the first j tokens of a tree node floor(j L/N) are of its left half, where L of
+its N tokens are. So token t of a source has a fixed place in that queue too, found from the leaf up, and any stretch of the queue
+has each source's share to within a token per level. Only the large sources, one per token of a window at most, are known to the
+driver; the tree is a table.
+
 With the default targets, the sources' own shares, every window holds the corpus mixture to within a token per queue. Other
 ``weights`` hold as long as the queues last.
 
@@ -29,14 +35,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pageloom.llm.bpe import pieces
-from pageloom.llm.common import by_rows, give_back
+from pageloom.llm.common import by_rows, give_back, materialize
 from pageloom.llm.words import chunks
+from pageloom.operators.skew import assign_ids
 from pageloom.session import ensure_checkpoint_dir
 
 LENGTH = 1024
 WINDOW_SEQUENCES = 64
-#: Sources with a queue of their own, at most; all others share one queue.
-QUEUES = 1024
+#: Sources with a queue of their own, at most: no more can have a token per window each. All others are interleaved in one queue.
+QUEUES = LENGTH * WINDOW_SEQUENCES
 #: Pieces kept with their ids while a partition is read, at most.
 REMEMBERED = 400_000
 
@@ -162,6 +169,26 @@ class Schedule:
         return base + w * self.window + ahead + t - self._by_share(running, every, s, w), stop - t
 
 
+def climb(leaf: int, totals: list[int], t: int) -> int:
+    """Place of token t of a leaf among the tokens of the root; ``totals`` has the tokens of each node on the way up."""
+    for level, (n, every) in enumerate(zip(totals, totals[1:])):  # noqa: B905
+        if n != every:
+            t = t * every // n if leaf >> level & 1 else -(-(t + 1) * every // n) - 1
+    return t
+
+
+def _tree(small: DataFrame, sources: int) -> DataFrame:
+    """(s, leaf, path): the sources' leaves, and the tokens of the nodes from leaf to root, of (source, n)."""
+    key = F.concat(F.when(F.col("source").isNull(), "-").otherwise("+"), F.coalesce("source", F.lit("")))
+    leaves = materialize(assign_ids(small.withColumn("k", key), "k").select(F.col("source").alias("s"), "n", (F.col("id") - 1).cast("bigint").alias("leaf")))
+    steps = leaves.select("leaf", "n", F.explode(F.sequence(F.lit(0), F.lit((sources - 1).bit_length()))).alias("level")).withColumn(
+        "node", F.expr("shiftright(leaf, level)"))
+    nodes = steps.groupBy("level", "node").agg(F.sum("n").alias("every"))
+    paths = steps.join(nodes, ["level", "node"]).groupBy("leaf").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("level", "every"))), lambda x: x["every"]).alias("path"))
+    return leaves.join(paths, "leaf").select("s", "leaf", "path")
+
+
 _PIECES = "doc_id bigint, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -181,43 +208,65 @@ def pack(docs: DataFrame, path: str, weights: dict[str, int] | None = None, key:
 
     window = LENGTH * WINDOW_SEQUENCES
     by_part = ids.groupBy("part", "source").agg(F.sum("n").alias("n"))
-    # Small: one row per source that holds a token per window or more, QUEUES of them at most.
+    # One row per source that holds a token per window or more: as many as a window has tokens, at most.
     totals = by_part.groupBy("source").agg(F.sum("n").alias("n"))
-    every = totals.agg(F.sum("n")).head()[0] or 0
-    large = totals.filter(F.col("n") >= max(1, -(-every // window))).orderBy(F.desc("n"), "source").limit(QUEUES).collect()
+    sources, every = totals.agg(F.count("*"), F.sum("n")).head()
+    every = every or 0
+    enough = F.col("n") >= max(1, -(-every // window))
+    if weights:
+        enough |= F.coalesce(F.col("source").isin(list(weights)), F.lit(False))
+    large = totals.filter(enough).orderBy(F.desc("n"), "source").limit(QUEUES).collect()
     named = [(r.source, r.n) for r in large]
-    pool = every - sum(n for _, n in named)
+    few, pool = sources - len(named), every - sum(n for _, n in named)
     sizes = [n for _, n in named]
+    mixed = 0  # tokens of the largest source, if it stands in the tree as well
     if pool and (pool >= -(-every // window) or not sizes):
         sizes.append(pool)
         pooled = len(sizes) - 1
     else:
-        pooled = 0  # too little for a queue of its own: it stands with the largest source
-        if sizes:
+        pooled = 0  # too little for a queue of its own: interleaved with the largest source
+        if pool:
+            mixed = sizes[0]
             sizes[0] += pool
-    shares = [int(weights.get(s, 1)) for s, _ in named] + [1] * (len(sizes) - len(named)) if weights else None
+    shares = [int(weights.get(s, 1)) for s, _ in named] + [few] * (len(sizes) - len(named)) if weights else None
     schedule = Schedule(sizes, window, shares)
 
-    queues = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(named)], "source string, queue int")
-    queued = by_part.withColumnRenamed("source", "s").join(queues, F.col("s").eqNullSafe(F.col("source")), "left").select(
-        "part", F.col("s").alias("source"), "n", F.coalesce("queue", F.lit(pooled)).alias("queue")
-    )
+    queues = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(named)], "s string, queue bigint")
+    own = queues.select("s", "queue", F.lit(None).cast("array<bigint>").alias("path"))
+    if few:
+        small = totals.join(queues, F.col("source").eqNullSafe(F.col("s")), "left_anti")
+        own = own.unionByName(_tree(small, few).select("s", (-1 - F.col("leaf")).alias("queue"), "path"))
+    queued = by_part.join(own, F.col("source").eqNullSafe(F.col("s"))).select("part", "source", "n", "queue", "path")
     inside = Window.partitionBy("part", "queue").orderBy("source")
     earlier = Window.partitionBy("queue").orderBy("part")
     in_part = queued.withColumn("own", F.sum("n").over(inside) - F.col("n"))
     bases = queued.groupBy("part", "queue").agg(F.sum("n").alias("m")).withColumn("base", F.sum("m").over(earlier) - F.col("m"))
-    offsets = in_part.join(bases, ["part", "queue"]).select(F.col("part").alias("p"), F.col("source").alias("s"), "queue", (F.col("own") + F.col("base")).alias("queue_start"))
+    offsets = in_part.join(bases, ["part", "queue"]).select(F.col("part").alias("p"), F.col("source").alias("s"), "queue", "path", (F.col("own") + F.col("base")).alias("queue_start"))
+
+    def place(queue: int, path: list[int] | None, t: int) -> tuple[int, int]:
+        """Place of a token in the packed stream, and how many tokens of its source follow without a break."""
+        if path is not None:
+            at = climb(-1 - queue, path, t)
+            if mixed:
+                at = climb(1, [pool, mixed + pool], at)
+            return schedule.place(pooled, at)[0], 1
+        if queue == 0 and mixed:
+            at = climb(0, [mixed, mixed + pool], t)
+            free = climb(1, [pool, mixed + pool], at - t) - at if at - t < pool else mixed - t
+            to, more = schedule.place(0, at)
+            return to, min(free, more)
+        return schedule.place(queue, t)
 
     def run(batch: pa.RecordBatch) -> dict:
         out: dict[str, list] = {c.split()[0]: [] for c in _PIECES.split(", ")}
-        columns = (batch.column(c).to_pylist() for c in ("doc_id", "source", "queue", "at", "n", "ids"))
-        for doc, src, queue, at, n, raw in zip(*columns, strict=True):
+        columns = (batch.column(c).to_pylist() for c in ("doc_id", "source", "queue", "path", "at", "n", "ids"))
+        for doc, src, queue, path, at, n, raw in zip(*columns, strict=True):
             wide = memoryview(np.frombuffer(raw, kind).astype("<u4").tobytes())
             t = 0
             while t < n:
-                place, free = schedule.place(queue, at + t)
-                length = min(free, n - t, LENGTH - place % LENGTH)
-                made = (doc, src, t, length, zlib.crc32(wide[4 * t : 4 * (t + length)]), n, place // LENGTH, place % LENGTH)
+                to, free = place(queue, path, at + t)
+                length = min(free, n - t, LENGTH - to % LENGTH)
+                made = (doc, src, t, length, zlib.crc32(wide[4 * t : 4 * (t + length)]), n, to // LENGTH, to % LENGTH)
                 for c, v in zip(out, made, strict=True):
                     out[c].append(v)
                 t += length
@@ -225,6 +274,6 @@ def pack(docs: DataFrame, path: str, weights: dict[str, int] | None = None, key:
         return {c: pa.array(v, kinds.get(c, pa.int64())) for c, v in out.items()}
 
     joined = ids.join(offsets, (F.col("part") == F.col("p")) & F.col("source").eqNullSafe(F.col("s"))).select(
-        "doc_id", "source", "queue", (F.col("start") + F.col("queue_start")).alias("at"), "n", "ids"
+        "doc_id", "source", "queue", "path", (F.col("start") + F.col("queue_start")).alias("at"), "n", "ids"
     )
     return by_rows(joined, run, _PIECES)

@@ -269,6 +269,23 @@ def test_every_window_holds_the_mixture(spark, data):
     assert (whole.max(axis=0) - whole.min(axis=0) <= 2).all() and (whole.sum(axis=1) == 1024 * packing.WINDOW_SEQUENCES).all()
 
 
+@pytest.mark.parametrize("few, words, levels", [(40, 500, 7), (2, 8, 2)])
+def test_small_sources_are_interleaved(spark, library, monkeypatch, few, words, levels):
+    """Sources without a queue of their own are spread over the whole stream, be there enough of them for a queue or not."""
+    monkeypatch.setattr(packing, "QUEUES", 1)
+    monkeypatch.setattr(packing, "WINDOW_SEQUENCES", 4)
+    rows = [(d, "one two three four five six seven " * 700, "large") for d in range(60)]
+    rows += [(100 + d, "alpha " * words, None if d == 0 else f"s{d}") for d in range(few)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    got = packing.pack(df, tokenizer_file()).collect()
+    check_pieces([(d, t) for d, t, _ in rows], got, library)
+    every = sum(p.length for p in got)
+    for s in {p.source for p in got} - {"large"}:
+        places = np.array(sorted(p.sequence_id * 1024 + p.offset + i for p in got if p.source == s for i in range(p.length)))
+        ideal = (np.arange(len(places)) + 0.5) * every / len(places)
+        assert np.abs(places - ideal).max() <= levels * every / len(places) + 2 * 4096, s
+
+
 def test_schedule_places_every_token_once():
     rng = random.Random(10)
     for k in range(200):
