@@ -220,3 +220,45 @@ with recursive docs as (
 select d.doc_id, cast(len(d.s) as bigint) as n_shingles, l.component_id, d.doc_id = l.component_id as kept
 from listed d join least l on l.id = d.doc_id
 """
+
+
+@query
+def op13_orchard_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    from pageloom.llm.orchard import orchard_clusters
+
+    return orchard_clusters(table(spark, folder, "embeddings"))
+
+
+def _assigned(name: str, centroids: str) -> str:
+    return f"""{name} as materialized (
+  select id, vec_id, v, c, d from (
+    select k.id, k.vec_id, k.v, m.c, list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - m.m[i]) * (k.v[i] - m.m[i]))) as d,
+      row_number() over (partition by k.id order by d, m.c) as n
+    from kept k cross join {centroids} m) where n = 1
+)"""
+
+
+def _moved(name: str, assigned: str, before: str) -> str:
+    return f"""{name} as materialized (
+  select b.c, coalesce(a.m, b.m) as m from {before} b left join (
+    select c, list(x order by i) as m from (
+      select c, i, cast((sum(x) - ((sum(x) % count(*)) + count(*)) % count(*)) // count(*) as bigint) as x
+      from (select c, unnest(v) as x, unnest(range(1, 65)) as i from {assigned}) group by c, i) group by c) a on a.c = b.c
+)"""
+
+
+ORACLES["op13_orchard_clusters"] = f"""
+with kept as materialized (
+  select row_number() over () as id, vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), m0 as materialized (
+  select row_number() over (order by h) - 1 as c, v as m from (
+    select sha256('1:' || cast(vec_id as varchar)) as h, v from kept where vec_id is not null order by h limit 16)
+), {_assigned("a0", "m0")}, {_moved("m1", "a0", "m0")}, {_assigned("a1", "m1")}, {_moved("m2", "a1", "m1")},
+{_assigned("a2", "m2")}, {_moved("m3", "a2", "m2")}, {_assigned("a3", "m3")}
+select a.vec_id, cast(a.c as integer) as cluster, cast(a.d as bigint) as distance,
+  cast(sum(a.d) over (partition by a.c) as bigint) as cluster_inertia, cast(sum(a.d) over () as bigint) as inertia,
+  sha256(array_to_string(m.m, ',')) as centroid_sha256
+from a3 a join m3 m on m.c = a.c
+"""
