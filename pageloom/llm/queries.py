@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pageloom.llm.common import table
+from pageloom.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -262,3 +264,69 @@ select a.vec_id, cast(a.c as integer) as cluster, cast(a.d as bigint) as distanc
   sha256(array_to_string(m.m, ',')) as centroid_sha256
 from a3 a join m3 m on m.c = a.c
 """
+
+
+@query
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    from pageloom.llm.collocations import collocations
+
+    return collocations(table(spark, folder, "documents"))
+
+
+ORACLES["op11_collocations"] = """
+with pieces as (
+  select coalesce(lang, 'und') as lang,
+    unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) as piece
+  from documents where text is not null
+), split as (
+  select lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') as w from pieces
+), total as (
+  select lang, cast(sum(len(w)) as bigint) as n from split group by lang
+), grams as (
+  select lang, w, unnest(range(1, len(w) + 1)) as i from split where len(w) > 0
+), listed as (
+  select lang, unnest([w[i : i]] || case when i + 1 <= len(w) then [w[i : i + 1]] else [] end || case when i + 2 <= len(w) then [w[i : i + 2]] else [] end) as p from grams
+), f as materialized (
+  select lang, p, count(*) as a from listed group by lang, p having count(*) >= 10
+), cuts as (
+  select c.lang, c.p, c.a, unnest(range(1, len(c.p))) as k from f c where len(c.p) > 1
+), scored as (
+  select c.lang, c.p, c.a, c.k, x.a as l, y.a as r,
+    cast((1000000::hugeint * c.a * c.a) // (x.a::hugeint * y.a) as bigint) as score
+  from cuts c join f x on x.lang = c.lang and x.p = c.p[1 : c.k] join f y on y.lang = c.lang and y.p = c.p[c.k + 1 :]
+), lowest as (
+  select *, row_number() over (partition by lang, p order by score, k) as m from scored
+), inside as (
+  select lang, p[1 : 2] as p, a from f where len(p) = 3 union all select lang, p[2 : 3], a from f where len(p) = 3
+), longest as (
+  select lang, p, max(a) as longer from inside group by lang, p
+), ranked as (
+  select s.lang, array_to_string(s.p, ' ') as phrase, s.a, s.l, s.r, s.score,
+    row_number() over (partition by s.lang order by s.score desc, s.a desc, array_to_string(s.p, ' ')) as rank
+  from lowest s left join longest g on g.lang = s.lang and g.p = s.p
+  where s.m = 1 and (g.longer is null or 100 * g.longer < 50 * s.a)
+)
+select r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, r.score from ranked r join total t on t.lang = r.lang where r.rank <= 2000
+"""
+
+
+@query
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    from pageloom.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, folder, "pages"), f"{ensure_checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}")
+
+
+ORACLES["op12_warc"] = """
+with told as (
+  select page_id, url, strlen(coalesce(html, '')) as size, sha1(coalesce(html, '')) as h,
+    row_number() over (partition by coalesce(html, '') order by page_id desc nulls last, url desc nulls last) as n,
+    max(page_id) over (partition by coalesce(html, '')) as first
+  from pages
+)
+select page_id, cast(size as bigint) as payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + cast((cast('0x' || substr(h, 1 + 5 * (i // 4), 5) as integer) >> cast(15 - 5 * (i % 4) as integer)) & 31 as integer), 1)), '') as payload_digest,
+  case when n = 1 then 'response' else 'revisit' end as record_type, case when n > 1 then first end as refers_to
+from told
+"""
