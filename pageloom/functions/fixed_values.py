@@ -51,7 +51,7 @@ NEWEST, PRIORITY_URGENCY, PRIORITY_CARDS = 200, 7, 4
 
 # Research.
 AUDIT_HITS, WRITER_HITS, URLS_PER_QUERY, AUDIT_QUERIES = 5, 10, 3, 3
-GAP_POLLS_PARTIAL, GAP_POLLS_MAX = 20, 40
+GAP_POLLS_PARTIAL, GAP_POLLS_MAX, GAP_POLL_SECONDS = 20, 40, 3
 PROMOTED_INTERVAL, PROMOTED_ITEMS = 86400, 5
 EMBEDDING_DIM = 768
 BOT_AGENT = "MyBot/1.0"

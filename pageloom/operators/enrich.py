@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pageloom import schemas
 from pageloom.functions import fixed_values as V
@@ -58,22 +58,41 @@ def reply_analysis(best: DataFrame) -> DataFrame:
     )
 
 
-_WORD = re.compile(r"\w+")
+#: Words of the default vectors: runs of letters, digits and underscores.
+_NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
-def hashed_vectors(dim: int = V.EMBEDDING_DIM) -> Embedder:
-    """Default model: counts of hashed words and word pairs, scaled to unit length."""
+def hashed_grams(text: Column) -> Column:
+    """32-bit hashes of the words of a lower-cased text and of its pairs of neighbouring words, as an array."""
+    words = F.filter(F.split(F.lower(text), _NOT_WORD), lambda w: w != "")
 
-    def vector(text: str) -> np.ndarray:
-        words = _WORD.findall(text.lower())
-        grams = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
-        slots = np.fromiter((zlib.crc32(g.encode()) for g in grams), dtype=np.int64, count=len(grams))
-        sign = np.where((slots >> 16) & 1, 1.0, -1.0)
-        out = np.bincount(slots % dim, weights=sign, minlength=dim)
-        norm = np.linalg.norm(out)
-        return (out / norm if norm else out).astype(np.float32)
+    def grams(ws: Column) -> Column:
+        pairs = F.zip_with(ws, F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(ws, F.filter(pairs, lambda p: p.isNotNull()))
 
-    return lambda texts: [vector(t) for t in texts]
+    return F.transform(bound(words, grams), lambda g: F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("bigint"))
+
+
+def hashed_embedding(text: Column, dim: int = V.EMBEDDING_DIM) -> Column:
+    """Default model: each word and word pair adds 1 or -1 (bit 16 of its hash) to the slot its hash names, scaled to unit length.
+
+    Words are cut and hashed by Spark; a batch's hashes are summed into its vectors in one step. Null for a text without more
+    than white space; a text without words has a vector of zeros.
+    """
+
+    @F.arrow_udf("array<float>")
+    def dense(grams: pa.Array) -> pa.Array:
+        n = grams.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        codes = grams.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(n)), n)
+        out = np.bincount(row * dim + codes % dim, weights=np.where((codes >> 16) & 1, 1.0, -1.0), minlength=len(n) * dim).reshape(len(n), dim)
+        norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+        flat = pa.array((out / np.where(norm == 0, 1.0, norm)).astype(np.float32).reshape(-1))
+        offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * dim, mask=None)
+        made = pa.ListArray.from_arrays(offsets, flat)
+        return pa.ListArray.from_arrays(offsets, flat, mask=grams.is_null()) if grams.null_count else made
+
+    return dense(F.when(strip(text) != "", hashed_grams(text)))
 
 
 def embedding(
@@ -82,30 +101,34 @@ def embedding(
     """Vector of a text; null for empty text and where the model fails.
 
     ``max_chars`` is for models that read so many characters at most (``EMBEDDING_CHARS`` for the one this
-    replaces); without it the whole text counts.
+    replaces); without it the whole text counts. A batch that a model fails on is asked for again in halves.
     """
-    model = model or hashed_vectors(dim)
+    text = text if max_chars is None else truncate(text, max_chars)
+    if model is None:
+        return hashed_embedding(text, dim)
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
         some = texts[texts.notna() & (texts.str.strip() != "")]
-        try:
-            vectors = model(some.tolist())
-        except Exception:
-            vectors = [_one(model, t) for t in some]
-        for at, v in zip(some.index, vectors):
+        for at, v in zip(some.index, _vectors(model, some.tolist()), strict=True):
             out[at] = v
         return out
 
-    return embed(text if max_chars is None else truncate(text, max_chars))
+    return embed(text)
 
 
-def _one(model: Embedder, text: str):
+def _vectors(model: Embedder, texts: list[str]) -> list:
+    """The model's vectors; the texts it fails on have none, found by halving."""
+    if not texts:
+        return []
     try:
-        return model([text])[0]
+        return list(model(texts))
     except Exception:
-        return None
+        if len(texts) == 1:
+            return [None]
+    half = len(texts) // 2
+    return _vectors(model, texts[:half]) + _vectors(model, texts[half:])
 
 
 def embed_documents(
@@ -165,6 +188,10 @@ def default_analysis(text: Column) -> Column:
     )
 
 
+#: An analysis with what went wrong: an error of a callable, or null.
+TOLD = T.StructType([*schemas.ANALYSIS.fields, T.StructField("error", T.StringType())])
+
+
 def analysis(text: Column, analyzers: Sequence[Analyzer] | None = None, max_chars: int | None = None) -> Column:
     """``struct(summary, tags, category, urgency)``: the default rules, or the first callable that answers.
 
@@ -174,26 +201,48 @@ def analysis(text: Column, analyzers: Sequence[Analyzer] | None = None, max_char
     """
     if not analyzers:
         return default_analysis(text)
+    return answer_of(told_analysis(text, analyzers, max_chars))
+
+
+def told_analysis(text: Column, analyzers: Sequence[Analyzer] | None = None, max_chars: int | None = None) -> Column:
+    """The analysis with a field ``error``: the last error of a callable where none has answered, else null.
+
+    Texts that are null or empty aren't asked for; all their fields are null.
+    """
+    names = schemas.ANALYSIS.fieldNames()
+    if not analyzers:
+        # The rules always answer.
+        found = default_analysis(text)
+        return F.struct(*[found[n].alias(n) for n in names], F.lit(None).cast("string").alias("error"))
 
-    @F.pandas_udf(schemas.ANALYSIS)
+    @F.pandas_udf(TOLD)
     def analyse(texts: pd.Series) -> pd.DataFrame:
-        rows = [_first_answer(analyzers, t) if isinstance(t, str) and t else None for t in texts]
-        names = schemas.ANALYSIS.fieldNames()
-        return pd.DataFrame([[_field(n, (r or {}).get(n)) for n in names] for r in rows], columns=names, dtype=object)
+        rows = [_first_answer(analyzers, t) if isinstance(t, str) and t else (None, None) for t in texts]
+        return pd.DataFrame(
+            [[*(_field(n, (r or {}).get(n)) for n in names), error] for r, error in rows], columns=TOLD.fieldNames(), dtype=object)
+
+    return analyse(text if max_chars is None else truncate(text, max_chars))
+
 
-    out = analyse(text if max_chars is None else truncate(text, max_chars))
-    return F.when(F.coalesce(*[out[n].cast("string") for n in schemas.ANALYSIS.fieldNames()]).isNotNull(), out)
+def answer_of(told: Column) -> Column:
+    """The analysis in a ``told_analysis``; null where nothing was told."""
+    names = schemas.ANALYSIS.fieldNames()
+    some = F.coalesce(*[told[n].cast("string") for n in names]).isNotNull()
+    return F.when(some, F.struct(*[told[n].alias(n) for n in names]))
 
 
-def _first_answer(analyzers: Sequence[Analyzer], text: str) -> dict | None:
+def _first_answer(analyzers: Sequence[Analyzer], text: str) -> tuple[dict | None, str | None]:
+    """The first answer, or the last error."""
+    error = None
     for analyze in analyzers:
         try:
             answer = analyze(text)
-        except Exception:
+        except Exception as e:
+            error = str(e) or type(e).__name__
             continue
         if isinstance(answer, dict) and answer:
-            return answer
-    return None
+            return answer, None
+    return None, error
 
 
 def _field(name: str, value):

@@ -7,6 +7,7 @@ list items, rows and blocks; strip tags; decode entities; squeeze blanks.
 
 from __future__ import annotations
 
+import html as html_lib
 import re
 
 import pandas as pd
@@ -14,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pageloom.functions.text import non_empty, strip, summary_fallback, title_fallback, unescape, unescape_common
+from pageloom.functions import fixed_values as V
+from pageloom.functions.text import OTHER_ENTITY, non_empty, strip, summary_fallback, unescape_common
 
 AD_BLOCK = r"""<div\b[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?ads?(?:\s[^"']*)?["'][^>]*>.*?</div\s*>"""
 DROPPED = (
@@ -109,40 +111,66 @@ def clean_text(page: Column, nested: Column | None = None) -> Column:
     return F.regexp_replace(F.regexp_replace(F.coalesce(*parts, bare), LINE_END, "\n"), TAG, "")
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _unescape_fields(fields: pd.Series) -> pd.Series:
+    def decode(row):
+        return None if row is None else [None if x is None else html_lib.unescape(x) for x in row]
+
+    return fields.map(decode)
+
+
+def _decoded(fields: Column, python_helpers: bool) -> Column:
+    """An array of texts with their entities decoded; only rows with an uncommon entity leave the JVM."""
+    common = F.transform(fields, lambda x: F.when(F.instr(x, "&") == 0, x).otherwise(unescape_common(x)))
+    if not python_helpers:
+        return common
+    odd = F.exists(fields, lambda x: F.coalesce(x.rlike(OTHER_ENTITY), F.lit(False)))
+    return F.coalesce(_unescape_fields(F.when(odd, fields)), common)
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that comes out of a generator, so that later steps use its value instead of repeating its expression."""
+    return df.select(*df.columns, F.explode(F.array(value)).alias(name))
+
+
 def extract_articles(pages: DataFrame, python_helpers: bool = True) -> DataFrame:
     """Pages (``url``, ``html``) to title, author, published_date, main_image, clean_text and summary.
 
     All work is in built-in functions but for two rare cases that a regular expression cannot do:
     blocks nested in dropped blocks, and entities beyond the common ones. Only those pages are handed
-    to the Python helpers. A page without text keeps nulls in all columns but the title.
+    to the Python helpers. A page without text keeps nulls in all columns but the title. Every step's values are computed once:
+    raw fields, then all entities of a page's fields together, then the columns.
     """
     page = F.col("html")
     marked = pages
     if python_helpers:
         marked = marked.withColumn("_nested", drop_nested_blocks(F.when(_needs_nesting(page), page)))
-    marked = marked.withColumn(
-        "_text", clean_text(page, F.col("_nested") if python_helpers else None)
-    )
-    decode = unescape if python_helpers else unescape_common
-    decoded = decode(F.col("_text"))
     head = F.coalesce(non_empty(F.regexp_extract(page, r"(?is)<head\b.*?</head\s*>", 0)), page)
-    heading = tidy(decode(F.regexp_replace(F.regexp_extract(page, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1), TAG, "")))
-    plain = lambda *names: non_empty(strip(decode(_meta(metas, *names))))
-    with_text = marked.withColumn("clean_text", non_empty(tidy(decoded))).withColumn("_metas", _metas(head))
-    metas, text = F.col("_metas"), F.col("clean_text")
-    found = text.isNotNull()
+    marked = _once(marked, "_metas", _metas(head))
+    metas, title = F.col("_metas"), r"(?is)<title\b[^>]*>(.*?)</title\s*>"
+    raw = F.array(
+        clean_text(page, F.col("_nested") if python_helpers else None),
+        F.regexp_replace(F.regexp_extract(page, r"(?is)<h1\b[^>]*>(.*?)</h1\s*>", 1), TAG, ""),
+        F.when(page.rlike(title), F.regexp_extract(page, title, 1)),
+        _meta(metas, "og:title"), _meta(metas, "author", "article:author"), _meta(metas, "og:image"), _meta(metas, "description", "og:description"),
+    )
+    marked = _once(_once(marked, "_raw", raw), "_fields", _decoded(F.col("_raw"), python_helpers))
+    text, heading, doc_title, og_title, author, image, description = (F.get("_fields", F.lit(i)) for i in range(7))
+    marked = _once(marked, "clean_text", non_empty(tidy(text)))
+    plain = lambda field: non_empty(strip(field))
+    found, body = F.col("clean_text").isNotNull(), F.col("clean_text")
     published = F.coalesce(
         _meta(metas, "article:published_time", "datePublished", "date"),
         _group(page, r"""(?is)<time\b[^>]*\bdatetime\s*=\s*["']([^"']*)["']"""),
     )
-    return with_text.select(
+    return marked.select(
         *pages.columns,
-        title_fallback(
-            F.when(found, F.coalesce(plain("og:title"), non_empty(heading))), page
+        F.coalesce(
+            non_empty(F.when(found, F.coalesce(plain(og_title), non_empty(tidy(heading))))), strip(doc_title), F.lit(V.NO_TITLE)
         ).alias("title"),
-        F.when(found, plain("author", "article:author")).alias("author"),
+        F.when(found, plain(author)).alias("author"),
         F.when(found, published).alias("published_date"),
-        F.when(found, plain("og:image")).alias("main_image"),
+        F.when(found, plain(image)).alias("main_image"),
         "clean_text",
-        F.when(found, summary_fallback(plain("description", "og:description"), text)).alias("summary"),
+        F.when(found, summary_fallback(plain(description), body)).alias("summary"),
     )

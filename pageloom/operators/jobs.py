@@ -56,8 +56,8 @@ def work_rows(resolved: DataFrame) -> DataFrame:
     )
 
 
-def interval_state(history: DataFrame) -> DataFrame:
-    """What the enriched articles of each job leave behind: (job_id, ts, seq, urgency) to one row per job.
+def interval_state(history: DataFrame, *by: Column) -> DataFrame:
+    """What the enriched articles of each job leave behind: (job_id, ts, seq, urgency) to one row per job (and ``by``).
 
     Only maxima and a count, which Spark computes partially before the shuffle, so the history of a
     busy job never meets in one task. The same aggregation runs over a stream.
@@ -66,7 +66,7 @@ def interval_state(history: DataFrame) -> DataFrame:
     urgency = F.coalesce(F.col("urgency"), F.lit(0))
     reset = F.when(urgency >= V.HOT_URGENCY, V.HOT_INTERVAL).when(urgency >= V.WARM_URGENCY, V.WARM_INTERVAL)
     calm = (urgency != 0) & (urgency < V.WARM_URGENCY)
-    return history.groupBy("job_id").agg(
+    return history.groupBy("job_id", *by).agg(
         F.max(F.when(urgency != 0, F.col("ts"))).alias("last_seen"),
         F.max(F.when(reset.isNotNull(), F.struct(at.alias("at"), reset.alias("value")))).alias("reset"),
         F.max(F.when(calm, at)).alias("last_calm"),
@@ -74,6 +74,13 @@ def interval_state(history: DataFrame) -> DataFrame:
     )
 
 
+def merged_state(states: DataFrame) -> DataFrame:
+    """One row per job out of several, each of another part of its history."""
+    return states.groupBy("job_id").agg(
+        F.max("last_seen").alias("last_seen"), F.max("reset").alias("reset"), F.max("last_calm").alias("last_calm"),
+        F.sum("n_calm").alias("n_calm"))
+
+
 def adapted_intervals(jobs: DataFrame, state: DataFrame) -> DataFrame:
     """Interval of each job after the articles summed up in ``interval_state``, in their time order.
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pageloom.functions import fixed_values as V
 from pageloom.functions.urls import is_useful, score_sitemap
 from pageloom.operators.skew import per_key_limit, spread_rank
+from pageloom.session import materialize
 
 
 def dedupe_urls(df: DataFrame, pos: str = "pos") -> DataFrame:
@@ -73,11 +74,14 @@ def union_results(*frames: DataFrame) -> DataFrame:
 
 
 def union_discovery(sitemap_urls: DataFrame, crawl_urls: DataFrame, force: bool = False) -> DataFrame:
-    """Urls per source (source, url): from its sitemaps, else, or when forced, from the crawl."""
+    """Urls per source (source, url): from its sitemaps, else, or when forced, from the crawl.
+
+    The listed urls are used twice and written once.
+    """
     crawled = crawl_urls.select("source", "url")
     if force:
         return crawled.distinct()
-    listed = sitemap_urls.select("source", "url").distinct()
+    listed = materialize(sitemap_urls.select("source", "url").distinct())
     unlisted = crawled.join(listed.select("source").distinct(), "source", "left_anti").distinct()
     return listed.unionByName(unlisted)
 

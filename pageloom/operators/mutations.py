@@ -63,11 +63,12 @@ def upsert_articles(current: DataFrame, batch: DataFrame, ts: Column, seq: str =
 
 
 def register_sources(
-    sources: DataFrame, urls: DataFrame, ts: Column, crawled: bool = True, https: bool = False
+    sources: DataFrame, urls: DataFrame, ts: Column, crawled: bool = True, https: bool = False, ids: DataFrame | None = None
 ) -> DataFrame:
     """Add a source for every new domain of ``urls``; ``crawled`` stamps the seen ones.
 
-    The robots address takes the scheme of the domain's first url, or https.
+    The robots address takes the scheme of the domain's first url, or https. New sources are numbered after the largest
+    id in ``ids``, by default that of ``sources``.
     """
     seen = (
         urls.select(U.netloc("url").alias("domain"), "url")
@@ -83,7 +84,7 @@ def register_sources(
         F.when(F.col("_hit") & F.lit(crawled), ts).otherwise(F.col("last_crawled")).alias("last_crawled"),
         "is_active", "created_at",
     )
-    added = assign_ids(seen.join(sources.select("domain"), "domain", "left_anti"), "domain", sources).select(
+    added = assign_ids(seen.join(sources.select("domain"), "domain", "left_anti"), "domain", sources if ids is None else ids).select(
         "id", "domain",
         F.concat(scheme, F.lit("://"), F.col("domain"), F.lit("/robots.txt")).alias("robots_url"),
         stamp.alias("last_crawled"), F.lit(True).alias("is_active"), ts.alias("created_at"),
@@ -107,6 +108,21 @@ def append_logs(logs: DataFrame, path: str) -> None:
     logs.write.mode("append").parquet(path)
 
 
+def enriched_values(open_row: Column) -> dict[str, Column]:
+    """What ``_found``, ``_summary``, ``_tags``, ``_category``, ``_urgency`` and ``_embedding`` make of the rows that are open."""
+    done = open_row & F.col("_found").isNotNull()
+    lost = open_row & F.col("_found").isNull()
+    return {
+        "summary": F.when(done, F.coalesce(non_empty(F.col("_summary")), F.col("summary"))).otherwise(F.col("summary")),
+        "ai_tags": F.when(done, F.col("_tags")).otherwise(F.col("ai_tags")),
+        "ai_category": F.when(done, F.col("_category")).otherwise(F.col("ai_category")),
+        "ai_urgency": F.when(done, F.col("_urgency")).otherwise(F.col("ai_urgency")).cast("int"),
+        "embedding": F.when(open_row, F.coalesce("_embedding", "embedding")).otherwise(F.col("embedding")),
+        "ai_status": F.when(done, schemas.COMPLETED).when(lost, schemas.FAILED).otherwise(F.col("ai_status")),
+        "ai_error_log": F.when(lost, V.NO_ANALYSIS).when(open_row, None).otherwise(F.col("ai_error_log")),
+    }
+
+
 def apply_enrichment(articles: DataFrame, analysis: DataFrame, embeddings: DataFrame) -> DataFrame:
     """Write analysis (id, summary, tags, category, urgency) and vectors (id, embedding) to their articles.
 
@@ -118,18 +134,7 @@ def apply_enrichment(articles: DataFrame, analysis: DataFrame, embeddings: DataF
         *[F.col(c).alias(f"_{c}") for c in ("summary", "tags", "category", "urgency")],
     )
     vectors = embeddings.select("id", F.col("embedding").alias("_embedding"))
-    open_row = ~F.col("ai_status").eqNullSafe(schemas.COMPLETED)
-    done = open_row & F.col("_found").isNotNull()
-    lost = open_row & F.col("_found").isNull()
-    changed = {
-        "summary": F.when(done, F.coalesce(non_empty(F.col("_summary")), F.col("summary"))).otherwise(F.col("summary")),
-        "ai_tags": F.when(done, F.col("_tags")).otherwise(F.col("ai_tags")),
-        "ai_category": F.when(done, F.col("_category")).otherwise(F.col("ai_category")),
-        "ai_urgency": F.when(done, F.col("_urgency")).otherwise(F.col("ai_urgency")).cast("int"),
-        "embedding": F.when(open_row, F.coalesce("_embedding", "embedding")).otherwise(F.col("embedding")),
-        "ai_status": F.when(done, schemas.COMPLETED).when(lost, schemas.FAILED).otherwise(F.col("ai_status")),
-        "ai_error_log": F.when(lost, V.NO_ANALYSIS).when(open_row, None).otherwise(F.col("ai_error_log")),
-    }
+    changed = enriched_values(~F.col("ai_status").eqNullSafe(schemas.COMPLETED))
     joined = articles.join(found, "id", "left").join(vectors, "id", "left")
     return joined.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in articles.columns])
 

@@ -60,6 +60,40 @@ def gap_fill_status(requested: DataFrame, articles: DataFrame, poll: Column) ->
     return counted.withColumn("stop", stop)
 
 
+def gap_poll(asked_at: Column, done_at: Column) -> Column:
+    """The first poll, from 0, that sees a url done; polls are ``GAP_POLL_SECONDS`` apart from the request on."""
+    waited = (F.unix_micros(done_at.cast("timestamp")) - F.unix_micros(asked_at.cast("timestamp"))) / (V.GAP_POLL_SECONDS * 1_000_000)
+    return F.when(waited.isNotNull(), F.greatest(F.ceil(waited), F.lit(0))).cast("int")
+
+
+def gap_outcomes(requested: DataFrame, answers: DataFrame) -> DataFrame:
+    """How the wait of each run ended: (run, requested, answered, ready, stop_poll, state).
+
+    ``requested``: (run, url); ``answers``: (run, url, poll), the poll that saw the url done, or null when the wait for it ran out.
+    A run stops at the poll at which all its urls are done (``ready``); else at the first poll after ``GAP_POLLS_PARTIAL`` that sees
+    any of them done (``partial``); else at the last one (``timed_out``). A run with urls that are neither done nor given up is
+    ``waiting``; it has no poll yet.
+    """
+    last = V.GAP_POLLS_MAX - 1
+    told = answers.groupBy("run", "url").agg(F.min("poll").alias("poll"))
+    in_time = F.when(F.col("poll") <= last, F.col("poll"))
+    asked = requested.select("run", "url").distinct()
+    polls = asked.join(told.withColumn("_told", F.lit(True)), ["run", "url"], "left").withColumn("poll", in_time)
+    runs = polls.groupBy("run").agg(
+        F.count(F.lit(1)).alias("requested"), F.count_if(F.col("_told").isNotNull()).alias("answered"), F.count("poll").alias("done"),
+        F.min("poll").alias("first"), F.max("poll").alias("slowest"))
+    partial = F.when(F.col("first").isNotNull(), F.greatest(F.col("first"), F.lit(V.GAP_POLLS_PARTIAL + 1)))
+    whole = F.when(F.col("done") == F.col("requested"), F.col("slowest"))
+    stop = F.when(F.col("answered") == F.col("requested"), F.coalesce(F.least(whole, partial), F.lit(last)))
+    stopped = runs.withColumn("stop_poll", stop)
+    ready = polls.join(stopped.select("run", "stop_poll"), "run").groupBy("run").agg(F.count_if(F.col("poll") <= F.col("stop_poll")).alias("ready"))
+    state = (
+        F.when(F.col("stop_poll").isNull(), "waiting").when(F.col("ready") >= F.col("requested"), "ready")
+        .when(F.col("ready") > 0, "partial").otherwise("timed_out")
+    )
+    return stopped.join(ready, "run").select("run", "requested", "answered", "ready", "stop_poll", state.alias("state"))
+
+
 def run_by_id(runs: DataFrame, task_id: str) -> DataFrame:
     return runs.filter(F.col("task_id") == task_id)
 

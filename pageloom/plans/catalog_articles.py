@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +12,12 @@ from pageloom.functions.jsonx import parse_tags, tags_text
 from pageloom.operators import articles as A
 from pageloom.operators import limits as L
 from pageloom.operators import memory as M
+from pageloom.operators import pivots as P
+from pageloom.operators import search_index as SI
 from pageloom.plans import derived as D
 from pageloom.plans.composites import dashboard_tables
 from pageloom.plans.registry import query
+from pageloom.session import ensure_checkpoint_dir
 from pageloom.sources.tables import table, with_json
 
 _LIST = "id, url, title, author, published_date, summary, main_image, created_at"
@@ -53,6 +58,15 @@ def keyword_search(spark, folder):
     return A.keyword_search(D.articles(spark, folder, A.LIST_COLS), "the")
 
 
+@query(f"SELECT {_LIST} FROM articles WHERE title ILIKE '%license%' OR summary ILIKE '%license%'", "articles")
+def keyword_search_indexed(spark, folder):
+    """A stored table with an index of its files: only those that can hold the term are read."""
+    place = f"{ensure_checkpoint_dir(spark)}/search-{uuid.uuid4().hex}"
+    D.articles(spark, folder, A.LIST_COLS).write.parquet(f"{place}/articles")
+    SI.index_files(spark, f"{place}/articles", f"{place}/index")
+    return SI.indexed_search(spark, f"{place}/articles", f"{place}/index", "License")
+
+
 @query("SELECT id, url, ai_category FROM articles WHERE ai_category IN ('en', 'fr')", "articles")
 def filter_category(spark, folder):
     return A.filter_category(D.articles(spark, folder, ["id", "url", "ai_category"]), ["en", "fr"])
@@ -213,6 +227,13 @@ def memory_search_batch(spark, folder):
     return hits.select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
 
 
+@query("SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round(distance, 6) AS distance FROM hits WHERE rank <= 5", "hits")
+def memory_search_pruned(spark, folder):
+    """The same hits over slices around pivots; a question meets the slices only that can hold one of them."""
+    found = P.pruned_knn(D.articles(spark, folder, ["id", "embedding"]), D.topics(spark, folder), 5)
+    return found.hits.select("query_id", "id", "rank", F.round("distance", 6).alias("distance"))
+
+
 @query("SELECT e.vec_id AS id, round(1 - list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) "
        "AS distance FROM embeddings e, embeddings q WHERE q.vec_id = 0", name="cosine_distance")
 def cosine_distance_(spark, folder):

@@ -10,6 +10,7 @@ from pageloom.operators import limits as L
 from pageloom.operators.articles import with_source
 from pageloom.operators.crawl import crawl_frontier as crawl
 from pageloom.operators.extract import extract_articles as extract
+from pageloom.operators.redirects import normalized_sources
 from pageloom.plans import composites as C
 from pageloom.plans import derived as D
 from pageloom.plans import oracle_views as O
@@ -99,9 +100,28 @@ def union_discovery(spark, folder):
     return L.union_discovery(listed, crawled)
 
 
-@query("SELECT seed, url, CAST(depth AS INTEGER) AS depth FROM site_crawl WHERE n <= 5", "site_crawl")
+@query("SELECT seed, url, CAST(depth AS INTEGER) AS depth FROM host_crawl WHERE n <= 50", "host_crawl")
 def crawl_frontier(spark, folder):
-    return crawl(D.site_seeds(spark, folder), link_edges(D.site_pages(spark, folder)), max_articles=5)
+    """From every host's root over the links of its pages."""
+    seeds = D.hosts(spark, folder).select(F.concat(F.lit("https://"), F.col("host")).alias("seed"))
+    return crawl(seeds, link_edges(D.host_pages(spark, folder)))
+
+
+# A chain down to every 64th page, and a loop of two before it.
+@query("""SELECT page_id, 'https://r.example.com/' || page_id AS url, CASE WHEN page_id % 64 IN (62, 63) THEN 'https://r.example.com/' || page_id
+            ELSE 'https://r.example.com/' || (page_id - page_id % 64) END AS base FROM pages""")
+def redirect_chains(spark, folder):
+    to = F.expr("case page_id % 64 when 62 then page_id + 1 else page_id - 1 end")
+    place = lambda c: F.concat(F.lit("https://r.example.com/"), c.cast("string"))
+    rows = D.page_urls(spark, folder).select("page_id", place(F.col("page_id")).alias("url"))
+    hops = D.page_urls(spark, folder).filter("page_id % 64 <> 0").select(place(F.col("page_id")).alias("url"), place(to).alias("final_url"))
+    return normalized_sources(rows, hops)
+
+
+@query("SELECT host AS source, base AS seed FROM host_bases", "host_bases")
+def source_addresses(spark, folder):
+    """Where discovery of each source starts."""
+    return C.find_sitemaps(D.sources(spark, folder), D.redirects(spark, folder), D.robots_files(spark, folder), D.fetches(spark, folder))[0]
 
 
 # The drop, container and line rules of the extraction, in the other engine's regular expressions.
@@ -173,20 +193,22 @@ def ingest_logs(spark, folder):
     return _ingested(spark, folder).logs.select("url", "level", "message")
 
 
-@query(_LISTED + f""", shut AS (SELECT domain FROM half_sources WHERE md5(domain) >= '4'),
-    picked AS (SELECT source, url FROM listed WHERE n <= 7 AND source IN (SELECT domain FROM half_sources) AND source NOT IN (SELECT domain FROM shut)),
-    sites AS (SELECT DISTINCT replace(seed, 'https://', '') AS source FROM site_crawl)
-    SELECT source, url FROM picked UNION SELECT replace(seed, 'https://', ''), url FROM site_crawl WHERE n <= 7""",
-       "sitemap_links", "ranked_sitemaps", "half_sources", "site_crawl")
+@query("""
+    , listed AS (SELECT host AS source, url, row_number() OVER (PARTITION BY host ORDER BY pos, url) AS n FROM (
+      SELECT h.host, l.url, min(l.pos) AS pos FROM host_sitemaps h JOIN page_links l ON l.page_id = h.page_id WHERE h.page_id % 4 <> 3 GROUP BY ALL)),
+    picked AS (SELECT source, url FROM listed WHERE n <= 20)
+    SELECT * FROM (SELECT source, url FROM picked UNION SELECT replace(seed, 'https://', ''), url FROM host_crawl WHERE n <= 20
+      AND replace(seed, 'https://', '') IN (SELECT host FROM host_bases WHERE NOT starts_with(base, 'https://home.'))
+      AND replace(seed, 'https://', '') NOT IN (SELECT source FROM picked))
+    WHERE url NOT IN (SELECT url FROM pages)""",
+       "page_links", "host_sitemaps", "host_crawl", "host_bases")
 def discover_urls(spark, folder):
-    """Sources of which some have sitemaps, some only linked pages, some nothing."""
-    registered = D.sources(spark, folder, "8")
-    sites = D.site_seeds(spark, folder).select(F.xxhash64("seed").alias("id"), netloc("seed").alias("domain"))
-    rows = registered.unionByName(sites, allowMissingColumns=True)
-    sitemaps = D.sitemap_names(spark, folder).filter(F.md5("host") < "4")
+    """All hosts: redirects, robots files, guessed places and ranks first, then sitemaps, else a crawl of the host's pages."""
+    sources = D.sources(spark, folder)
+    seeds, sitemaps = C.find_sitemaps(sources, D.redirects(spark, folder), D.robots_files(spark, folder), D.fetches(spark, folder))
     stored = D.page_urls(spark, folder).select("url")
     return C.discover_urls(
-        rows, sitemaps, D.sitemap_docs(spark, folder), link_edges(D.site_pages(spark, folder)), stored, now(), limit=7).urls
+        sources, sitemaps, D.host_sitemap_docs(spark, folder), link_edges(D.host_pages(spark, folder)), stored, now(), limit=20, seeds=seeds).urls
 
 
 @query("""SELECT j.id AS job_id, f.feed_url, CAST(f.pos AS INTEGER) AS pos, f.url FROM feed_items f

@@ -52,12 +52,32 @@ def flatten_summary(spark, folder):
     return rows.select("doc_id", flattened(F.col("v"), F.lit("old")).alias("summary"))
 
 
-@query()
+# The default vectors: hashed words and pairs counted by slot and scaled; a digest weighs every slot, in twelfths of the least, by its number.
+_VECTORS = """
+    WITH words AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}_]+'), lambda w: w <> '') AS w
+      FROM documents WHERE regexp_replace(text, '\\s+', '', 'g') <> ''),
+    grams AS (SELECT doc_id, unnest(w) AS g FROM words UNION ALL
+      SELECT doc_id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words),
+    codes AS (SELECT doc_id, CAST('0x' || substr(md5(g), 1, 8) AS BIGINT) AS c FROM grams),
+    slots AS (SELECT doc_id, c % 768 AS slot, sum(CASE WHEN (c // 65536) % 2 = 1 THEN 1 ELSE -1 END) AS n FROM codes GROUP BY ALL),
+    least AS (SELECT doc_id, min(abs(n)) AS m FROM slots WHERE n <> 0 GROUP BY doc_id)
+    SELECT d.doc_id, CAST(CASE WHEN w.doc_id IS NULL THEN NULL ELSE 768 END AS INTEGER) AS dims,
+      CAST(CASE WHEN w.doc_id IS NOT NULL THEN coalesce(sum(round(12.0::DOUBLE * s.n / l.m) * (s.slot + 1)), 0) END AS BIGINT) AS weighed,
+      CAST(CASE WHEN w.doc_id IS NOT NULL THEN count(s.n) FILTER (WHERE s.n <> 0) END AS BIGINT) AS filled
+    FROM documents d LEFT JOIN words w ON w.doc_id = d.doc_id LEFT JOIN slots s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.doc_id = d.doc_id
+    GROUP BY d.doc_id, w.doc_id"""
+
+
+@query(_VECTORS)
 def embed_documents(spark, folder):
-    """Default model over whole documents; its vectors are checked in the tests."""
+    """Default model over whole documents."""
     docs = D.documents(spark, folder).select("doc_id", "text")
-    vectors = E.embed_documents(docs, "text")
-    return vectors.select("doc_id", F.size("embedding").alias("dims"))
+    least = F.array_min(F.filter(F.transform("embedding", lambda x: F.abs(x.cast("double"))), lambda x: x != 0))
+    vectors = E.embed_documents(docs, "text").select("doc_id", "embedding", F.explode(F.array(least)).alias("least"))
+    parts = F.transform("embedding", lambda x, i: F.coalesce(F.round(12 * x.cast("double") / F.col("least")), F.lit(0.0)).cast("bigint") * (i + 1))
+    return vectors.select(
+        "doc_id", F.size("embedding").alias("dims"), F.aggregate(parts, F.lit(0).cast("bigint"), lambda s, x: s + x).alias("weighed"),
+        F.size(F.filter("embedding", lambda x: x != 0)).cast("bigint").alias("filled"))
 
 
 _ANALYSIS = f"""
@@ -94,6 +114,24 @@ def enrich_articles(spark, folder):
     return done.select("id", "ai_status", "ai_category", "ai_urgency", F.array_join("ai_tags", ", ").alias("tags"), F.size("embedding").alias("dims"))
 
 
+_ADAPTED = f"""WITH d AS ({_ANALYSIS}), open AS (SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 0)),
+      h AS (SELECT d.doc_id % 50 AS job_id, list(d.urgency ORDER BY d.doc_id) AS us FROM d JOIN open o ON o.doc_id = d.doc_id GROUP BY 1)
+    SELECT j.user_id AS id, CAST(list_reduce(list_prepend(CAST(j.start AS BIGINT), coalesce(CAST(h.us AS BIGINT[]), CAST([] AS BIGINT[]))),
+      lambda cur, u: CASE WHEN u >= 8 THEN 300 WHEN u >= 5 THEN 1800 ELSE greatest(3600, CAST(floor(cur * 0.95::DOUBLE) AS BIGINT)) END)
+      AS INTEGER) AS interval_seconds
+    FROM (SELECT DISTINCT user_id, CASE user_id % 3 WHEN 0 THEN 300 WHEN 1 THEN 3600 ELSE 86400 END AS start FROM events) j
+    LEFT JOIN h ON h.job_id = j.user_id"""
+
+
+@query(_ADAPTED)
+def adapt_jobs(spark, folder):
+    """Articles enriched for fifty jobs, and the intervals of all jobs after that."""
+    cols = ["id", "clean_text", "summary", "embedding", "ai_status", "ai_error_log", "ai_tags", "ai_category", "ai_urgency"]
+    a = D.articles(spark, folder, cols)
+    asked = a.select("id", (F.col("id") % 50).alias("job_id"), now().alias("ts"))
+    return C.enrich_for_jobs(a, asked, D.jobs(spark, folder)).jobs.select("id", "interval_seconds")
+
+
 @query()
 def search_by_text(spark, folder):
     """Documents nearest to each benchmark text, both under the default model."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pageloom.functions import schedule as T
@@ -10,10 +12,12 @@ from pageloom.operators import jobs as J
 from pageloom.operators import limits as L
 from pageloom.operators import mutations as M
 from pageloom.operators import research as R
+from pageloom.operators import stored as ST
 from pageloom.plans import composites as C
 from pageloom.plans import derived as D
 from pageloom.plans import oracle_views as O
 from pageloom.plans.registry import query
+from pageloom.session import ensure_checkpoint_dir
 from pageloom.sources.tables import table
 
 NOW = "2024-01-31 00:00:00"
@@ -48,6 +52,24 @@ def upsert_articles(spark, folder):
     return M.upsert_articles(a.filter("id % 3 <> 0"), first.unionByName(last), now())
 
 
+def _store(articles):
+    name = f"pageloom_articles_{uuid.uuid4().hex}"
+    return ST.store_articles(articles, name, f"{ensure_checkpoint_dir(articles.sparkSession)}/{name}", buckets=16)
+
+
+@query(_UPSERT, "articles")
+def stored_upsert(spark, folder):
+    """The same merge into a bucketed table, of which only the touched buckets are read and written."""
+    a = D.articles(spark, folder, _STORED)
+    again = a.filter("id % 2 = 0")
+    first = again.select("url", F.concat(F.lit("new: "), "title").alias("title"), F.col("id").alias("seq"))
+    last = again.filter("id % 10 = 0").select(
+        "url", F.concat(F.lit("last: "), "title").alias("title"), (F.col("id") + (1 << 40)).alias("seq"))
+    stored = _store(a.filter("id % 3 <> 0"))
+    ST.upsert_stored(stored, first.unionByName(last), now())
+    return stored.rows(spark)
+
+
 @query(f"""SELECT id, domain, robots_url, {_NOW} AS last_crawled, is_active, created_at FROM half_sources
            UNION ALL SELECT coalesce((SELECT max(id) FROM half_sources), 0) + row_number() OVER (ORDER BY md5(d), d), d,
              regexp_extract(u, '^[a-z]+') || '://' || d || '/robots.txt', {_NOW}, TRUE, {_NOW}
@@ -89,6 +111,27 @@ def apply_enrichment(spark, folder):
         "id", "ai_status", "ai_error_log", "ai_category", "ai_urgency", "summary", F.coalesce(F.size("embedding"), F.lit(-1)).alias("dims"))
 
 
+@query("""SELECT a.id, CASE WHEN a.id % 4 = 0 OR a.ai_status = 'completed' THEN a.ai_status WHEN l.doc_id IS NOT NULL THEN 'completed' ELSE 'failed' END
+             AS ai_status, CASE WHEN a.id % 4 = 0 OR a.ai_status = 'completed' THEN a.ai_error_log WHEN l.doc_id IS NULL
+             THEN 'AI returned no data' END AS ai_error_log,
+             CASE WHEN a.id % 4 <> 0 AND a.ai_status <> 'completed' AND l.doc_id IS NOT NULL THEN 'quality ' || l.quality ELSE a.summary END AS summary,
+             round(list_sum(list_transform(CASE WHEN a.id % 4 = 0 OR a.ai_status = 'completed' THEN a.embedding
+               ELSE coalesce(e.embedding, a.embedding) END, lambda x: abs(CAST(x AS DOUBLE)))), 6) AS weight
+           FROM articles a LEFT JOIN labels l ON l.doc_id = a.id
+           LEFT JOIN (SELECT vec_id + 200 AS id, embedding FROM embeddings) e ON e.id = a.id""", "articles")
+def stored_enrichment(spark, folder):
+    """Analyses and vectors for three of four articles of a bucketed table; the others are not asked for."""
+    a = D.articles(spark, folder)
+    analysis = table(spark, folder, "labels").select(
+        F.col("doc_id").alias("id"), F.expr("concat('quality ', quality)").alias("summary"),
+        F.array(F.lit("label")).alias("tags"), F.lit("label").alias("category"), (F.col("quality") + 3).alias("urgency"))
+    vectors = table(spark, folder, "embeddings").select((F.col("vec_id") + 200).alias("id"), "embedding")
+    stored = _store(a)
+    ST.enrich_stored(stored, D.articles(spark, folder, ["id", "url"]).filter("id % 4 <> 0"), analysis, vectors)
+    weight = F.aggregate(F.transform("embedding", lambda x: F.abs(x.cast("double"))), F.lit(0.0), lambda s, x: s + x)
+    return stored.rows(spark).select("id", "ai_status", "ai_error_log", "summary", F.round(weight, 6).alias("weight"))
+
+
 @query("SELECT id, url, ai_status FROM articles WHERE ai_status <> 'failed'", "articles")
 def delete_failed(spark, folder):
     return M.delete_failed(D.articles(spark, folder, ["id", "url", "ai_status"]))

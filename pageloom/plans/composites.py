@@ -20,12 +20,14 @@ from pageloom.operators import limits as L
 from pageloom.operators import mutations as M
 from pageloom.operators import research as R
 from pageloom.operators.crawl import crawl_frontier
-from pageloom.operators.enrich import Analyzer, Embedder, analysis, embedding
+from pageloom.operators.enrich import Analyzer, Embedder, answer_of, embedding, told_analysis
 from pageloom.operators.extract import extract_articles
 from pageloom.operators.memory import knn_join
+from pageloom.operators.redirects import normalized_sources
 from pageloom.operators.robots_join import robots_join
 from pageloom.session import materialize
 from pageloom.sources.feeds import feed_items, sitemap_links
+from pageloom.sources.robots import guess_sitemaps, robots_sitemaps
 from pageloom.sources.tables import fetched_pages
 
 
@@ -68,31 +70,28 @@ class Dashboard(NamedTuple):
     mix: DataFrame
 
 
-def readable_pages(pages: DataFrame, robots_files: DataFrame) -> DataFrame:
-    """Pages with ``allowed`` (robots) and ``ok`` (allowed and fetched)."""
-    checked = robots_join(fetched_pages(pages), robots_files)
-    return checked.withColumn("ok", F.col("allowed") & F.col("error").isNull() & F.col("html").isNotNull())
+def page_verdicts(pages: DataFrame, robots_files: DataFrame) -> DataFrame:
+    """What becomes of each page: (url, seq, error, allowed, ok). No html takes part."""
+    narrow = fetched_pages(pages).select("url", "seq", "error", F.col("html").isNotNull().alias("_has"))
+    checked = robots_join(narrow, robots_files)
+    return checked.withColumn("ok", F.col("allowed") & F.col("error").isNull() & F.col("_has")).drop("_has")
 
 
-def read_articles(pages: DataFrame, sources: DataFrame, ts: Column) -> DataFrame:
-    """Readable pages to article columns: extraction, content document, source."""
-    extracted = extract_articles(pages.select("url", "html", "seq"))
-    return A.with_source(extracted.withColumn("content", content_json(ts)).drop("html"), sources)
+def read_articles(pages: DataFrame, verdicts: DataFrame, sources: DataFrame, ts: Column) -> DataFrame:
+    """Article columns of the last readable page of each url: extraction, content document, source.
 
+    Pages are extracted where they are scanned; verdicts and sources meet as narrow rows, and the text then moves once, by url.
+    """
+    wanted = verdicts.filter("ok and url is not null").groupBy("url").agg(F.max("seq").alias("_last"))
+    fetched = fetched_pages(pages).filter("error is null and html is not null").select("url", "html", "seq")
+    read = extract_articles(fetched).withColumn("content", content_json(ts)).drop("html")
+    found = read.join(A.with_source(wanted, sources), "url").filter("seq = _last").drop("_last")
+    return M.last_per_url(found.withColumn("_seq", F.col("seq")), "_seq")
 
-def ingest_pages(
-    pages: DataFrame, robots_files: DataFrame, articles: DataFrame, sources: DataFrame, ts: Column, seq: str = "page_id"
-) -> Ingested:
-    """Register sources, apply robots, extract, merge into the article table, and log every page.
 
-    The merge uses the extracted rows several times, so they are written once to the checkpoint folder.
-    """
-    registered = materialize(M.register_sources(sources, pages.select("url"), ts))
-    checked = readable_pages(pages.withColumn("seq", F.col(seq)), robots_files)
-    rows = materialize(read_articles(checked.filter("ok"), registered, ts))
-    merged = M.upsert_articles(articles, rows, ts)
-    stored = articles.select("url", F.lit(True).alias("_stored"))
-    told = checked.select("url", "allowed", "ok", "error").join(stored, "url", "left")
+def page_log_rows(verdicts: DataFrame, stored: DataFrame, ts: Column) -> DataFrame:
+    """A log row for every page: blocked, failed, updated (its url is in ``stored``) or created."""
+    told = verdicts.join(stored.select("url", F.lit(True).alias("_stored")), "url", "left")
     level = F.when(~F.col("allowed"), "WARN").when(~F.col("ok"), "ERROR").otherwise("INFO")
     verb = F.when(F.col("_stored"), "Updated").otherwise("Created")
     message = (
@@ -100,7 +99,22 @@ def ingest_pages(
         .when(~F.col("ok"), F.concat(F.lit(V.FETCH_FAILED), F.coalesce("error", F.lit("no content"))))
         .otherwise(F.concat(verb, F.lit(" basic data for "), netloc("url")))
     )
-    return Ingested(merged, registered, M.log_rows(told, level, message, ts))
+    return M.log_rows(told, level, message, ts)
+
+
+def ingest_pages(
+    pages: DataFrame, robots_files: DataFrame, articles: DataFrame, sources: DataFrame, ts: Column, seq: str = "page_id"
+) -> Ingested:
+    """Register sources, apply robots, extract, merge into the article table, and log every page.
+
+    Verdicts and extracted rows are used several times, so each is written once to the checkpoint folder.
+    """
+    registered = materialize(M.register_sources(sources, pages.select("url"), ts))
+    work = pages.withColumn("seq", F.col(seq))
+    checked = materialize(page_verdicts(work, robots_files))
+    rows = materialize(read_articles(work, checked, registered, ts))
+    merged = M.upsert_articles(articles, rows, ts)
+    return Ingested(merged, registered, page_log_rows(checked, articles, ts))
 
 
 def enrich_articles(
@@ -111,11 +125,13 @@ def enrich_articles(
 ) -> DataFrame:
     """Analyse and embed every article that is not completed; completed ones pass through unread.
 
-    One scan; analysis and vector are computed next to the row they belong to, so nothing is shuffled.
+    One scan; analysis and vector are computed next to the row they belong to, so nothing is shuffled. The error log of an
+    article that has failed holds the analyser's error, if there was one.
     """
     marked = articles.withColumn("_open", F.col("id").isNotNull() & ~F.col("ai_status").eqNullSafe(schemas.COMPLETED))
     text = F.when(F.col("_open"), F.col("clean_text"))
-    read = marked.withColumns({"_a": analysis(text, analyzers), "_v": embedding(text, model, dim)})
+    told = marked.withColumns({"_told": told_analysis(text, analyzers), "_v": embedding(text, model, dim)})
+    read = told.withColumn("_a", answer_of(F.col("_told")))
     done, lost = F.col("_open") & F.col("_a").isNotNull(), F.col("_open") & F.col("_a").isNull()
     values = {
         "summary": F.when(done, F.coalesce(F.nullif(F.col("_a.summary"), F.lit("")), "summary")).otherwise(F.col("summary")),
@@ -124,11 +140,32 @@ def enrich_articles(
         "ai_urgency": F.when(done, F.col("_a.urgency")).otherwise(F.col("ai_urgency")).cast("int"),
         "embedding": F.coalesce("_v", "embedding"),
         "ai_status": F.when(done, schemas.COMPLETED).when(lost, schemas.FAILED).otherwise(F.col("ai_status")),
-        "ai_error_log": F.when(lost, V.NO_ANALYSIS).when(~F.col("_open"), F.col("ai_error_log")),
+        "ai_error_log": F.when(lost, F.coalesce("_told.error", F.lit(V.NO_ANALYSIS))).when(~F.col("_open"), F.col("ai_error_log")),
     }
     return read.select(*[values[c].alias(c) if c in values else F.col(c) for c in articles.columns])
 
 
+class Enriched(NamedTuple):
+    articles: DataFrame
+    jobs: DataFrame
+
+
+def enrich_for_jobs(
+    articles: DataFrame, asked: DataFrame, jobs: DataFrame,
+    analyzers: Sequence[Analyzer] | None = None, model: Embedder | None = None, dim: int = V.EMBEDDING_DIM,
+) -> Enriched:
+    """Enrich articles and give the jobs that asked for them the intervals their urgency calls for.
+
+    ``asked``: (id, job_id, ts), an article that a job has brought and when. Every article that became completed in this run and has an
+    urgency counts once for its job, in the order of ``ts``, then id. The enriched table is written once.
+    """
+    out = materialize(enrich_articles(articles, analyzers, model, dim))
+    fresh = articles.filter(~F.col("ai_status").eqNullSafe(schemas.COMPLETED)).select("id")
+    done = out.filter((F.col("ai_status") == schemas.COMPLETED) & (F.coalesce("ai_urgency", F.lit(0)) != 0)).select("id", F.col("ai_urgency").alias("urgency"))
+    history = asked.dropDuplicates(["id", "job_id"]).join(done.join(fresh, "id", "left_semi"), "id").select("job_id", "ts", F.col("id").alias("seq"), "urgency")
+    return Enriched(out, adapt_jobs(jobs, history))
+
+
 def adapt_jobs(jobs: DataFrame, history: DataFrame) -> DataFrame:
     """Job table with the interval each job has after its newly enriched articles."""
     adapted = J.adapted_intervals(jobs, J.interval_state(history)).select(
@@ -149,6 +186,24 @@ def rest_jobs(jobs: DataFrame, quiet: DataFrame) -> DataFrame:
     return joined.select(*[interval.alias(c) if c == "interval_seconds" else F.col(c) for c in jobs.columns])
 
 
+def find_sitemaps(
+    sources: DataFrame, redirects: DataFrame, robots_files: DataFrame, fetches: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Where discovery starts: the base address of each source (source, seed), and its sitemaps (host, sitemap_url).
+
+    A source's address is followed through its redirects. The robots file of the host it leads to names the sitemaps, if it was answered
+    with 200; hosts without any are asked for the usual places, of which those with status 200 in ``fetches`` (url, status) count.
+    """
+    given = sources.filter("domain is not null").select(F.col("domain").alias("source"), F.concat(F.lit("https://"), F.col("domain")).alias("url")).distinct()
+    bases = materialize(normalized_sources(given, redirects).select("source", F.col("base").alias("seed"), netloc("base").alias("at")))
+    declared = materialize(robots_sitemaps(robots_files.filter("status = 200")).withColumnRenamed("host", "at"))
+    hosts = bases.select("at").distinct()
+    silent = hosts.join(declared, "at", "left_anti").select(F.col("at").alias("host"))
+    guessed = guess_sitemaps(silent, fetches).withColumnRenamed("host", "at")
+    sitemaps = bases.join(declared.unionByName(guessed), "at").select(F.col("source").alias("host"), "sitemap_url")
+    return bases.select("source", "seed"), sitemaps
+
+
 def discover_urls(
     sources: DataFrame,
     sitemaps: DataFrame,
@@ -158,22 +213,26 @@ def discover_urls(
     ts: Column,
     limit: int = 50,
     force: bool = False,
+    seeds: DataFrame | None = None,
 ) -> Discovered:
     """Urls to read for each source: from its ranked sitemaps, else from a crawl; stored ones left out.
 
-    ``sitemaps``: (host, sitemap_url); ``sitemap_docs``: (sitemap_url, xml).
+    ``sitemaps``: (host, sitemap_url); ``sitemap_docs``: (sitemap_url, xml); ``seeds``: (source, seed), the address at which a source's
+    crawl starts, by default its domain. ``find_sitemaps`` makes sitemaps and seeds.
     """
     domains = sources.select(F.col("domain").alias("source"))
     ranked = L.rank_sitemaps(sitemaps).select("sitemap_url", F.col("host").alias("source"), "rank")
-    ranked = ranked.join(domains, "source", "left_semi")
+    ranked = materialize(ranked.join(domains, "source", "left_semi"))
     listed = (
         sitemap_links(sitemap_docs, ranked).join(ranked, "sitemap_url")
         .select("source", "rank", F.struct("child", "pos").alias("pos"), "url")
     )
     from_sitemaps = materialize(L.discovery_limit(listed, limit))
     open_sources = domains if force else domains.join(from_sitemaps.select("source").distinct(), "source", "left_anti")
-    seeds = open_sources.select(F.concat(F.lit("https://"), F.col("source")).alias("seed"))
-    crawled = crawl_frontier(seeds, edges, max_articles=limit).select(netloc("seed").alias("source"), "url")
+    if seeds is None:
+        seeds = domains.select("source", F.concat(F.lit("https://"), F.col("source")).alias("seed"))
+    wanted = materialize(seeds.join(open_sources.distinct(), "source", "left_semi").select("source", "seed"))
+    crawled = crawl_frontier(wanted.select("seed"), edges, max_articles=limit).join(wanted, "seed").select("source", "url")
     urls = A.new_urls(L.union_discovery(from_sitemaps, crawled, force), articles)
     return Discovered(urls, M.touch(sources, sources.select("domain"), "domain", "last_crawled", ts))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from pageloom.functions.text import excerpt
 from pageloom.functions.urls import netloc
-from pageloom.operators.skew import assign_ids
+from pageloom.operators.skew import assign_ids, spread_rank
 from pageloom.sources.links import hrefs
 from pageloom.sources.tables import table
 
@@ -257,26 +257,60 @@ def _site_path(i: Column) -> Column:
     )
 
 
-def site_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """Pages of eight linked sites: page i of a site links to pages 5i+1 to 5i+5, itself, and out."""
-    p = F.col("page_id")
-    i = F.floor(p / 8)
-    root = F.concat(F.lit("https://site"), (p % 8).cast("string"), F.lit(".example.com"))
-    own = F.when(i == 0, F.lit("/")).otherwise(_site_path(i))
-    hrefs_ = F.concat(
-        F.transform(F.sequence(F.lit(1), F.lit(5)), lambda c: _site_path(i * 5 + c)),
-        F.array(own, F.lit("https://elsewhere.example.org/news/1"), F.concat(own, F.lit("#top"))),
-    )
-    anchors = F.array_join(F.transform(hrefs_, lambda h: F.concat(F.lit('<a href="'), h, F.lit('">x</a>'))), "")
-    return page_urls(spark, folder).select(
-        F.when(i == 0, root).otherwise(F.concat(root, own)).alias("url"),
-        F.concat(F.lit("<html><body>"), anchors, F.lit("</body></html>")).alias("html"),
-    )
+#: Links that a page of the crawl graph has to later pages of its host.
+GRAPH_LINKS = 12
+
 
+def host_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The pages as a graph per host: page i of a host links to pages 12i+1 to 12i+12, and where its own html links to.
 
-def site_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    root = F.concat(F.lit("https://site"), (F.col("page_id") % 8).cast("string"), F.lit(".example.com"))
-    return page_urls(spark, folder).select(root.alias("seed")).distinct()
+    Pages are numbered in the order of their hash; page 0 is the host's root.
+    """
+    numbered = spread_rank(
+        pages(spark, folder).select("html", netloc("url").alias("host"), F.concat("url", F.lit("|"), F.col("page_id").cast("string")).alias("key")),
+        ["host"], [], "key", "n")
+    i, root = F.col("n") - 1, F.concat(F.lit("https://"), F.col("host"))
+    targets = F.transform(F.sequence(F.lit(1), F.lit(GRAPH_LINKS)), lambda c: _site_path(i * GRAPH_LINKS + c))
+    anchors = F.array_join(F.transform(targets, lambda h: F.concat(F.lit('<a href="'), h, F.lit('">x</a>'))), "")
+    return numbered.select(
+        F.when(i == 0, root).otherwise(F.concat(root, _site_path(i))).alias("url"), F.concat(anchors, F.coalesce("html", F.lit(""))).alias("html"))
+
+
+def _kind() -> Column:
+    return F.substring(F.md5("host"), 1, 1)
+
+
+def redirects(spark: SparkSession, folder: str) -> DataFrame:
+    """Redirects of host addresses, by the first hash digit of the host: a chain to its home name, a loop, a slash, or none."""
+    h = F.col("host")
+    hop = lambda a, b: F.struct(a.alias("url"), b.alias("final_url"))
+    own, home = F.concat(F.lit("https://"), h), F.concat(F.lit("https://home."), h, F.lit("//"))
+    m = lambda p: F.concat(F.lit("http://m."), h, F.lit(p))
+    chain = F.array(hop(own, m("/a")), hop(m("/a"), m("/b")), hop(m("/b"), home))
+    loop = F.array(hop(own, F.concat(own, F.lit("/loop"))), hop(F.concat(own, F.lit("/loop")), own))
+    hops = F.when(_kind().isin("0", "1", "8", "9"), chain).when(_kind() == "2", loop).when(_kind() == "3", F.array(hop(own, F.concat(own, F.lit("/")))))
+    return hosts(spark, folder).select(F.inline(hops))
+
+
+def fetches(spark: SparkSession, folder: str) -> DataFrame:
+    """Fetch log (url, status) of guessed sitemap places: half of the hosts with a home name have one."""
+    place = F.concat(F.lit("https://home."), F.col("host"), F.lit("/sitemap.xml"))
+    return hosts(spark, folder).select(place.alias("url"), F.when(_kind().isin("0", "8"), 200).otherwise(404).alias("status"))
+
+
+def host_sitemap_docs(spark: SparkSession, folder: str) -> DataFrame:
+    """Sitemaps of hosts, index documents that name the sitemap of their first or last page, and those sitemaps."""
+    ends = page_urls(spark, folder).groupBy(netloc("url").alias("host")).agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+
+    def index(url: Column, page: str) -> Column:
+        named = F.expr(_MAP_NAME.replace("page_id", page))
+        return F.struct(url.alias("sitemap_url"), F.concat(F.lit("<sitemapindex><sitemap><loc>"), named, F.lit("</loc></sitemap></sitemapindex>")).alias("xml"))
+
+    h = F.col("host")
+    docs = F.array(
+        index(F.concat(F.lit("https://"), h, F.lit("/sitemap.xml")), "first"), index(F.concat(F.lit("https://home."), h, F.lit("/sitemap.xml")), "first"),
+        index(F.concat(F.lit("https://"), h, F.lit("/sitemap-news.xml")), "last"))
+    return ends.select(F.inline(docs)).unionByName(sitemap_docs(spark, folder))
 
 
 def runs(spark: SparkSession, folder: str) -> DataFrame:

@@ -201,26 +201,33 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT sitemap_url, -1 AS child, pos, loc AS url FROM sitemap_rows WHERE kind = 'url'
         UNION ALL SELECT i.sitemap_url, i.pos, u.pos, u.loc FROM sitemap_rows i JOIN sitemap_rows u
           ON i.kind = 'sitemap' AND u.kind = 'url' AND u.sitemap_url = i.loc"""),
-    "site_edges": ((), f"""
-        SELECT root || own AS src_url, pos, root || dst AS dst_url, root FROM (
-          SELECT 'https://site' || (page_id % 8) || '.example.com' AS root, i,
-            CASE WHEN i = 0 THEN '' ELSE {site_path('i')} END AS own, c - 1 AS pos, {site_path('5 * i + c')} AS dst
-          FROM (SELECT page_id, page_id // 8 AS i, unnest(range(1, 6)) AS c FROM pages)
-          UNION ALL SELECT 'https://site' || (page_id % 8) || '.example.com', i, {site_path('i')}, 5, {site_path('i')}
-          FROM (SELECT page_id, page_id // 8 AS i FROM pages WHERE page_id >= 8))"""),
-    "site_crawl": (("site_edges",), f"""
-        WITH e AS (SELECT *, {classify(path('dst_url'))} AS kind FROM site_edges),
+    "host_edges": (("links",), f"""
+        WITH numbered AS (SELECT page_id, {netloc('url')} AS host,
+          row_number() OVER (PARTITION BY {netloc('url')} ORDER BY md5(url || '|' || page_id), url || '|' || page_id) - 1 AS i FROM pages),
+        own AS (SELECT page_id, host, i, 'https://' || host AS root,
+          CASE WHEN i = 0 THEN 'https://' || host ELSE 'https://' || host || {site_path('i')} END AS src_url FROM numbered)
+        SELECT src_url, c - 1 AS pos, root || {site_path('12 * i + c')} AS dst_url, root FROM (SELECT *, unnest(range(1, 13)) AS c FROM own)
+        UNION ALL SELECT o.src_url, 12 + l.pos, o.root || l.href, o.root FROM own o JOIN links l ON l.page_id = o.page_id"""),
+    "host_crawl": (("host_edges",), f"""
+        WITH e AS (SELECT * FROM (SELECT *, {classify(path('dst_url'))} AS kind FROM host_edges) WHERE kind <> 'unknown' AND {useful('dst_url')}),
         s0 AS (SELECT root AS seed, dst_url AS url, kind, min([pos]) AS way FROM e WHERE src_url = root GROUP BY ALL),
         s1 AS (SELECT f.seed, e.dst_url AS url, e.kind, min(list_append(f.way, e.pos)) AS way FROM s0 f JOIN e
-          ON e.src_url = f.url WHERE f.kind = 'index' GROUP BY ALL),
+          ON e.src_url = rtrim(f.url, '/') WHERE f.kind = 'index' GROUP BY ALL),
         f2 AS (SELECT * FROM s1 WHERE kind = 'index' AND (seed, url) NOT IN (SELECT (seed, url) FROM s0)),
         s2 AS (SELECT f.seed, e.dst_url AS url, e.kind, min(list_append(f.way, e.pos)) AS way FROM f2 f JOIN e
-          ON e.src_url = f.url GROUP BY ALL),
+          ON e.src_url = rtrim(f.url, '/') GROUP BY ALL),
         found AS (SELECT seed, url, 0 AS depth, way FROM s0 WHERE kind = 'article'
           UNION ALL SELECT seed, url, 1, way FROM s1 WHERE kind = 'article'
           UNION ALL SELECT seed, url, 2, way FROM s2 WHERE kind = 'article'),
         firsts AS (SELECT *, row_number() OVER (PARTITION BY seed, url ORDER BY depth, way) AS k FROM found)
         SELECT seed, url, depth, row_number() OVER (PARTITION BY seed ORDER BY depth, way) AS n FROM firsts WHERE k = 1"""),
+    "host_kinds": (("hosts",), "SELECT host, substr(md5(host), 1, 1) AS d FROM hosts"),
+    "host_bases": (("host_kinds",), """
+        SELECT host, CASE WHEN d IN ('0', '1', '8', '9') THEN 'https://home.' || host ELSE 'https://' || host END AS base, d FROM host_kinds"""),
+    "host_sitemaps": (("host_bases",), f"""
+        SELECT b.host, CASE WHEN b.d IN ('2', '3', '0', '8') THEN p.first ELSE p.last END AS page_id
+        FROM host_bases b JOIN (SELECT {netloc('url')} AS host, min(page_id) AS first, max(page_id) AS last FROM pages GROUP BY 1) p ON p.host = b.host
+        WHERE b.d IN ('0', '8', '2', '3', '4', '5', '6', '7')"""),
     "runs": ((), f"""
         SELECT conv_id AS id, 'gen_' || conv_id AS task_id, text AS user_prompt,
           CASE WHEN conv_id % 3 = 1 THEN {excerpt('text')} END AS generated_text,

@@ -52,6 +52,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of intermediate data, wherever Spark can reach it; a missing one is no error."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give this package to the Python workers of the session, once."""
     sc = spark.sparkContext
@@ -72,4 +78,29 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/pageloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._pageloom_folder = path
+    return stored
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Write an intermediate result clustered by ``key``, so that joins on the key move the other side only.
+
+    There are as many buckets as the session has shuffle partitions; the table is external, in the checkpoint folder. ``discard``
+    removes it.
+    """
+    spark = df.sparkSession
+    name = f"pageloom_{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark)}/{name}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    stored = spark.table(name)
+    stored._pageloom_folder, stored._pageloom_table = path, name
+    return stored
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``materialize`` or ``bucketed`` wrote for this frame; it can't be read any more."""
+    if getattr(df, "_pageloom_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._pageloom_table}")
+    remove(df.sparkSession, df._pageloom_folder)
