@@ -1,8 +1,9 @@
 """Near-duplicate documents: SuperMinHash, banding, verification on full sets, union-find grouping.
 
 1. One pass over the texts gives each document its shingle count, a 128-bit fingerprint of its shingle set and its band
-   hashes. Documents of equal sets form a class, of which the least id goes on.
-2. Documents that share a band hash are candidates. Each is verified against the bucket's least document; links found so give
+   hashes. Documents of equal sets form a class, which goes on under a number of its own with one text; so an id that stands with
+   several texts is several members.
+2. Classes that share a band hash are candidates. Each is verified against the bucket's first class; links found so give
    first components. Most buckets then lie in one component and need nothing more.
 3. In a bucket of several components every pair across components is verified, in blocks: members outside the bucket's
    largest component against all members. Pairs inside one component are never formed, so a group of copies costs no more
@@ -32,25 +33,29 @@ BLOCK = 512
 _SKETCH = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>"
 
 
+def _prints(part: pa.RecordBatch, k: int) -> tuple[np.ndarray, ...]:
+    """Shingle sets of a batch's texts (values, row offsets), their sizes, and a 128-bit fingerprint of each set."""
+    values, first = shingle_sets(words(part.column("text"), lower=True), k)
+    total = np.zeros((2, len(values) + 1), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for i, seed in enumerate((11, 12)):
+            np.cumsum(mix(values, seed), out=total[i, 1:])
+        f1, f2 = (total[:, first[1:]] - total[:, first[:-1]]).view(np.int64)
+    return values, first, np.diff(first).astype(np.int64), f1, f2
+
+
 def sketches(docs: DataFrame, k: int, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, set fingerprint (f1, f2), band hashes (empty for an empty set)."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for part in chunks(batch, "text"):
-            w = words(part.column("text"), lower=True)
-            values, first = shingle_sets(w, k)
-            n = np.diff(first)
+            values, first, n, f1, f2 = _prints(part, k)
             full = n > 0
             found = bands(signatures(values, first, SLOTS), rows)
-            with np.errstate(over="ignore"):
-                total = np.zeros((2, len(values) + 1), dtype=np.uint64)
-                for i, seed in enumerate((11, 12)):
-                    np.cumsum(mix(values, seed), out=total[i, 1:])
-                f1, f2 = (total[:, first[1:]] - total[:, first[:-1]]).view(np.int64)
             ends = np.concatenate([[0], np.cumsum(np.where(full, found.shape[1], 0))]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(found[full].reshape(-1)))
-            out.append((part.column("key"), pa.array(n.astype(np.int64)), pa.array(f1), pa.array(f2), lists))
+            out.append((part.column("key"), pa.array(n), pa.array(f1), pa.array(f2), lists))
         return {
             name: pa.concat_arrays([x[i] for x in out])
             for i, name in enumerate(("doc_id", "n_shingles", "f1", "f2", "bands"))
@@ -140,28 +145,58 @@ def _cell_links(table: pa.Table, k: int, percent: int) -> pa.Table:
     return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id, kept.
+_SAME = ["n_shingles", "f1", "f2"]
 
-    Documents whose sets of distinct ``k``-word shingles have a Jaccard similarity of ``percent`` / 100 or more are linked;
-    ``component_id`` is the least id reachable, itself included, and ``kept`` tells whether it is the row's own id. A
-    null, empty or blank text has no shingles and is linked with nothing. Repeated rows repeat their result; several texts
-    under one id are judged each by its own shingles. A row without id gets a null component and is kept.
+
+def _several(found: DataFrame) -> DataFrame:
+    """Ids that stand with more than one set: (doc_id)."""
+    own = found.filter("doc_id is not null").groupBy("doc_id")
+    return own.agg(*[F.min(F.struct(*_SAME)).alias("a"), F.max(F.struct(*_SAME)).alias("b")]).filter("a <> b").select("doc_id")
+
+
+def _with_prints(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, text) with the size and fingerprint of each text's set."""
+
+    def run(batch: pa.RecordBatch) -> dict | None:
+        made = [(part.column("doc_id"), part.column("text"), *map(pa.array, _prints(part, k)[2:])) for part in chunks(batch, "text")]
+        return {name: pa.concat_arrays([x[i] for x in made]) for i, name in enumerate(("doc_id", "text", *_SAME))} if made else None
+
+    return by_rows(docs.select("doc_id", "text"), run, "doc_id bigint, text string, n_shingles bigint, f1 bigint, f2 bigint")
+
+
+def _texts(docs: DataFrame, wanted: DataFrame, several: DataFrame, k: int) -> DataFrame:
+    """(doc_id, text): a text for each wanted class, (doc_id: its number, rep: the id it stands under, its set).
+
+    Only an id with several sets needs the sets of its texts computed again.
     """
-    spark = docs.sparkSession
+    known = wanted.join(several.withColumnRenamed("doc_id", "rep").withColumn("_several", F.lit(True)), "rep", "left")
+    known = materialize(known.select("rep", "_several", *_SAME, F.col("doc_id").alias("number")))
+    held = docs.filter(may_be_among(known.select("rep"))(F.col("doc_id"))).withColumnRenamed("doc_id", "rep")
+    plain = held.join(known.filter("_several is null").select("rep", "number"), "rep").select(F.col("number").alias("doc_id"), "text")
+    unsure = known.filter("_several")
+    if unsure.isEmpty():
+        return materialize(plain)
+    printed = _with_prints(held.join(unsure.select("rep").distinct(), "rep").select(F.col("rep").alias("doc_id"), "text"), k)
+    odd = printed.withColumnRenamed("doc_id", "rep").join(unsure, ["rep", *_SAME]).select(F.col("number").alias("doc_id"), "text")
+    return materialize(plain.unionByName(odd))
+
+
+def _grouped(docs: DataFrame, k: int, percent: int, rows: int, key: str, text: str) -> DataFrame:
+    """``near_duplicates`` with the fingerprint of each row's set."""
     docs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     sketch = materialize(sketches(docs, k, rows))
-    same = ["n_shingles", "f1", "f2"]
-    classes = materialize(sketch.filter("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")))
+    classes = sketch.filter("n_shingles > 0").groupBy(*_SAME).agg(F.min("doc_id").alias("rep"))
+    classes = materialize(classes.withColumn("number", F.monotonically_increasing_id()))
     first = materialize(
-        sketch.select("doc_id", *same, "bands").join(classes, same).filter("doc_id = rep").select("doc_id", "bands").dropDuplicates(["doc_id"])
-    )
+        sketch.select("doc_id", *_SAME, "bands").join(classes, _SAME).filter("doc_id = rep")
+        .select(F.col("number").alias("doc_id"), "bands").dropDuplicates(["doc_id"])
+    )
     spread = first.select(F.col("doc_id").alias("doc"), F.posexplode("bands").alias("band", "h"))
     buckets = spread.groupBy("band", "h").agg(F.min("doc").alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     shared = materialize(spread.join(buckets, ["band", "h"]).select("band", "h", "doc", "centre", "n"))
 
-    wanted = materialize(shared.select(F.col("doc").alias("doc_id")).distinct())
-    texts = materialize(docs.filter(may_be_among(wanted)(F.col("doc_id"))).join(wanted, "doc_id"))
+    wanted = shared.select(F.col("doc").alias("number")).distinct().join(classes, "number").withColumnRenamed("number", "doc_id")
+    texts = _texts(docs, wanted, _several(sketch), k)
     pairs = shared.filter("doc <> centre").select(F.col("doc").alias("a"), F.col("centre").alias("b")).distinct()
     links = materialize(_verified(pairs, texts, k, percent))
     found = components(links)
@@ -189,20 +224,42 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
     )
     groups = components(links.unionByName(more))
 
-    out = sketch.select("doc_id", *same).join(classes, same, "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    component = F.coalesce("component", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = classes.join(groups.withColumnRenamed("node", "number"), "number", "left").withColumn("group", F.coalesce("component", "number"))
+    named = materialize(named.select(*_SAME, "rep", "group"))
+    least = named.groupBy("group").agg(F.min("rep").alias("least"))
+    out = sketch.select("doc_id", *_SAME).join(named.join(least, "group").select(*_SAME, "least"), _SAME, "left")
+    component = F.coalesce("least", "doc_id")
+    kept = F.col("doc_id").isNull() | F.col("doc_id").eqNullSafe(component)
+    return out.select("doc_id", *_SAME, component.alias("component_id"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id, kept.
+
+    Documents whose sets of distinct ``k``-word shingles have a Jaccard similarity of ``percent`` / 100 or more are linked;
+    ``component_id`` is the least id reachable, itself included, and ``kept`` tells whether it is the row's own id. A
+    null, empty or blank text has no shingles and is linked with nothing. Repeated rows repeat their result; several texts
+    under one id are judged each by its own shingles. A row without id is kept; its component is its text's, null where no row with
+    an id has a near text.
+    """
+    return _grouped(docs, k, percent, rows, key, text).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each group the document of least id stays, as it is.
 
-    Rows that repeat both id and text count once. Rows without id, and texts without words, stay. Only rows that may have to
-    go are shuffled.
+    Rows that repeat both id and text count once. Rows without id, and texts without words, stay. Of an id with several texts
+    each goes or stays by itself. Only rows that may have to go are shuffled.
     """
-    found = materialize(near_duplicates(docs, k, percent, rows, key, text).select("doc_id", "kept"))
-    gone = found.filter("not kept").select("doc_id").distinct()
+    found = materialize(_grouped(docs, k, percent, rows, key, text).select("doc_id", *_SAME, "kept"))
+    several = materialize(_several(found))
+    gone = found.filter("not kept").select("doc_id", *_SAME).distinct()
+    whole = gone.select("doc_id").distinct().join(several, "doc_id", "left_anti")
     twice = found.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id")
-    suspect = may_be_among(gone.union(twice))(F.col(key).cast("bigint"))
-    checked = docs.filter(suspect).join(gone.withColumnRenamed("doc_id", "_gone"), F.col(key) == F.col("_gone"), "left_anti").dropDuplicates([key, text])
-    return docs.filter(~suspect).unionByName(checked)
+    suspect = may_be_among(whole.union(twice))(F.col(key).cast("bigint"))
+    checked = docs.filter(suspect).join(whole.withColumnRenamed("doc_id", "_gone"), F.col(key) == F.col("_gone"), "left_anti")
+    if not several.isEmpty():
+        theirs = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter(may_be_among(several)(F.col("doc_id")))
+        lost = _with_prints(theirs.join(several, "doc_id").distinct(), k).join(gone, ["doc_id", *_SAME]).select(F.col("doc_id").alias("_gone"), F.col("text").alias("_lost"))
+        checked = checked.join(lost, (F.col(key) == F.col("_gone")) & F.col(text).eqNullSafe(F.col("_lost")), "left_anti")
+    return docs.filter(~suspect).unionByName(checked.dropDuplicates([key, text]))

@@ -234,6 +234,18 @@ def test_keep_one(messy):
     assert ids[3] == 1 and 7 not in ids and 9 not in ids and ids[4] == 1 and 40 not in ids and ids[None] == 1 and ids[20] == ids[21] == 1
 
 
+def test_several_texts_under_one_id(spark):
+    """Each text is judged by itself: none is lost, and the bands of all of them count."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    near = lambda t: t.replace("30 ", "30x ", 1)
+    rows = [(3, a), (5, a), (5, b), (5, b), (6, near(b)), (7, c), (5, near(c)), (8, None), (8, c + " more"), (None, b)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(df, 3, 80, 4).collect()}
+    assert {(3, 58, 3, True), (5, 58, 3, False), (5, 58, 5, True), (6, 58, 5, False), (7, 58, 5, False), (8, 59, 5, False), (8, 0, 8, True)} <= got
+    kept = Counter((r.doc_id, r.text) for r in neardup.keep_one(df, 3, 80, 4).collect())
+    assert kept == Counter({(3, a): 1, (5, b): 1, (5, near(c)): 1, (8, None): 1, (None, b): 1})
+
+
 # --- language model
 
 
