@@ -74,7 +74,7 @@ def _block(lang: str, texts: list[bytes]) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays(arrays, names=["block", "lang", "n", "words", "counts", "codes"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int, held_bytes: int) -> Iterator[pa.RecordBatch]:
     held: dict[str, list[bytes]] = {}
     size: dict[str, int] = {}
 
@@ -90,9 +90,9 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for lang, text in zip(some.column(0).to_pylist(), some.column(1).cast(pa.large_binary()).to_pylist(), strict=True):
                 held.setdefault(lang, []).append(text)
                 size[lang] = size.get(lang, 0) + len(text) + 1
-                if size[lang] >= BLOCK_BYTES:
+                if size[lang] >= block_bytes:
                     yield from done(lang)
-            if sum(size.values()) >= HELD_BYTES:
+            if sum(size.values()) >= held_bytes:
                 yield from done(max(size, key=size.__getitem__))
     for lang in list(held):
         yield from done(lang)
@@ -191,7 +191,7 @@ def _not_inside(phrases: DataFrame, share: int) -> DataFrame:
 
 def collocations(
     docs: DataFrame, least: int = 10, share: int = 50, top: int = 2000, text_col: str = "text", lang_col: str = "lang",
-    shard_words: int = SHARD_WORDS, fan_bits: int = FAN_BITS,
+    shard_words: int = SHARD_WORDS, fan_bits: int = FAN_BITS, block_bytes: int = BLOCK_BYTES, held_bytes: int = HELD_BYTES,
 ) -> DataFrame:
     """The ``top`` phrases of two and three words of each language: ``lang, rank, phrase, a, l, r, n, score``.
 
@@ -200,7 +200,7 @@ def collocations(
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text")).filter("text <> ''")
-    blocks = materialize(rows.mapInArrow(_blocks, _BLOCKS))
+    blocks = materialize(rows.mapInArrow(lambda batches: _blocks(batches, block_bytes, held_bytes), _BLOCKS))
 
     told = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word"))
     often = materialize(told.agg(F.sum("w.counts").alias("f")).filter(F.col("f") >= least))

@@ -192,11 +192,13 @@ def orchard_clusters(
                  "distance": pa.array([None if d > _LONG else d for d in far.tolist()], pa.int64())})
 
     assigned = materialize(vectors.mapInArrow(assign, schema))
-    sums = assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()
-    whole = sum(int(r.s or 0) for r in sums)
-    long = lambda x: x if x <= _LONG else None
+    # A distance that is null is beyond 64 bits, and so is every sum with it.
+    sums = assigned.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s"), F.count_if(F.col("distance").isNull()).alias("lost")).collect()
+    each = {r.cluster: None if r.lost else int(r.s) for r in sums}
+    whole = None if None in each.values() else sum(each.values())
+    long = lambda x: x if x is not None and x <= _LONG else None
     digest = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in final]
     told = spark.createDataFrame(
-        [(r.cluster, long(int(r.s or 0)), long(whole), digest[r.cluster]) for r in sums],
+        [(c, long(s), long(whole), digest[c]) for c, s in each.items()],
         "cluster int, cluster_inertia bigint, inertia bigint, centroid_sha256 string")
     return assigned.join(F.broadcast(told), "cluster").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")

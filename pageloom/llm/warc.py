@@ -103,11 +103,11 @@ def parse(raw: bytes) -> tuple[int | None, int, str, str, int | None]:
 class _Archive:
     """Files of one task, closed when large; ``add`` returns where a record stands."""
 
-    def __init__(self, folder: str) -> None:
-        self.folder, self.out, self.at, self.name = folder, None, 0, ""
+    def __init__(self, folder: str, roll_bytes: int) -> None:
+        self.folder, self.roll_bytes, self.out, self.at, self.name = folder, roll_bytes, None, 0, ""
 
     def add(self, raw: bytes) -> tuple[str, int, int]:
-        if self.out is None or self.at >= ROLL_BYTES:
+        if self.out is None or self.at >= self.roll_bytes:
             self.close()
             self.name, self.at = f"archive-{uuid.uuid4().hex}.warc.gz", 0
             store, path = fs.FileSystem.from_uri(self.folder)
@@ -177,7 +177,7 @@ def write_archive(pages: DataFrame, folder: str, least_bytes: int = 0, id_col: s
     revisits = told.filter(F.col("kind") == REVISIT).repartition("digest", "page_id", "url", "run").withColumn("payload", F.lit(None).cast("binary"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, date = _Archive(folder), _now()
+        out, date = _Archive(folder, ROLL_BYTES), _now()
         names = ("key", "page_id", "file", "offset", "length")
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -344,9 +344,9 @@ def read_records(captures: DataFrame, folder: str) -> DataFrame:
     return dealt.mapInArrow(read, PAGES)
 
 
-def archive_round_trip(pages: DataFrame, folder: str, least_bytes: int = 0) -> DataFrame:
+def archive_round_trip(pages: DataFrame, folder: str, least_bytes: int = 0, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Write the pages, index the captures, look every page's address up and read its records back."""
     captures = write_archive(pages, folder, least_bytes)
-    files = build_index(captures, folder)
+    files = build_index(captures, folder, block_lines)
     keys = pages.select(url_key(F.make_valid_utf8("url")).alias("key"))
     return read_records(look_up(files, folder, keys), folder)
