@@ -74,10 +74,18 @@ class MultiIndex:
         noise -= (noise * some).sum(axis=1)[:, None] * some
         length = np.sqrt((noise**2).sum(axis=1))[:, None]
         other = threshold * some + math.sqrt(max(0.0, 1 - threshold**2)) * noise / np.where(length > 0, length, 1)
-        every = self.size**2
-        a, b = self.nearest(some, every), self.nearest(other, every)
-        met = np.minimum(np.argmax(a == b[:, :1], axis=1), np.argmax(b == a[:, :1], axis=1))
-        return int(np.sort(met)[max(0, math.ceil(RECALL * len(met)) - 1)]) + 1 if len(met) else 1
+        if not len(some):
+            return 1
+        # The traversals go on, four times as far each time, until enough partners are met; the rest need not be followed.
+        every, wanted = self.size**2, max(1, math.ceil(RECALL * len(some)))
+        count = min(64, every)
+        while True:
+            a, b = self.nearest(some, count), self.nearest(other, count)
+            places = [np.where((x == y[:, :1]).any(axis=1), np.argmax(x == y[:, :1], axis=1), every) for x, y in ((a, b), (b, a))]
+            met = np.sort(np.minimum(*places))
+            if met[wanted - 1] < every or count == every:
+                return int(min(met[wanted - 1], every - 1)) + 1
+            count = min(4 * count, every)
 
 
 def _centroids(x: np.ndarray, size: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 #: Rows of a block, queries of a group, and queries scored at once.
 BLOCK_ROWS, GROUP_QUERIES, AT_ONCE = 16384, 8192, 256
 RESCORED = 64
+#: Pairs rescored at once: equal vectors leave every row possible, and their copies side by side would fill the memory.
+PAIRS = 1 << 16
 
 
 def integer_vectors(table: DataFrame, scale: int, key: str, vector: str) -> DataFrame:
@@ -89,10 +91,13 @@ class Block:
                 if possible.sum(axis=1).max(initial=0) <= max(RESCORED, 2 * k):
                     break
         at, row = np.nonzero(possible)
-        if top < 1 << 62:
-            exact = np.einsum("ij,ij->i", queries[at], self.vectors[row])
-        else:
-            exact = np.array([sum(a * b for a, b in zip(queries[i].tolist(), self.vectors[j].tolist(), strict=True)) for i, j in zip(at, row, strict=True)], dtype=np.int64)
+        exact = np.empty(len(at), dtype=np.int64)
+        for low in range(0, len(at), PAIRS):
+            i, j = at[low : low + PAIRS], row[low : low + PAIRS]
+            if top < 1 << 62:
+                exact[low : low + PAIRS] = np.einsum("ij,ij->i", queries[i], self.vectors[j])
+            else:
+                exact[low : low + PAIRS] = [sum(a * b for a, b in zip(queries[x].tolist(), self.vectors[y].tolist(), strict=True)) for x, y in zip(i, j, strict=True)]
         return at, row, exact
 
 
