@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.common import by_rows, materialize, may_be_among
+from pageloom.llm.common import by_rows, give_back, materialize, may_be_among
 from pageloom.llm.components import UnionFind, components
 from pageloom.llm.minhash import bands, shingle_sets, signatures
 from pageloom.llm.words import chunks, mix, words
@@ -29,6 +29,8 @@ from pageloom.llm.words import chunks, mix, words
 SLOTS = 100
 #: Members of one block of a bucket that is verified pair by pair.
 BLOCK = 512
+#: Bytes of text sketched at once: every shingle holds a permutation of the slots.
+SKETCHED_BYTES = 1 << 19
 
 _SKETCH = "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>"
 
@@ -49,7 +51,7 @@ def sketches(docs: DataFrame, k: int, rows: int, key: str = "doc_id", text: str
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for part in chunks(batch, "text"):
+        for part in chunks(batch, "text", SKETCHED_BYTES):
             values, first, n, f1, f2 = _prints(part, k)
             full = n > 0
             found = bands(signatures(values, first, SLOTS), rows)
@@ -109,6 +111,7 @@ def _cells(members: DataFrame) -> DataFrame:
 
 def _cell_links(table: pa.Table, k: int, percent: int) -> pa.Table:
     """Links across components inside one block pair of a bucket; of links that join the same sets, one."""
+    give_back()
     part = table.combine_chunks()
     text = part.column("text")
     doc, label, left = (part.column(c).to_numpy() for c in ("doc", "label", "left"))
@@ -222,7 +225,8 @@ def _grouped(docs: DataFrame, k: int, percent: int, rows: int, key: str, text: s
         cells.join(details, "doc").groupBy("band", "h", "i", "k")
         .applyInArrow(lambda t: _cell_links(t, k, percent), "a bigint, b bigint")
     )
-    groups = components(links.unionByName(more))
+    # Written first: a task that runs two Python functions holds two Python workers, and an executor keeps them.
+    groups = components(links.unionByName(materialize(more)))
 
     named = classes.join(groups.withColumnRenamed("node", "number"), "number", "left").withColumn("group", F.coalesce("component", "number"))
     named = materialize(named.select(*_SAME, "rep", "group"))

@@ -99,7 +99,7 @@ def piece_table(path: str) -> Pieces:
     return Pieces(path)
 
 
-def _encoded(docs: DataFrame, path: str) -> DataFrame:
+def _encoded(docs: DataFrame, path: str, keep_pieces: bool) -> DataFrame:
     """Ids of every text, with the tokens of its source that precede it in the partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,6 +118,9 @@ def _encoded(docs: DataFrame, path: str) -> DataFrame:
                      pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary())],
                     ["doc_id", "source", "part", "start", "n", "ids"],
                 )
+        if not keep_pieces:
+            table.clear()
+            table.older.clear()
         give_back()
 
     return docs.mapInArrow(run, "doc_id bigint, source string, part bigint, start bigint, n bigint, ids binary")
@@ -224,17 +227,18 @@ def _with_rest_start(sources: DataFrame) -> DataFrame:
 _PIECES = "doc_id bigint, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, path: str, weights: dict[str, int] | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def pack(docs: DataFrame, path: str, weights: dict[str, int] | None = None, key: str = "doc_id", text: str = "text", source: str = "source", keep_pieces: bool = True) -> DataFrame:
     """One row per piece: doc_id, source, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is its ids and id 0; pieces of a document cover it without overlap, and pieces of a sequence fill it from
     offset 0 without a gap. A null text is empty (one token); rows without id or source are packed too, those without
-    source as a source of their own; repeated rows are packed as often as they occur; other columns are ignored.
+    source as a source of their own; repeated rows are packed as often as they occur; other columns are ignored. Without ``keep_pieces``
+    Python workers forget the pieces they know at the end of a partition, which leaves their memory to what runs next.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.col(source).cast("string").alias("source"))
     at = f"{ensure_checkpoint_dir(spark)}/pageloom-{uuid.uuid4().hex}"
-    _encoded(rows, path).write.option("compression", "zstd").parquet(at)
+    _encoded(rows, path, keep_pieces).write.option("compression", "zstd").parquet(at)
     ids = spark.read.parquet(at)
     kind = piece_table(path).kind
 
