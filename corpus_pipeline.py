@@ -18,9 +18,15 @@ from pageloom.llm.substrings import remove_repeats
 from pageloom.session import ship_package
 
 
+#: Rows of a record batch: four stages share the executors' memory, and a batch of long texts is held several times over.
+BATCH_ROWS = 512
+
+
 def _ready(spark: SparkSession) -> None:
     ship_package(spark)
     bounded_batches(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(name, min(int(spark.conf.get(name)), BATCH_ROWS))
 
 
 def _apart(docs: DataFrame, *used: str) -> DataFrame:
@@ -60,7 +66,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 1024 tokens that hold the sources in proportion."""
     _ready(spark)
-    return pack(docs, tokenizer_file())
+    return pack(docs, tokenizer_file(), keep_pieces=False)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("packing", packing)]

@@ -162,7 +162,7 @@ def _most_frequent(words: Column, starts: Column) -> Column:
             (at - F.coalesce(F.get(starts, i + 1), F.size(words) + 1)).alias("minus_count"), F.get(words, at - 1).alias("word")
         ),
     )
-    return F.transform(F.slice(F.array_sort(counted), 1, TAGS), lambda x: x["word"])
+    return F.transform(F.slice(F.sort_array(counted), 1, TAGS), lambda x: x["word"])
 
 
 def default_analysis(text: Column) -> Column:
@@ -171,7 +171,7 @@ def default_analysis(text: Column) -> Column:
     Tags are the most frequent words of four letters or more; the category is the first whose word
     occurs, else General; urgency grows with exclamation, question marks and numbers.
     """
-    words = F.array_sort(F.filter(F.split(F.lower(text), _NOT_LETTERS), lambda w: F.length(w) >= TAG_CHARS))
+    words = F.sort_array(F.filter(F.split(F.lower(text), _NOT_LETTERS), lambda w: F.length(w) >= TAG_CHARS))
     tags = bound(words, lambda ws: bound(_run_starts(ws), lambda starts: _most_frequent(ws, starts)))
     low = F.lower(text)
     category = F.lit(None).cast("string")

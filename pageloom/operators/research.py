@@ -9,6 +9,7 @@ from pageloom import schemas
 from pageloom.functions import fixed_values as V
 from pageloom.functions import urls as U
 from pageloom.operators.skew import assign_ids
+from pageloom.session import materialize
 
 
 def context_block(hits: DataFrame, form: str) -> DataFrame:
@@ -142,7 +143,7 @@ def unmonitored_domains(domains: DataFrame, jobs: DataFrame) -> DataFrame:
     # one number, and at most _ANCHOR lengths
     longest = watched.agg(F.max(F.length("_url")).alias("n")).head()["n"]
     lengths = sorted(r["_length"] for r in wanted.select("_length").distinct().collect() if r["_length"])
-    pieces = watched.select("_url", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[_parts(F.col("_url"), F.lit(n)) for n in lengths]))).alias("_piece"))
+    pieces = materialize(watched.select("_url", F.explode(F.array_distinct(F.concat(F.array().cast("array<string>"), *[_parts(F.col("_url"), F.lit(n)) for n in lengths]))).alias("_piece")))
     held = pieces.groupBy("_piece").agg(F.count(F.lit(1)).alias("_urls"))
     asked = wanted.filter("_length > 0").withColumn("_piece", F.explode(F.array_distinct(_parts(F.col("_run"), F.col("_length")))))
     anchors = asked.join(held, "_piece", "left").groupBy("domain", "_like").agg(

@@ -2,8 +2,9 @@
 
 The table is clustered by url into as many buckets as it has partitions, one each: the partition column ``bucket`` is the
 bucket's number. A batch is dealt by url to the same number of parts and meets the stored rows bucket by bucket, so no stored
-row is shuffled; only the partitions that the batch touches are read, and dynamic partition overwrite replaces only them. A
-write is staged and then swapped in, so a lost job leaves the old rows.
+row is shuffled; only the partitions that the batch touches are read, and dynamic partition overwrite replaces only them. New
+files are staged and swapped in, partition by partition, when all tasks are done; a job lost before that leaves the old rows,
+and merging the same batch again gives the same rows.
 
 ``buckets`` is chosen once, for buckets of some hundred megabytes. The next free id is a property of the table; it is moved on
 before rows are written, so a lost job leaves a gap and never an id twice.

@@ -16,6 +16,7 @@ from pageloom.plans import derived as D
 from pageloom.plans import oracle_views as O
 from pageloom.plans.catalog_tables import _NOW, now
 from pageloom.plans.registry import query
+from pageloom.session import materialize
 from pageloom.sources.tables import table
 
 
@@ -163,13 +164,13 @@ def gap_list(spark, folder):
 
 
 def _hits(spark, folder, k=10):
-    found = knn_join(D.articles(spark, folder, ["id", "embedding"]), D.topics(spark, folder), k)
+    found = materialize(knn_join(D.articles(spark, folder, ["id", "embedding"]), D.topics(spark, folder), k))
     return found.join(D.articles(spark, folder, ["id", "title", "summary"]), "id")
 
 
 @query("""SELECT b.item_id AS query_id, coalesce(string_agg('- ' || a.title || ': ' || a.summary, chr(10) ORDER BY h.rank), 'No info.') AS audit,
             string_agg(w.line, chr(10) || chr(10) ORDER BY w.rank) AS writer
-          FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id
+          FROM benchmark b
           LEFT JOIN (SELECT query_id, h.rank, 'Source: ' || a.title || chr(10) || 'Content: ' || a.summary AS line FROM hits h
             JOIN articles a ON a.id = h.id) w ON w.query_id = b.item_id
           LEFT JOIN hits h ON h.query_id = b.item_id AND h.rank = w.rank AND h.rank <= 5 LEFT JOIN articles a ON a.id = h.id

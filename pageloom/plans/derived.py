@@ -331,7 +331,7 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, folder: str) -> DataFrame:
-    """Research queries: the benchmark items, each with the vector of its number."""
+    """Research queries: the benchmark items, each with the vector of its number, if there is one."""
     vectors = table(spark, folder, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     items = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("prompt"))
-    return items.join(vectors, "query_id")
+    return items.join(vectors, "query_id", "left")

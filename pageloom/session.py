@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -34,6 +35,13 @@ def local_session(app: str = "pageloom", cpus: int | str = "*", **conf: str) ->
     return spark
 
 
+def _own_folder(prefix: str) -> str:
+    """A folder on this machine that goes when the program ends."""
+    path = tempfile.mkdtemp(prefix=prefix)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Directory for ``DataFrame.checkpoint``: the one the cluster names, shared by all executors.
 
@@ -47,7 +55,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not named:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can read")
-        named = tempfile.mkdtemp(prefix="pageloom-checkpoint-")
+        named = _own_folder("pageloom-checkpoint-")
     sc.setCheckpointDir(named)
     return named
 
@@ -64,7 +72,7 @@ def ship_package(spark: SparkSession) -> None:
     if getattr(sc, "_pageloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
-    target = os.path.join(tempfile.mkdtemp(prefix="pageloom-"), "pageloom")
+    target = os.path.join(_own_folder("pageloom-"), "pageloom")
     sc.addPyFile(shutil.make_archive(target, "zip", root.parent, root.name))
     sc._pageloom_shipped = True
 
