@@ -128,7 +128,12 @@ def _knn_blocks(base: DataFrame, queries: DataFrame, n_queries: int, k: int, blo
         found = _nearest(q["key"].to_numpy(), matrix, parts, k)
         return pd.DataFrame(dict(zip(("query_id", "id", "distance"), found)))
 
-    return left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(cell, _HITS)
+    return undefined_last(left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(cell, _HITS))
+
+
+def undefined_last(hits: DataFrame) -> DataFrame:
+    """Distances that are no number, of zero vectors, come back from pandas as nulls; as numbers they sort after all others."""
+    return hits.withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))
 
 
 def knn_join(

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pageloom.operators.articles import filter_embedded
-from pageloom.operators.memory import _HITS, _matrix, _nearest, with_rank
+from pageloom.operators.memory import _HITS, _matrix, _nearest, undefined_last, with_rank
 from pageloom.operators.skew import per_key_limit
 from pageloom.session import materialize
 
@@ -114,7 +114,7 @@ def _meet(visits: DataFrame, articles: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame(dict(zip(("query_id", "id", "distance"), found, strict=True)))
 
     held = articles.select("id", "embedding", F.col("slice").alias("_slice"))
-    return visits.groupBy("slice").cogroup(held.groupBy("_slice")).applyInPandas(cell, _HITS)
+    return undefined_last(visits.groupBy("slice").cogroup(held.groupBy("_slice")).applyInPandas(cell, _HITS))
 
 
 def pruned_knn(articles: DataFrame, queries: DataFrame, k: int, pivots: int = PIVOTS, slice_: int = SLICE) -> Pruned:
