@@ -12,7 +12,7 @@ key occurs in training, which grows with the corpus and stays in Spark: a block
 to buckets chosen by the last three bytes of the context, so that a bucket has all contexts of depth 3 and more that it
 needs. Contexts of two bytes and less are bounded by the 2**24 byte trigrams whatever the corpus size; the buckets give their
 counts and the folded weights of what lengthens them, the driver ends the fold and broadcasts the upper tree (65,793 rows of
-2 * 256 single-precision values at most), and the buckets answer each block with its keys' log probabilities.
+3 * 256 single-precision values at most), and the buckets answer each block with its keys' log probabilities.
 
 The base score needs the count of each word in the corpus, which has no such bound either: words go by block (see ``blocks``).
 """
@@ -241,9 +241,9 @@ def _answers(batches, upper: Upper):
         for level in range(8):
             node = (((keys & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - level)).astype(np.int64)
             rest = upper.rest[row, node].astype(np.float64)
-            one = upper.one[row, node].astype(np.float64)
             bit = (keys >> np.uint64(7 - level) & np.uint64(1)).astype(bool)
-            value += np.log10(np.where(bit, one, 1 - rest - one) + rest * tree.level(level, True)[2])
+            settled = np.where(bit, upper.one[row, node], upper.zero[row, node]).astype(np.float64)
+            value += np.log10(settled + rest * tree.level(level, True)[2])
         value = value.astype(np.float32)
         for (block, bucket, m, _), own in zip(rows, each, strict=True):
             raw = _squeezed(value[np.searchsorted(keys, own)])
@@ -290,10 +290,13 @@ class Model:
 
 
 class Upper:
-    """Contexts of two bytes and less: by node the probability of a one that they settle, and what they leave to longer ones."""
+    """Contexts of two bytes and less: by node the probabilities of a zero and a one that they settle, and what they leave to longer ones.
 
-    def __init__(self, one: np.ndarray, rest: np.ndarray, row: np.ndarray):
-        self.one, self.rest, self.row = one, rest, row
+    The three sum to one, but none is the difference of the others: in single precision what is rare would be lost next to 1.
+    """
+
+    def __init__(self, zero: np.ndarray, one: np.ndarray, rest: np.ndarray, row: np.ndarray):
+        self.zero, self.one, self.rest, self.row = zero, one, rest, row
 
 
 def _levels(counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -327,7 +330,7 @@ def upper_tree(keys: np.ndarray, n: np.ndarray, deeper: np.ndarray | None = None
     for i, c in enumerate(lasts.tolist()):
         row[c :: 256] = len(contexts) + i
     row[contexts] = np.arange(len(contexts))
-    settled, rest = (np.zeros((len(contexts) + len(lasts) + 1, 256), np.float32) for _ in range(2))
+    zero, ones, rest = (np.zeros((len(contexts) + len(lasts) + 1, 256), np.float32) for _ in range(3))
     gamma, ln2 = _LogGamma(), np.log(2.0)
     for level, ((a2, b2), (a1, b1), (a0, b0)) in enumerate(zip(_levels(two), _levels(one), _levels(root), strict=True)):
         e2, e1, e0 = gamma.estimate(a2, b2), gamma.estimate(a1, b1), gamma.estimate(a0, b0)
@@ -343,12 +346,13 @@ def upper_tree(keys: np.ndarray, n: np.ndarray, deeper: np.ndarray | None = None
         mixed = np.logaddexp(e1, below) - ln2
         below = mixed.sum(axis=0, keepdims=True)
         w0 = 1 / (1 + np.exp(np.clip(below - e0, -700, 700)))
-        p2, p1, p0 = ((b + 0.5) / (a + b + 1.0) for a, b in ((a2, b2), (a1, b1), (a0, b0)))
-        of_two = w0 * p0 + (1 - w0) * (w1[parent] * p1[parent] + (1 - w1[parent]) * w2 * p2)
-        of_one = w0 * p0 + (1 - w0) * w1 * p1
-        settled[:, nodes] = np.concatenate([of_two, of_one, w0 * p0])
+        for settled, of_bit in ((zero, 0), (ones, 1)):
+            p2, p1, p0 = ((n[of_bit] + 0.5) / (n[0] + n[1] + 1.0) for n in ((a2, b2), (a1, b1), (a0, b0)))
+            of_two = w0 * p0 + (1 - w0) * (w1[parent] * p1[parent] + (1 - w1[parent]) * w2 * p2)
+            of_one = w0 * p0 + (1 - w0) * w1 * p1
+            settled[:, nodes] = np.concatenate([of_two, of_one, w0 * p0])
         rest[:, nodes] = np.concatenate([(1 - w0) * (1 - w1[parent]) * (1 - w2), (1 - w0) * (1 - w1), 1 - w0])
-    return Upper(settled, rest, row)
+    return Upper(zero, ones, rest, row)
 
 
 def train(keys: np.ndarray, n: np.ndarray) -> Model:
@@ -357,8 +361,7 @@ def train(keys: np.ndarray, n: np.ndarray) -> Model:
     table = np.zeros(upper.one.shape)
     for level in range(8):
         nodes = slice(1 << level, 2 << level)
-        p = upper.one[:, nodes].astype(np.float64) + 0.5 * upper.rest[:, nodes]
-        by_bit = np.log10(np.stack([1 - p, p], axis=2))
+        by_bit = np.log10(np.stack([p[:, nodes].astype(np.float64) + 0.5 * upper.rest[:, nodes] for p in (upper.zero, upper.one)], axis=2))
         table.reshape(len(table), 1 << level, 2, 1 << (7 - level))[:] += by_bit[..., None]
     return Model(table.astype(np.float32), upper.row)
 
