@@ -121,9 +121,9 @@ def parse(output: str) -> Iterator[Turn]:
         at = stop + len(END) + 1
 
 
-def format_rows(rows: list[Turn], template: Template | None = None) -> dict:
+def format_rows(rows: list[Turn], template: Template | None = None, turn_by_turn: bool = False) -> dict:
     """One conversation: formatted text, loss spans (text of assistant turns), whether history was rewritten."""
-    output, spans = render_spans(rows, template or chat_template, lambda role: role == "assistant", template is None)
+    output, spans = render_spans(rows, template or chat_template, lambda role: role == "assistant", turn_by_turn)
     loss = [(s[2], s[3]) for s, (role, _) in zip(spans, rows, strict=True) if s is not None and role == "assistant"]
     return {"formatted": output, "loss": loss, "rewritten": any(s is None for s in spans)}
 
@@ -185,24 +185,26 @@ def _by_conversation(turns: DataFrame, fn: Callable[[list[Turn]], dict], schema:
     return ordered.select("conv_id", "role", "text").mapInArrow(run, schema)
 
 
-def format_conversations(turns: DataFrame, template: Template | None = None) -> DataFrame:
+def format_conversations(turns: DataFrame, template: Template | None = None, turn_by_turn: bool = False) -> DataFrame:
     """conv_id, formatted, loss spans (begin, stop; code points) and whether the template rewrote history.
 
     Any ``template`` will do: a callable from turns to text, rendered for every prefix of a conversation. Where it rewrites history, the
-    turns up to there have no loss span. Without one the template of this module is used, which writes turn by turn.
+    turns up to there have no loss span. Without one the template of this module is used, its prefixes are rendered and compared
+    like any other's. Work goes with the square of a conversation's turns; ``turn_by_turn`` is for callers who know that
+    their template writes each turn by itself and want no prefixes compared.
     Turns stand by (turn, role, text), nulls first; repeated rows are repeated turns; null role or text is empty; rows
     without conv_id form one conversation of their own. A conversation is one unit of work: its digest is sequential.
     """
 
     def fn(rows: list[Turn]) -> dict:
-        got = format_rows(rows, template)
+        got = format_rows(rows, template, turn_by_turn)
         return got | {"loss": [{"begin": a, "stop": b} for a, b in got["loss"]]}
 
     return _by_conversation(turns, fn, _FORMATTED)
 
 
 def format_digests(turns: DataFrame) -> DataFrame:
-    """The same conversations, formatted and read back: counts and digests."""
+    """The same conversations, every prefix rendered and compared, formatted and read back: counts and digests."""
 
     def fn(rows: list[Turn]) -> dict:
         got = format_rows(rows)
