@@ -2,7 +2,9 @@
 
 import pytest
 from conftest import values
+from pyspark.sql import functions as F
 
+from pageloom.operators import search_index as SI
 from pageloom.plans import catalog_streams as CS
 
 
@@ -19,3 +21,20 @@ def test_streams_read_tables_of_one_file_and_of_many(spark, tmp_path, files):
         (tmp_path / "one" / "pages.parquet").write_bytes(part.read_bytes())
     got = CS.run_to_table(CS._stream(spark, folder, "pages"), "append")
     assert values(got, "page_id", "url", "html") == sorted(rows, key=repr)
+
+
+def test_pieces_of_a_long_line_take_linear_work():
+    line = "".join(chr(97 + (i * i) % 23) for i in range(1 << 20))
+    texts = ["ab", "", "abc", "\U0001f600b\u00e9\u00e9", line]
+    want = sorted({t[i : i + 3] for t in texts for i in range(len(t) - 2)})
+    assert SI._text_of(SI._pieces(texts)) == want
+    assert SI._text_of(SI._pieces([])) == SI._text_of(SI._pieces(["", "xy"])) == []
+
+
+def test_an_index_names_every_file_and_piece_once(spark, tmp_path):
+    rows = [(i, None if i == 3 else f"Title {i} \n" + "x" * (i % 4), f"sum{i}" if i % 2 else None) for i in range(40)]
+    spark.createDataFrame(rows, "id bigint, title string, summary string").repartition(4).write.parquet(f"{tmp_path}/a")
+    SI.index_files(spark, f"{tmp_path}/a", f"{tmp_path}/i")
+    read = spark.read.parquet(f"{tmp_path}/a").select("title", "summary", F.col("_metadata.file_path").alias("file")).collect()
+    want = {(t[i : i + 3].lower(), r.file) for r in read for t in (r.title, r.summary) if t for i in range(len(t) - 2)}
+    assert values(spark.read.parquet(f"{tmp_path}/i"), "piece", "file") == sorted(want, key=repr)
