@@ -25,6 +25,8 @@ from pageloom.operators.skew import per_key_limit
 # Queries and articles that meet in one task.
 BLOCK_QUERIES, BLOCK_ARTICLES = 16_384, 32_768
 _QUERIES_AT_ONCE = 512
+# Queries that every task gets whole (25 MB of 768 dimensions), and articles that it compares with them at once.
+FEW_QUERIES, _ARTICLES_AT_ONCE = 4_096, 2_048
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -131,6 +133,27 @@ def _knn_blocks(base: DataFrame, queries: DataFrame, n_queries: int, k: int, blo
     return undefined_last(left.groupBy("b", "s").cogroup(right.groupBy("b", "s")).applyInPandas(cell, _HITS))
 
 
+def _knn_few(articles: DataFrame, asked: pa.Table, k: int) -> DataFrame:
+    """Few queries go to every task: articles are read once and stay where they are, each task hands on its best ``k`` per query."""
+    sent = articles.sparkSession.sparkContext.broadcast((asked.column("query_id").to_pandas().to_numpy(), _matrix(asked.column("embedding"))))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, _ARTICLES_AT_ONCE):
+                    some = batch.slice(at, _ARTICLES_AT_ONCE)
+                    some = some.filter(some.column("embedding").is_valid())
+                    if some.num_rows:
+                        yield some.column("id").to_pandas().to_numpy(), _matrix(some.column("embedding"))
+
+        found = pd.DataFrame(dict(zip(("query_id", "id", "distance"), _nearest(*sent.value, parts(), k))))
+        schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
+        yield from pa.Table.from_pandas(found, schema=schema, preserve_index=False).to_batches()
+
+    # Without a filter before it the vector is computed once where it is an expression.
+    return undefined_last(articles.select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(best, _HITS))
+
+
 def undefined_last(hits: DataFrame) -> DataFrame:
     """Distances that are no number, of zero vectors, come back from pandas as nulls; as numbers they sort after all others."""
     return hits.withColumn("distance", F.coalesce("distance", F.lit(float("nan"))))
@@ -141,12 +164,19 @@ def knn_join(
 ) -> DataFrame:
     """Nearest ``k`` articles for a table of queries (``query_id``, ``embedding``).
 
-    Returns query_id, id, distance and rank; equal distances by id. Blocks of queries meet slices of articles, of
-    ``block`` and ``slice_`` rows at most on average.
+    Returns query_id, id, distance and rank; equal distances by id. Up to ``FEW_QUERIES`` queries (and no more than ``block``) go to
+    every task. Of more, blocks of queries meet slices of articles, of ``block`` and ``slice_`` rows at most on average.
     """
-    base = filter_embedded(articles).select(F.col("id").cast("long").alias("id"), "embedding")
     asked = filter_embedded(queries).select(F.col("query_id").cast("long").alias("query_id"), "embedding")
-    hits = _knn_blocks(base, asked, max(1, asked.count()), k, block, slice_)
+    few = min(block, FEW_QUERIES)
+    first = asked.limit(few + 1).toArrow()
+    if not first.num_rows:
+        hits = queries.sparkSession.createDataFrame([], _HITS)
+    elif first.num_rows <= few:
+        hits = _knn_few(articles, first, k)
+    else:
+        base = filter_embedded(articles).select(F.col("id").cast("long").alias("id"), "embedding")
+        hits = _knn_blocks(base, asked, asked.count(), k, block, slice_)
     best = per_key_limit(hits, "query_id", ["distance", "id"], k, spread="id")
     return with_rank(best, "query_id")
 
