@@ -29,9 +29,9 @@ from pageloom.llm.quotient import Filter, merge
 from pageloom.operators.skew import per_key_limit, spread_rank
 
 #: Bytes of text in a block, and of all languages' unfinished blocks together.
-BLOCK_BYTES, HELD_BYTES = 6 << 20, 24 << 20
+BLOCK_BYTES, HELD_BYTES = 4 << 20, 16 << 20
 #: Words whose n-grams one merged part of a filter covers, on average.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Bits of the key by which parts are cut at a time.
 FAN_BITS = 8
 
@@ -128,6 +128,7 @@ def _part_rows(rows: list[tuple]) -> pa.Table:
 def _first_parts(block: pa.Table, known: pa.Table, fan: int) -> pa.Table:
     if not (block.num_rows and known.num_rows):
         return _part_rows([])
+    give_back()
     row, info = block.to_pylist()[0], known.slice(0, 1).to_pylist()[0]
     raw = np.frombuffer(row["codes"], "<u4").astype(np.int64)
     codes, first = raw >> 1, (raw & 1).astype(bool)
