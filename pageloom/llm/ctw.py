@@ -8,26 +8,32 @@ After training this turns into a fixed mixture of the depths for each decision,
 is its probability. A context never met predicts one half, which is what the same formulas say.
 
 A context of ``DEPTH`` bytes and the byte behind it are one 64-bit key, exactly. What is gathered is the number of times each
-key occurs in training, which grows with the corpus and stays in Spark: a block sends its distinct keys, as compressed arrays,
-to buckets chosen by the last three bytes of the context, so that a bucket has all contexts of depth 3 and more that it
-needs. Contexts of two bytes and less are bounded by the 2**24 byte trigrams whatever the corpus size; the buckets give their
-counts and the folded weights of what lengthens them, the driver ends the fold and broadcasts the upper tree (65,793 rows of
-3 * 256 single-precision values at most), and the buckets answer each block with its keys' log probabilities.
-
-The base score needs the count of each word in the corpus, which has no such bound either: words go by block (see ``blocks``).
+key occurs in training, which grows with the corpus and stays in Spark: a block, which is a run of rows of a partition, sends
+its distinct keys, as compressed arrays, to buckets chosen by the last three bytes of the context, so that a bucket has all
+contexts of depth 3 and more that it needs. Contexts of two bytes and less are bounded by the 2**24 byte trigrams whatever the
+corpus size; the buckets give their counts and the folded weights of what lengthens them, the driver ends the fold and
+broadcasts the upper tree (65,793 rows of 3 * 256 single-precision values at most), and the buckets answer each block with its
+keys' log probabilities.
+
+The base score needs the count of each word in the corpus, which has no such bound either: a block's distinct words travel with
+its keys. Its texts are written once, compressed, beside both, and meet the answers by block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pageloom.llm.blocks import blocked, one_batch
-from pageloom.llm.common import give_back, materialize
-from pageloom.llm.words import _LOWER, bytes_of, chunks, mix, words
+from pageloom.llm import blocks
+from pageloom.llm.common import give_back
+from pageloom.llm.words import _LOWER, CHUNK_BYTES, bytes_of, chunks, mix, words
+from pageloom.session import bucketed, shuffles_forgotten
 
 #: The end symbol, which no UTF-8 text holds; it also stands before a text's first bytes.
 END = 0xFF
@@ -40,6 +46,11 @@ BUCKET_DEPTH = 3
 BUCKET_BITS = 12
 #: Keys that a task takes up before it folds them, at least; a bucket is never split.
 GROUP_KEYS = 1 << 21
+#: A block here has the text of so many blocks of other operators: the longer it is, the fewer keys travel.
+BLOCKS = 3
+#: What a row between blocks and buckets is about: a block's keys or words of one bucket, or some of its texts.
+KEYS, WORDS, TEXTS = 0, 1, 2
+_ROWS = "_block bigint, kind int, bucket int, m bigint, raw binary"
 
 
 def context_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -49,77 +60,229 @@ def context_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """
     buffer, offsets = bytes_of(texts)
     n, rows = len(buffer), len(offsets) - 1
+    if not rows:
+        return np.zeros(0, np.uint64), offsets
     # DEPTH end symbols, the row's bytes, one end symbol: the first only serve as context
     begin = offsets[:-1] + (DEPTH + 1) * np.arange(rows)
-    padded = np.full(n + (DEPTH + 1) * rows, END, dtype=np.uint8)
-    padded[np.arange(n) + np.repeat((DEPTH + 1) * np.arange(rows) + DEPTH, np.diff(offsets))] = _LOWER[buffer]
-    scored = np.ones(len(padded), dtype=bool)
+    scored = np.ones(n + (DEPTH + 1) * rows, dtype=bool)
     for i in range(DEPTH):
         scored[begin + i] = False
-    at = np.flatnonzero(scored)
-    keys = padded[at].astype(np.uint64)
-    for i in range(1, DEPTH + 1):
-        keys |= padded[at - i].astype(np.uint64) << np.uint64(64 - 8 * i)
-    return keys, offsets + np.arange(rows + 1)
+    inside = scored.copy()
+    inside[np.append(begin[1:], len(scored)) - 1] = False
+    padded = np.full(len(scored), END, dtype=np.uint8)
+    padded[inside] = _LOWER[buffer]
+    # eight bytes read as a little-endian number have the last byte on top; turned around it is the lowest
+    read = np.ndarray(len(padded) - DEPTH, "<u8", padded, strides=(1,)).copy()
+    return (read << np.uint64(8) | read >> np.uint64(8 * DEPTH))[scored[DEPTH:]], offsets + np.arange(rows + 1)
+
+
+def _changes(values: np.ndarray) -> np.ndarray:
+    """Whether a value differs from the one before it."""
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return new
 
 
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values and their numbers."""
-    values = np.sort(values)
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
+    """Sorted distinct values and their numbers; the array given gets sorted."""
+    values.sort()
+    first = np.flatnonzero(_changes(values))
     return values[first], np.diff(np.append(first, len(values)))
 
 
+def _summed(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, the sums of their numbers, and each value's place among the distinct ones."""
+    order = np.argsort(values)
+    values = values[order]
+    new = _changes(values)
+    first, place = np.flatnonzero(new), np.empty(len(values), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return values[first], np.add.reduceat(n[order], first) if len(first) else np.zeros(0, np.int64), place
+
+
 def _bucket(keys: np.ndarray) -> np.ndarray:
     return (mix(keys >> np.uint64(64 - 8 * BUCKET_DEPTH)) >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
 
 
-def _squeezed(*columns: np.ndarray) -> bytes:
-    """Arrays of one length, byte plane by byte plane, compressed."""
-    planes = [c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes() for c in columns]
-    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
+def _word_bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays, each compressed by itself, behind their bytes' numbers before and after."""
+    out = []
+    for array in arrays:
+        packed = pa.compress(array.tobytes(), codec="zstd", asbytes=True) if len(array) else b""
+        out += [np.array([array.nbytes, len(packed)], "<u8").tobytes(), packed]
+    return b"".join(out)
 
-def _spread(raw: bytes, n: int, *kinds: str) -> list[np.ndarray]:
-    """What ``_squeezed`` was given."""
-    widths = [np.dtype(k).itemsize for k in kinds]
-    planes = np.frombuffer(pa.decompress(raw, n * sum(widths), codec="zstd", asbytes=True), np.uint8)
+
+def _unpacked(raw: bytes) -> list[np.ndarray]:
+    """The bytes of what ``_packed`` was given."""
     out, at = [], 0
-    for kind, width in zip(kinds, widths, strict=True):
-        out.append(np.ascontiguousarray(planes[at : at + n * width].reshape(width, n).T).reshape(-1).view(kind))
-        at += n * width
+    while at < len(raw):
+        size, packed = np.frombuffer(raw, "<u8", 2, at).tolist()
+        at += 16
+        out.append(np.frombuffer(pa.decompress(raw[at : at + packed], size, codec="zstd") if size else b"", np.uint8))
+        at += packed
+    return out
+
+
+def _planes(column: np.ndarray) -> np.ndarray:
+    """An array's first bytes, then its second bytes and so on."""
+    return column.view(np.uint8).reshape(len(column), column.itemsize).T
+
+
+def _joined(planes: np.ndarray, kind: str) -> np.ndarray:
+    """What ``_planes`` was given."""
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).reshape(-1).view(kind)
+
+
+def _small(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as one byte each, and those of 255 and more."""
+    return np.minimum(n, 255).astype(np.uint8), n[n >= 255].astype("<i8")
+
+
+def _whole(small: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """What ``_small`` was given."""
+    n = small.astype(np.int64)
+    n[small == 255] = large.view("<i8")
+    return n
+
+
+_EIGHT = np.arange(8, dtype=np.uint8)
+
+
+def _key_cells(keys: np.ndarray, n: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """Keys and counts from cut to cut, each part sorted: of a key the bytes that differ from the key before, from the first such on."""
+    differ = keys.copy()
+    differ[1:] ^= keys[:-1]
+    shared = np.zeros(len(keys), np.uint8)
+    for i in range(1, 8):
+        shared += differ < np.uint64(1 << (64 - 8 * i))
+    shared[cuts[:-1]] = 0
+    spelt = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[_EIGHT >= shared[:, None]]
+    at = np.concatenate([[0], np.cumsum(8 - shared.astype(np.int64))])[cuts].tolist()
+    cuts, out = cuts.tolist(), []
+    for a, b, low, high in zip(cuts, cuts[1:], at, at[1:]):  # noqa: B905
+        small, large = _small(n[a:b])
+        out.append(_packed(shared[a:b], small, spelt[low:high], large))
+    return out
+
+
+def _cell_keys(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All keys and counts of the cells, in order."""
+    every, spelt, times = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for raw in cells:
+        shared, small, others, large = _unpacked(raw)
+        every.append(shared)
+        spelt.append(others)
+        times.append(_whole(small, large))
+    shared = np.concatenate(every)
+    table = np.zeros((len(shared), 8), np.uint8)
+    table[_EIGHT >= shared[:, None]] = np.concatenate(spelt)
+    for i in range(7):
+        # a byte holds until it is spelt out again
+        told = np.flatnonzero(shared <= i)
+        table[:, i] = np.repeat(table[told, i], np.diff(np.append(told, len(shared))))
+    return table.view(">u8").reshape(-1).astype(np.uint64), np.concatenate(times)
+
+
+def _word_cells(h: np.ndarray, n: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+    """Sorted words and counts from cut to cut."""
+    cuts, out = cuts.tolist(), []
+    for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+        out.append(_packed(_planes(np.diff(h[a:b], prepend=np.uint64(0))), *_small(n[a:b])))
     return out
 
 
-def _block_keys(docs: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A block's distinct keys, sorted, how often they occur in its training texts, and their order by bucket."""
-    training, held_out = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for part in chunks(one_batch(docs), "text"):
+def _cell_words(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """A cell's words and counts."""
+    steps, small, large = _unpacked(raw)
+    return np.cumsum(_joined(steps, "<u8"), dtype=np.uint64), _whole(small, large)
+
+
+def _cuts(bucket: np.ndarray) -> np.ndarray:
+    """First places of sorted buckets, and the end."""
+    return np.append(np.flatnonzero(_changes(bucket)), len(bucket))
+
+
+def _block_keys(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct keys by bucket, there sorted, how often they occur in its training texts, and where buckets begin."""
+    # all training keys from the front, all others from the back: the one large array is sorted in place
+    every = np.empty(sum(len(bytes_of(p.column("text"))[0]) + p.num_rows for p in parts), np.uint64)
+    front, back = 0, len(every)
+    for part in parts:
         keys, begin = context_keys(part.column("text"))
         held = np.repeat(part.column("held_out").to_numpy(zero_copy_only=False), np.diff(begin))
-        training.append(keys[~held])
-        held_out.append(_distinct(keys[held])[0])
-    met, times = _distinct(np.concatenate(training))
-    every, _ = _distinct(np.concatenate([met, *held_out]))
-    n = np.zeros(len(every), dtype=np.int64)
-    n[np.searchsorted(every, met)] = times
-    return every, n, np.argsort(_bucket(every), kind="stable")
-
-
-def _key_rows(docs: pa.Table) -> pa.Table:
-    """A block's keys and counts, one row per bucket."""
-    keys, n, order = _block_keys(docs)
-    keys, n = keys[order], n[order]
+        own = keys[held]
+        every[back - len(own) : back] = own
+        back -= len(own)
+        own = keys[~held]
+        every[front : front + len(own)] = own
+        front += len(own)
+    met, times = _distinct(every[:front])
+    others, _ = _distinct(every[front:])
+    del every
+    keys, _ = _distinct(np.concatenate([met, others]))
+    n = np.zeros(len(keys), np.int64)
+    n[np.searchsorted(keys, met)] = times
     bucket = _bucket(keys)
-    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    raw, sizes = [], np.diff(np.append(cuts, len(keys)))
-    for a, m in zip(cuts.tolist(), sizes.tolist(), strict=True):
-        raw.append(_squeezed(np.diff(keys[a : a + m], prepend=np.uint64(0)), n[a : a + m]))
-    block = docs.column("_block")[0].as_py() if docs.num_rows else 0
-    return pa.table({
-        "_block": pa.array(np.full(len(cuts), block, np.int64)), "bucket": pa.array(bucket[cuts].astype(np.int32)),
-        "m": pa.array(sizes.astype(np.int64)), "raw": pa.array(raw, pa.binary()),
-    })
+    order = np.argsort(bucket, kind="stable")
+    return keys[order], n[order], _cuts(bucket[order])
+
+
+def _block_words(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's distinct words, sorted, how often they occur in its training texts, and where buckets begin."""
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for part in parts:
+        w = words(part.column("text"), lower=True)
+        training = ~part.column("held_out").to_numpy(zero_copy_only=False)
+        h, at = np.unique(w.hash, return_inverse=True)
+        hashes.append(h)
+        counts.append(np.bincount(at, weights=training[w.row_of()], minlength=len(h)).astype(np.int64))
+    h, n, _ = _summed(np.concatenate(hashes), np.concatenate(counts))
+    return h, n, _cuts(_word_bucket(h))
+
+
+def _rows(block: int, kind: int, bucket: np.ndarray, m: np.ndarray, raw: list[bytes]) -> pa.RecordBatch:
+    columns = [np.full(len(raw), block, np.int64), np.full(len(raw), kind, np.int32), bucket.astype(np.int32), m.astype(np.int64)]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(raw, pa.binary())], ["_block", "kind", "bucket", "m", "raw"])
+
+
+def _stored(part: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+        out.write_batch(part)
+    return sink.getvalue().to_pybytes()
+
+
+def _block_rows(block: int, parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a block asks the buckets, and its texts with the number of those in training."""
+    keys, n, cuts = _block_keys(parts)
+    yield _rows(block, KEYS, _bucket(keys[cuts[:-1]]), np.diff(cuts), _key_cells(keys, n, cuts))
+    del keys, n
+    h, n, cuts = _block_words(parts)
+    yield _rows(block, WORDS, _word_bucket(h[cuts[:-1]]), np.diff(cuts), _word_cells(h, n, cuts))
+    for i, part in enumerate(parts):
+        training = part.num_rows - (part.column("held_out").true_count)
+        yield _rows(block, TEXTS, np.array([i]), np.array([training]), [_stored(part)])
+    give_back()
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a partition's blocks; a block has one text at least."""
+    block, parts, size = TaskContext.get().partitionId() << 32, [], 0
+    for batch in batches:
+        for part in chunks(batch, "text", min(CHUNK_BYTES, block_bytes)):
+            n = len(bytes_of(part.column("text"))[0])
+            if parts and size + n > block_bytes:
+                yield from _block_rows(block, parts)
+                block, parts, size = block + 1, [], 0
+            parts.append(part)
+            size += n
+    if parts:
+        yield from _block_rows(block, parts)
 
 
 class _Tree:
@@ -142,39 +305,46 @@ class _Tree:
         """One of the eight decisions: first entry of each node of the shortest contexts and ln of its weighted probability;
         with ``predict`` also the mixed probability of each key's bit by these contexts."""
         shift, bit_at = np.uint64(8 - level), np.uint64(7 - level)
-        folded, node_before, chosen = None, None, []
+        folded, before, nodes = None, None, []
         for k, (entry, n) in enumerate(zip(self.entries, self.counts, strict=True)):
-            node = entry >> shift
-            new = np.concatenate([[True], node[1:] != node[:-1]])
+            new = _changes(entry >> shift)
             first = np.flatnonzero(new)
             node = np.cumsum(new) - 1
-            bit = (entry >> bit_at & np.uint64(1)).astype(bool)
             every = np.add.reduceat(n, first)
-            ones = np.add.reduceat(np.where(bit, n, 0), first)
-            own = self.gamma.estimate(every - ones, ones)
+            ones = np.add.reduceat(np.where(entry & (np.uint64(1) << bit_at), n, 0), first)
+            own, parent = self.gamma.estimate(every - ones, ones), None
             if k:
-                parent = node[self.up[k - 1][node_before]]
+                parent = node[self.up[k - 1][before]]
                 below = np.bincount(parent, weights=folded, minlength=len(first))
-                weight = 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
-                folded = np.logaddexp(own, below) - np.log(2.0)
+                weight, folded = _mixed(own, below)
             else:
                 weight, folded = np.ones(len(first)), own
             if predict:
-                one = (ones + 0.5) / (every + 1.0)
-                chosen.append((node, weight, one))
-            node_before = first
+                nodes.append((node, parent, weight, every, ones))
+            before = first
         if not predict:
             return first, folded, None
-        key_bit = (self.entries[0] >> bit_at & np.uint64(1)).astype(bool)
-        at = np.arange(len(self.entries[0]))
-        p = None
-        for k, (node, weight, one) in enumerate(chosen):
-            if k:
-                at = self.up[k - 1][at]
-            here = node[at]
-            own = np.where(key_bit, one[here], 1 - one[here])
-            p = own if p is None else weight[here] * own + (1 - weight[here]) * p
-        return first, folded, p
+        # from the shortest contexts on, by node: what is settled for a zero and a one, and what is left to longer contexts
+        zero = one = rest = None
+        for k in reversed(range(len(nodes))):
+            _, _, weight, every, ones = nodes[k]
+            p0, p1 = (every - ones + 0.5) / (every + 1.0), (ones + 0.5) / (every + 1.0)
+            if rest is None:
+                zero, one, rest = weight * p0, weight * p1, 1 - weight
+            else:
+                parent = nodes[k + 1][1]
+                left = rest[parent]
+                share = left * weight
+                zero, one, rest = zero[parent] + share * p0, one[parent] + share * p1, left * (1 - weight)
+        at = nodes[0][0]
+        return first, folded, np.where(self.entries[0] & (np.uint64(1) << bit_at), one[at], zero[at])
+
+
+def _mixed(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The share of a context's own estimate, and ln of the mean of the estimate and what the longer contexts give."""
+    apart = np.exp(-np.abs(below - own))
+    weight = np.where(below > own, apart, 1.0) / (1 + apart)
+    return weight, np.maximum(own, below) + np.log(1 + apart) - np.log(2.0)
 
 
 def _two(entry: np.ndarray) -> np.ndarray:
@@ -183,36 +353,49 @@ def _two(entry: np.ndarray) -> np.ndarray:
     return (c & 255) << 8 | c >> 8
 
 
-def _merged(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Distinct keys of (block, bucket, m, raw) rows with their counts, and each row's keys."""
-    each, times = [], []
-    for _, _, m, raw in rows:
-        steps, n = _spread(raw, m, "<u8", "<i8")
-        each.append(np.cumsum(steps, dtype=np.uint64))
+def _merged(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of rows with their counts, and all rows' keys' places among them."""
+    return _summed(*_cell_keys([row[4] for row in rows]))
+
+
+def _merged_words(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of rows with their counts, and all rows' words' places among them."""
+    each, times = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for row in rows:
+        h, n = _cell_words(row[4])
+        each.append(h)
         times.append(n)
-    keys, at = np.unique(np.concatenate(each), return_inverse=True)
-    return keys, np.bincount(at, weights=np.concatenate(times), minlength=len(keys)).astype(np.int64), each
+    return _summed(np.concatenate(each), np.concatenate(times))
 
 
 def _groups(batches):
-    """Rows of whole buckets, together ``GROUP_KEYS`` keys or little more, from rows sorted by bucket."""
-    held, size = [], 0
+    """Rows of whole buckets about keys and about words, together ``GROUP_KEYS`` of both or little more, from rows sorted by bucket."""
+    held, size, last = {KEYS: [], WORDS: []}, 0, None
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("_block", "bucket", "m", "raw")), strict=True):
-            if size >= GROUP_KEYS and row[1] != held[-1][1]:
-                yield held
-                held, size = [], 0
+        for row in zip(*(batch.column(c).to_pylist() for c in ("_block", "kind", "bucket", "m", "raw")), strict=True):
+            if size >= GROUP_KEYS and row[2] != last:
+                yield held[KEYS], held[WORDS]
+                held, size = {KEYS: [], WORDS: []}, 0
                 give_back()
-            held.append(row)
-            size += row[2]
-    if held:
-        yield held
+            held[row[1]].append(row)
+            size += row[3]
+            last = row[2]
+    if size:
+        yield held[KEYS], held[WORDS]
     give_back()
 
 
+#: In place of a key: the numbers of words met in training, all and distinct.
+TOKENS, DISTINCT = -1, -2
+
+
 def _upper_sums(batches):
     """(key, n, deeper) of contexts of two bytes: by byte its count, by node the folded weights of the longer contexts."""
-    for rows in _groups(batches):
+    names = ["key", "n", "deeper"]
+    for rows, word_rows in _groups(batches):
+        _, c, _ = _merged_words(word_rows)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([TOKENS, DISTINCT], pa.int32()), pa.array([int(c.sum()), int((c > 0).sum())], pa.int64()), pa.array([0.0, 0.0])], names)
         keys, n, _ = _merged(rows)
         tree = _Tree(keys[n > 0], n[n > 0])
         entry, counts = tree.entries[-1], tree.counts[-1]
@@ -228,28 +411,39 @@ def _upper_sums(batches):
             np.add.at(deeper, (at[first], node.astype(np.int64)), folded)
         r, c = np.nonzero((total != 0) | (deeper != 0))
         yield pa.RecordBatch.from_arrays(
-            [pa.array((contexts[r] << 8 | c).astype(np.int32)), pa.array(total[r, c]), pa.array(deeper[r, c])], ["key", "n", "deeper"])
+            [pa.array((contexts[r] << 8 | c).astype(np.int32)), pa.array(total[r, c]), pa.array(deeper[r, c])], names)
+
+
+def _by_row(values: np.ndarray, rows: list[tuple]) -> list[np.ndarray]:
+    """The rows' shares of their values."""
+    return np.split(values, np.cumsum([row[3] for row in rows])[:-1]) if rows else []
+
+
+def _answer_rows(rows: list[tuple], raw: list[bytes]) -> pa.RecordBatch:
+    """Rows like those given, with other content."""
+    columns = [pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True))[:4] or [()] * 4, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(raw, pa.binary())], ["_block", "kind", "bucket", "m", "raw"])
 
 
 def _answers(batches, upper: Upper):
-    """For the rows of each block and bucket the log10 probabilities of its keys, in their order."""
-    for rows in _groups(batches):
-        keys, n, each = _merged(rows)
-        tree, value = _Tree(keys, n), np.zeros(len(keys))
+    """For the rows of each block and bucket the log10 probabilities of its keys or the counts of its words, in their order."""
+    for rows, word_rows in _groups(batches):
+        _, counts, at = _merged_words(word_rows)
+        yield _answer_rows(word_rows, [_packed(*_small(own)) for own in _by_row(counts[at], word_rows)])
+        if not rows:
+            continue
+        keys, n, at = _merged(rows)
+        tree, value = _Tree(keys, n), np.ones(len(keys))
         c = (keys >> np.uint64(48)).astype(np.int64)
-        row = upper.row[(c & 255) << 8 | c >> 8]
+        row = upper.row[(c & 255) << 8 | c >> 8].astype(np.int64) << 8
+        zero, one, rest = (table.reshape(-1) for table in (upper.zero, upper.one, upper.rest))
+        # none of the eight factors is near the smallest number
         for level in range(8):
-            node = (((keys & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - level)).astype(np.int64)
-            rest = upper.rest[row, node].astype(np.float64)
-            bit = (keys >> np.uint64(7 - level) & np.uint64(1)).astype(bool)
-            settled = np.where(bit, upper.one[row, node], upper.zero[row, node]).astype(np.float64)
-            value += np.log10(settled + rest * tree.level(level, True)[2])
-        value = value.astype(np.float32)
-        for (block, bucket, m, _), own in zip(rows, each, strict=True):
-            raw = _squeezed(value[np.searchsorted(keys, own)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block], pa.int64()), pa.array([4], pa.int32()), pa.array([bucket], pa.int64()), pa.array([m], pa.int64()),
-                 pa.array([raw], pa.binary())], ["_block", "kind", "h", "n", "raw"])
+            node = row | (((keys & np.uint64(255)) | np.uint64(256)) >> np.uint64(8 - level)).astype(np.int64)
+            settled = np.where(keys >> np.uint64(7 - level) & np.uint64(1), one[node], zero[node]).astype(np.float64)
+            value *= settled + rest[node] * tree.level(level, True)[2]
+        value = np.log10(value).astype("<f4")[at]
+        yield _answer_rows(rows, [_packed(_planes(own)) for own in _by_row(value, rows)])
 
 
 class _LogGamma:
@@ -268,9 +462,10 @@ class _LogGamma:
 
     def _of(self, n: np.ndarray, exact: np.ndarray, shift: float, base: float) -> np.ndarray:
         small = n <= self.EXACT
+        if small.all():
+            return exact[n]
         out = exact[np.where(small, n, 0).astype(np.int64)]
-        if not small.all():
-            out[~small] = self._stirling(n[~small] + shift) - base
+        out[~small] = self._stirling(n[~small] + shift) - base
         return out
 
     def estimate(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -366,72 +561,103 @@ def train(keys: np.ndarray, n: np.ndarray) -> Model:
     return Model(table.astype(np.float32), upper.row)
 
 
-def _word_rows(docs: pa.Table) -> pa.Table:
-    """A block's distinct words and how often they occur in its training texts."""
-    hashes, counts = [], []
-    for part in chunks(one_batch(docs), "text"):
-        w = words(part.column("text"), lower=True)
-        training = ~part.column("held_out").to_numpy(zero_copy_only=False)
-        h, at = np.unique(w.hash, return_inverse=True)
-        hashes.append(h)
-        counts.append(np.bincount(at, weights=training[w.row_of()], minlength=len(h)).astype(np.int64))
-    h, at = np.unique(np.concatenate(hashes) if hashes else np.zeros(0, np.uint64), return_inverse=True)
-    n = np.bincount(at, weights=np.concatenate(counts) if counts else None, minlength=len(h)).astype(np.int64)
-    block = docs.column("_block")[0].as_py() if docs.num_rows else 0
-    return pa.table({"_block": pa.array(np.full(len(h), block)), "h": pa.array(h.view(np.int64)), "n": pa.array(n)})
-
-
-def _key_values(docs: pa.Table, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct keys, sorted, and their log10 probabilities as the buckets answered."""
-    keys, _, order = _block_keys(docs)
-    answers = answers.filter(pa.compute.equal(answers.column("kind"), 4)).sort_by("h")
-    values = [_spread(raw, m, "<f4")[0] for m, raw in zip(answers.column("n").to_pylist(), answers.column("raw").to_pylist(), strict=True)]
-    out = np.zeros(len(keys), np.float32)
-    out[order] = np.concatenate(values) if values else np.zeros(0, np.float32)
-    return keys, out
-
-
-def _scored(docs: pa.Table, counts: pa.Table) -> pa.Table:
-    """Base and model scores of a block's texts; ``counts`` has its words' corpus counts, its keys' probabilities by bucket
-    and, without hash, the totals."""
-    met_keys, key_values = _key_values(docs, counts)
-    counts = counts.select(["kind", "h", "n"])
-    kind = counts.column("kind").to_numpy()
-    h = counts.column("h").to_numpy().view(np.uint64)
-    n = counts.column("n").to_numpy()
-    total = {k: int(n[kind == k].sum()) for k in (1, 2, 3)}
-    h, n = h[kind == 0], n[kind == 0]
-    order = np.argsort(h)
-    h, n = h[order], n[order]
-    end = total[3]
-    train_tokens, distinct = total[1] + end, total[2] + (end > 0)
-    below = float(train_tokens + distinct + 1)
-    out = []
-    for part in chunks(one_batch(docs), "text"):
-        w = words(part.column("text"), lower=True)
-        c = n[np.searchsorted(h, w.hash)] if len(w.hash) else np.zeros(0, np.int64)
+#: An odd number: keys multiplied by it are spread evenly, and still differ.
+_SPREAD, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Keys taken up before they are made distinct.
+PENDING_KEYS = 1 << 22
+
+
+def _occurrences(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A part's keys, multiplied, in runs of equal ones: the run's key, and by occurrence its row and, as bits, whether a run begins."""
+    keys, begin = context_keys(part.column("text"))
+    keys *= _SPREAD
+    row = np.repeat(np.arange(part.num_rows, dtype=np.uint16 if part.num_rows <= 1 << 16 else np.uint32), np.diff(begin))
+    # sorted by their leading bits, with the place in the others: one key may come in several runs
+    bits = np.uint64(len(keys).bit_length())
+    places = keys >> bits << bits | np.arange(len(keys), dtype=np.uint64)
+    places.sort()
+    places &= (np.uint64(1) << bits) - np.uint64(1)
+    keys = keys[places.astype(np.int64)]
+    new = _changes(keys)
+    return keys[new], row[places.astype(np.int64)], np.packbits(new)
+
+
+class _Found:
+    """Places of values among sorted ones that are spread evenly."""
+
+    def __init__(self, values: np.ndarray):
+        self.values = values
+        bits = max(1, len(values).bit_length() - 1)
+        self.shift = np.uint64(64 - bits)
+        self.start = np.zeros((1 << bits) + 1, np.int32 if len(values) < 1 << 31 else np.int64)
+        np.cumsum(np.bincount((values >> self.shift).astype(np.int64), minlength=1 << bits), out=self.start[1:])
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        at = self.start[values >> self.shift]
+        missed = np.flatnonzero(self.values[at] != values)
+        while len(missed):
+            at[missed] += 1
+            missed = missed[self.values[at[missed]] != values[missed]]
+        return at
+
+
+def _model_scores(parts: list[pa.RecordBatch], answers: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each part the sums of its texts' log10 probabilities; the answers are those to the block's ``_block_keys``."""
+    met, pending, seen = [], 0, []
+    for part in parts:
+        seen.append(_occurrences(part))
+        met.append(seen[-1][0])
+        pending += len(met[-1])
+        if pending > PENDING_KEYS:
+            met, pending = [_distinct(np.concatenate(met))[0]], 0
+    met = _distinct(np.concatenate([np.zeros(0, np.uint64), *met]))[0]
+    keys = met * _BACK
+    order = np.argsort(keys)
+    order = order[np.argsort(_bucket(keys[order]), kind="stable")]
+    value = np.zeros(len(met), np.float32)
+    value[order] = np.concatenate([np.zeros(0, np.float32), *answers])
+    del keys, order
+    found, out = _Found(met), []
+    for part, (runs, row, new) in zip(parts, seen, strict=True):
+        times = np.diff(np.append(np.flatnonzero(np.unpackbits(new, count=len(row))), len(row)))
+        out.append(np.bincount(row, weights=np.repeat(value[found(runs)].astype(np.float64), times), minlength=part.num_rows))
+    return out
+
+
+def _block_scores(parts: list[pa.RecordBatch], answers: list[np.ndarray], counts: list[np.ndarray], totals: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+    """Base and model scores of a block's texts, from the buckets' answers; the totals are of words met in training, all and
+    distinct, and of texts in training."""
+    tokens, distinct, end = totals
+    train_tokens = tokens + end
+    below = float(train_tokens + distinct + (end > 0) + 1)
+    scores = _model_scores(parts, answers)
+    found = [words(p.column("text"), lower=True) for p in parts]
+    h = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(w.hash) for w in found)]))
+    n, place = np.concatenate([np.zeros(0, np.int64), *counts]), _Found(h)
+    for part, w, score in zip(parts, found, scores, strict=True):
+        c = n[place(w.hash)] if len(w.hash) else np.zeros(0, np.int64)
         met = np.concatenate([[0], np.cumsum(c > 0)])
         first = w.first
-        base = np.array([np.log10((c[a:b] + 1.0) / below).sum() for a, b in zip(first[:-1], first[1:], strict=True)])
+        log = np.log10((c + 1.0) / below)
+        base = np.array([log[a:b].sum() for a, b in zip(first[:-1], first[1:], strict=True)])
         known = met[first[1:]] - met[first[:-1]] + (end > 0)
-        keys, begin = context_keys(part.column("text"))
-        value = key_values[np.searchsorted(met_keys, keys)].astype(np.float64)
-        score = np.add.reduceat(value, begin[:-1]) if len(value) else np.zeros(0)
-        out.append(pa.table({
-            "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": pa.array(np.diff(first) + 1),
-            "n_known": pa.array(known), "train_tokens": pa.array(np.full(part.num_rows, train_tokens)),
-            "base_score": pa.array(base + np.log10((end + 1.0) / below)), "score": pa.array(score),
-            "n_bytes": pa.array(np.diff(begin)),
-        }))
-    if not out:
-        return pa.table({c: pa.array([], t) for c, t in _TYPES.items()})
-    return pa.concat_tables(out)
-
-
-_TYPES = {
-    "doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(),
-    "base_score": pa.float64(), "score": pa.float64(), "n_bytes": pa.int64(),
-}
+        size = np.diff(bytes_of(part.column("text"))[1]) + 1
+        columns = {
+            "doc_id": part.column("doc_id"), "held_out": part.column("held_out"), "n_tokens": np.diff(first) + 1, "n_known": known,
+            "train_tokens": np.full(part.num_rows, train_tokens), "base_score": base + np.log10((end + 1.0) / below), "score": score, "n_bytes": size,
+        }
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
+
+
+def _scored(texts: pa.Table, answers: pa.Table, totals: tuple[int, int, int]) -> pa.Table:
+    """Scores of a block's texts."""
+    give_back()
+    parts = [pa.ipc.open_stream(raw).read_next_batch() for raw in texts.sort_by("bucket").column("raw").to_pylist()]
+    told = {kind: [_unpacked(raw) for raw in answers.filter(pc.field("kind") == kind).sort_by("bucket").column("raw").to_pylist()] for kind in (KEYS, WORDS)}
+    values, counts = [_joined(planes, "<f4") for (planes,) in told[KEYS]], [_whole(*n) for n in told[WORDS]]
+    return pa.Table.from_batches(list(_block_scores(parts, values, counts, totals)))
+
+
 _SCHEMA = (
     "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, "
     "score double, n_bytes bigint"
@@ -451,32 +677,19 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
     rows = rows.withColumn("held_out", held_out)
-    rows, blocks = blocked(rows, "doc_id", "text")
-    by_block = rows.groupBy("_block")
-
-    asked = materialize(by_block.applyInArrow(_key_rows, "_block bigint, bucket int, m bigint, raw binary"))
-    by_bucket = asked.repartition("bucket").sortWithinPartitions("bucket")
-    # 2**24 rows at most, whatever the input: contexts of two bytes
-    sums = by_bucket.mapInArrow(_upper_sums, "key int, n bigint, deeper double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("deeper").alias("deeper")).toArrow()
-    upper = spark.sparkContext.broadcast(upper_tree(*(sums.column(c).to_numpy() for c in ("key", "n", "deeper"))))
-    valued = by_bucket.mapInArrow(lambda batches: _answers(batches, upper.value), "_block bigint, kind int, h bigint, n bigint, raw binary")
-
-    own = by_block.applyInArrow(_word_rows, "_block bigint, h bigint, n bigint")
-    word = Window.partitionBy("h")
-    counted = own.withColumn("c", F.sum("n").over(word)).withColumn("place", F.row_number().over(word.orderBy("_block")))
-    totals = counted.filter("place = 1").agg(F.sum("c").alias("tokens"), F.count_if(F.col("c") > 0).alias("distinct"))
-    ends = rows.agg(F.count_if(~F.col("held_out")).alias("ends"))
-
-    def to_all(one: DataFrame, column: str, kind: int) -> DataFrame:
-        """A single number, sent to every block."""
-        return one.select(
-            F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("_block"), F.lit(kind).alias("kind"),
-            F.lit(0).cast("bigint").alias("h"), F.coalesce(F.col(column), F.lit(0)).cast("bigint").alias("n"),
-        )
-
-    answers = (
-        counted.select("_block", F.lit(0).alias("kind"), "h", F.col("c").alias("n"))
-        .unionByName(to_all(totals, "tokens", 1)).unionByName(to_all(totals, "distinct", 2)).unionByName(to_all(ends, "ends", 3))
-        .unionByName(valued, allowMissingColumns=True)
-    )
-    return by_block.cogroup(answers.groupBy("_block")).applyInArrow(_scored, _SCHEMA)
+    block_bytes = BLOCKS * blocks.BLOCK_BYTES
+
+    # a block's rows are written by one task and stay together, so that its texts need not travel
+    asked = bucketed(rows.mapInArrow(lambda batches: _blocks(batches, block_bytes), _ROWS), "_block", dealt=True)
+    by_bucket = asked.filter(F.col("kind") != TEXTS).repartition("bucket").sortWithinPartitions("bucket")
+    # 2**24 rows and two at most, whatever the input: contexts of two bytes
+    with shuffles_forgotten(spark):
+        sums = by_bucket.mapInArrow(_upper_sums, "key int, n bigint, deeper double").groupBy("key").agg(F.sum("n").alias("n"), F.sum("deeper").alias("deeper")).toArrow()
+    key, n, deeper = (sums.column(c).to_numpy() for c in ("key", "n", "deeper"))
+    upper = spark.sparkContext.broadcast(upper_tree(key[key >= 0], n[key >= 0], deeper[key >= 0]))
+    texts = asked.filter(F.col("kind") == TEXTS)
+    ends = texts.agg(F.sum("m")).head()[0] or 0
+    totals = (int(n[key == TOKENS].sum()), int(n[key == DISTINCT].sum()), ends)
+
+    answers = by_bucket.mapInArrow(lambda batches: _answers(batches, upper.value), _ROWS)
+    return texts.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(lambda own, told: _scored(own, told, totals), _SCHEMA)

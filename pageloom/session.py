@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -91,22 +93,34 @@ def materialize(df: DataFrame) -> DataFrame:
     return stored
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
+def bucketed(df: DataFrame, key: str, dealt: bool = False) -> DataFrame:
     """Write an intermediate result clustered by ``key``, so that joins on the key move the other side only.
 
     There are as many buckets as the session has shuffle partitions; the table is external, in the checkpoint folder. ``discard``
-    removes it.
+    removes it. Rows that are ``dealt`` have each key's in one partition already and are not moved.
     """
     spark = df.sparkSession
     name = f"pageloom_{uuid.uuid4().hex}"
     path = f"{ensure_checkpoint_dir(spark)}/{name}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    (df if dealt else df.repartition(n, key)).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
     stored = spark.table(name)
     stored._pageloom_folder, stored._pageloom_table = path, name
     return stored
 
 
+@contextlib.contextmanager
+def shuffles_forgotten(spark: SparkSession) -> Iterator[None]:
+    """What is planned and run in here has its shuffle files deleted when it ends, not when the driver next collects garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialize`` or ``bucketed`` wrote for this frame; it can't be read any more."""
     if getattr(df, "_pageloom_table", None):
