@@ -1,7 +1,8 @@
 """Phrase collocation mining: n-grams of two and three words counted in counting quotient filters (see ``quotient``).
 
 1. Texts are lower-cased (A-Z), cut into pieces and words, and gathered by language into blocks of some megabytes. A block is
-   a row of its distinct words with their counts and its text as numbers of these words; the rows are written once.
+   a row for each of its distinct words with its count, and its text as numbers of these words in rows of ``CODES_ROW`` words; no row
+   or batch is as large as a block, so that reading, writing and sorting them takes little memory. The rows are written once.
 2. Words met ``least`` times in their language get ids, the rest cannot be part of a phrase met that often.
 3. Each block's words ask for their ids; a block's n-grams become one sorted filter, cut by leading bits of the scrambled
    keys. Parts of equal bits are merged, cut by the next bits, and merged again, until a part covers all blocks of a language
@@ -30,6 +31,8 @@ from pageloom.operators.skew import per_key_limit, spread_rank
 
 #: Bytes of text in a block, and of all languages' unfinished blocks together.
 BLOCK_BYTES, HELD_BYTES = 4 << 20, 16 << 20
+#: Words of a block's text in a row, and distinct words in a record batch.
+CODES_ROW, WORDS_BATCH = 1 << 16, 1 << 14
 #: Words whose n-grams one merged part of a filter covers, on average.
 SHARD_WORDS = 1 << 19
 #: Bits of the key by which parts are cut at a time.
@@ -42,7 +45,8 @@ _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _INSIDE = ~_BREAK
 _INSIDE[[32, 9]] = False
 
-_BLOCKS = "block string, lang string, n bigint, words array<string>, counts array<bigint>, codes binary"
+#: A word of a block (its number ``at``, met ``n`` times), or, without a word, a stretch of its text (the ``at``-th, of ``n`` words).
+_BLOCKS = "block string, lang string, at bigint, word string, n bigint, codes binary"
 _PARTS = "lang string, prefix bigint, lead int, shard_bits int, g bigint, part binary"
 _PART_SCHEMA = pa.schema({"lang": pa.string(), "prefix": pa.int64(), "lead": pa.int32(), "shard_bits": pa.int32(), "g": pa.int64(), "part": pa.binary()})
 
@@ -61,17 +65,23 @@ def coded(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.diff(pieces, prepend=-1) != 0
 
 
-def _block(lang: str, texts: list[bytes]) -> pa.RecordBatch | None:
+def _rows(block: str, lang: str, at: int, word: pa.Array, n: np.ndarray, codes: pa.Array) -> pa.RecordBatch:
+    arrays = [pa.repeat(pa.scalar(block), len(n)), pa.repeat(pa.scalar(lang), len(n)), pa.array(np.arange(at, at + len(n))), word, pa.array(n, pa.int64()), codes]
+    return pa.RecordBatch.from_arrays(arrays, names=["block", "lang", "at", "word", "n", "codes"])
+
+
+def _block(lang: str, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
     words, codes, first = coded(texts)
     if not len(codes):
-        return None
-    values = (uuid.uuid4().hex, lang, len(codes), words, np.bincount(codes), (codes << 1 | first).astype("<u4").tobytes())
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary())
-    arrays = [
-        pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v.cast(pa.string()) if isinstance(v, pa.Array) else pa.array(v, pa.int64()))
-        if pa.types.is_list(t) else pa.array([v], t) for v, t in zip(values, kinds, strict=True)
-    ]
-    return pa.RecordBatch.from_arrays(arrays, names=["block", "lang", "n", "words", "counts", "codes"])
+        return
+    block, counts = uuid.uuid4().hex, np.bincount(codes)
+    for at in range(0, len(words), WORDS_BATCH):
+        some = words.slice(at, WORDS_BATCH).cast(pa.string())
+        yield _rows(block, lang, at, some, counts[at : at + WORDS_BATCH], pa.nulls(len(some), pa.binary()))
+    marked = (codes << 1 | first).astype("<u4")
+    for i, at in enumerate(range(0, len(marked), CODES_ROW)):
+        some = marked[at : at + CODES_ROW]
+        yield _rows(block, lang, i, pa.nulls(1, pa.string()), np.array([len(some)]), pa.array([some.tobytes()], pa.binary()))
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int, held_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -80,9 +90,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_bytes: int, held_bytes: int
 
     def done(lang: str) -> Iterator[pa.RecordBatch]:
         size.pop(lang)
-        row = _block(lang, held.pop(lang))
-        if row is not None:
-            yield row
+        yield from _block(lang, held.pop(lang))
 
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
@@ -129,14 +137,15 @@ def _first_parts(block: pa.Table, known: pa.Table, fan: int) -> pa.Table:
     if not (block.num_rows and known.num_rows):
         return _part_rows([])
     give_back()
-    row, info = block.to_pylist()[0], known.slice(0, 1).to_pylist()[0]
-    raw = np.frombuffer(row["codes"], "<u4").astype(np.int64)
+    lang, info = block.column("lang")[0].as_py(), known.slice(0, 1).to_pylist()[0]
+    stretches = block.sort_by("at").column("codes").to_pylist()
+    raw = np.frombuffer(b"".join(stretches), "<u4").astype(np.int64)
     codes, first = raw >> 1, (raw & 1).astype(bool)
     ids = np.zeros(int(codes.max()) + 1, dtype=np.int64)
     ids[known.column("pos").to_numpy()] = known.column("id").to_numpy()
     grams, n = ngrams(ids[codes], first, info["many"])
     found = Filter.of(grams, n, int(info["many"]).bit_length())
-    return _part_rows(_cut(found, 0, info["shard_bits"], row["lang"], info["g"], fan))
+    return _part_rows(_cut(found, 0, info["shard_bits"], lang, info["g"], fan))
 
 
 def _merged(parts: pa.Table) -> Filter:
@@ -203,14 +212,14 @@ def collocations(
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), F.col(f"`{text_col}`").alias("text")).filter("text <> ''")
     blocks = materialize(rows.mapInArrow(lambda batches: _blocks(batches, block_bytes, held_bytes), _BLOCKS))
 
-    told = blocks.select("lang", F.explode(F.arrays_zip("words", "counts")).alias("w")).groupBy("lang", F.col("w.words").alias("word"))
-    often = materialize(told.agg(F.sum("w.counts").alias("f")).filter(F.col("f") >= least))
+    told, texts = blocks.filter("word is not null"), blocks.filter("word is null")
+    often = materialize(told.groupBy("lang", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least))
     words = materialize(spread_rank(often, ["lang"], [], "word", "id"))
     shard_bits = F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("n") / shard_words)))
     # Keys of three ids have no more than half of their bits to cut by.
     room = F.ceil(F.lit(1.5) * F.ceil(F.log2(F.col("many") + 1))).cast("int")
     langs = materialize(
-        blocks.groupBy("lang").agg(F.sum("n").alias("n")).join(words.groupBy("lang").agg(F.max("id").alias("many")), "lang")
+        texts.groupBy("lang").agg(F.sum("n").alias("n")).join(words.groupBy("lang").agg(F.max("id").alias("many")), "lang")
         .withColumn("shard_bits", F.least(shard_bits.cast("int"), room))
     )
     levels = max(1, -(-(langs.agg(F.max("shard_bits")).head()[0] or 0) // fan_bits))
@@ -220,10 +229,10 @@ def collocations(
         left = F.greatest(F.ceil(F.col("shard_bits") / fan_bits) - level, F.lit(0))
         return F.pmod(F.col("g"), F.pow(F.lit(2.0), left * fan_bits).cast("bigint"))
 
-    asked = blocks.select("block", "lang", F.posexplode("words").alias("pos", "word"))
+    asked = told.select("block", "lang", F.col("at").alias("pos"), "word")
     ids = asked.join(words.join(langs.select("lang", "many", "shard_bits"), "lang"), ["lang", "word"]).select(
         F.col("block").alias("of_block"), "pos", "id", "many", "shard_bits", F.pmod(F.xxhash64("block"), F.lit(1 << 48)).alias("g"))
-    parts = blocks.select("block", "lang", "codes").groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(lambda b, k: _first_parts(b, k, fan_bits), _PARTS)
+    parts = texts.select("block", "lang", "at", "codes").groupBy("block").cogroup(ids.groupBy("of_block")).applyInArrow(lambda b, k: _first_parts(b, k, fan_bits), _PARTS)
     for level in range(1, levels):
         parts = parts.withColumn("g", together(level)).groupBy("lang", "prefix", "g").applyInArrow(lambda t: _next_parts(t, fan_bits), _PARTS)
     found = parts.groupBy("lang", "prefix").applyInArrow(lambda t: _frequent(t, least), "lang string, w1 bigint, w2 bigint, w3 bigint, a bigint")

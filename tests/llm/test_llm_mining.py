@@ -9,6 +9,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_rows import messy, messy_rows, nothing  # noqa: F401
 from pyspark.sql import functions as F
@@ -95,6 +96,32 @@ def brute_collocations(rows, least, share, top):
     return sorted(out)
 
 
+def test_blocks_leave_in_small_rows_and_batches(monkeypatch):
+    """A block's words and text in order, none of it in a row or batch of a block's size."""
+    monkeypatch.setattr(C, "CODES_ROW", 1 << 10, raising=False)
+    monkeypatch.setattr(C, "WORDS_BATCH", 1 << 8, raising=False)
+    texts = [f"Word{i % 3000} and, w{i % 7}" for i in range(9000)]
+    batch = pa.record_batch({"lang": ["en"] * len(texts), "text": texts})
+    made = list(C._blocks(iter([batch]), 100_000, 200_000))
+    assert max(b.nbytes for b in made) < 30_000
+    rows = pa.Table.from_batches(made).to_pylist()
+    blocks = {r["block"] for r in rows}
+    assert len(blocks) > 1
+    got, counts = [], Counter()
+    for block in sorted(blocks, key=[r["block"] for r in rows].index):
+        own = [r for r in rows if r["block"] == block]
+        words = [r["word"] for r in own if r["word"] is not None]
+        assert [r["at"] for r in own if r["word"] is not None] == list(range(len(words)))
+        counts.update({r["word"]: r["n"] for r in own if r["word"] is not None})
+        text = [r for r in own if r["word"] is None]
+        assert [r["at"] for r in text] == list(range(len(text)))
+        codes = [np.frombuffer(r["codes"], "<u4") for r in text]
+        assert [len(c) for c in codes] == [r["n"] for r in text]
+        got += [(words[c >> 1], c & 1) for c in np.concatenate(codes).tolist()]
+    want = [w for i in range(9000) for w in ((f"word{i % 3000}", 1), ("and", 0), (f"w{i % 7}", 1))]
+    assert got == want and counts == Counter(w for w, _ in want)
+
+
 COLLOCATIONS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
