@@ -81,17 +81,19 @@ class Pieces(dict):
         found = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
         return array("H" if self.kind == "<u2" else "I", [t.id for t in found]).tobytes()
 
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = self.merged(piece)
+        self[piece] = ids
+        return ids
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of whole texts, each with id 0 behind."""
-        cut = [pieces(t) for t in texts]
         if len(self) > REMEMBERED:
             self.older = dict(self)
             self.clear()
-        met = {p for c in cut for p in c if p not in self}
-        again = met & self.older.keys()
-        self.update((p, self.older[p]) for p in again)
-        self.update((p, self.merged(p)) for p in met - again)
-        return [b"".join(map(self.__getitem__, c)) + self.end for c in cut]
+        return [b"".join(map(self.__getitem__, pieces(t))) + self.end for t in texts]
 
 
 @lru_cache(maxsize=2)

@@ -250,6 +250,19 @@ def test_pieces_encode_like_the_library(library):
         assert np.frombuffer(got, table.kind).tolist() == [*library.encode(text, add_special_tokens=False).ids, 0], repr(text)
 
 
+def test_pieces_are_merged_when_first_looked_up(library, monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 2)
+    table, asked = packing.Pieces(tokenizer_file()), []
+    assert np.frombuffer(table[" hello"], table.kind).tolist() == library.encode(" hello", add_special_tokens=False).ids
+    merged = table.merged
+    monkeypatch.setattr(table, "merged", lambda piece: asked.append(piece) or merged(piece))
+    for text in ("one two three two", "one four"):
+        got = table.encode([text])[0]
+        assert np.frombuffer(got, table.kind).tolist() == [*library.encode(text, add_special_tokens=False).ids, 0]
+    assert asked == ["one", " two", " three", " four"]
+    assert set(table) == {"one", " four"} and set(table.older) == {" hello", "one", " two", " three"}
+
+
 def check_pieces(rows, got, library):
     ids = {}
     for d, text in rows:
