@@ -16,11 +16,12 @@ broadcasts the upper tree (65,793 rows of 3 * 256 single-precision values at mos
 keys' log probabilities.
 
 The base score needs the count of each word in the corpus, which has no such bound either: a block's distinct words travel with
-its keys. Its texts are written once, compressed, beside both, and meet the answers by block.
+its keys. Its texts are written once, compressed, beside both, and all three meet the answers by block.
 """
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,8 @@ DEPTH = 7
 #: Depth of the contexts that a bucket has whole, and the bits of a bucket's number.
 BUCKET_DEPTH = 3
 BUCKET_BITS = 12
+#: Bits of a bucket's number that differ between words.
+WORD_BITS = 10
 #: Keys that a task takes up before it folds them, at least; a bucket is never split.
 GROUP_KEYS = 1 << 21
 #: A block here has the text of so many blocks of other operators: the longer it is, the fewer keys travel.
@@ -62,18 +65,21 @@ def context_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n, rows = len(buffer), len(offsets) - 1
     if not rows:
         return np.zeros(0, np.uint64), offsets
-    # DEPTH end symbols, the row's bytes, one end symbol: the first only serve as context
-    begin = offsets[:-1] + (DEPTH + 1) * np.arange(rows)
-    scored = np.ones(n + (DEPTH + 1) * rows, dtype=bool)
-    for i in range(DEPTH):
-        scored[begin + i] = False
-    inside = scored.copy()
-    inside[np.append(begin[1:], len(scored)) - 1] = False
-    padded = np.full(len(scored), END, dtype=np.uint8)
-    padded[inside] = _LOWER[buffer]
+    # end symbols that only serve as context, then each row's bytes and its end symbol
+    begin = offsets + np.arange(rows + 1)
+    inside = np.ones(n + rows, dtype=bool)
+    inside[begin[1:] - 1] = False
+    padded = np.full(DEPTH + n + rows, END, dtype=np.uint8)
+    padded[DEPTH:][inside] = _LOWER[buffer]
     # eight bytes read as a little-endian number have the last byte on top; turned around it is the lowest
-    read = np.ndarray(len(padded) - DEPTH, "<u8", padded, strides=(1,)).copy()
-    return (read << np.uint64(8) | read >> np.uint64(8 * DEPTH))[scored[DEPTH:]], offsets + np.arange(rows + 1)
+    read = np.ndarray(n + rows, "<u8", padded, strides=(1,))
+    keys = read << np.uint64(8)
+    keys |= read >> np.uint64(8 * DEPTH)
+    # what lies before a row is not its context: end symbols, all bits set, take that place
+    size = np.diff(begin)
+    for i in range(min(DEPTH, int(size.max()))):
+        keys[begin[:-1][size > i] + i] |= np.uint64((1 << 8 * (DEPTH - i)) - 1 << 8)
+    return keys, begin
 
 
 def _changes(values: np.ndarray) -> np.ndarray:
@@ -87,7 +93,18 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values and their numbers; the array given gets sorted."""
     values.sort()
     first = np.flatnonzero(_changes(values))
-    return values[first], np.diff(np.append(first, len(values)))
+    distinct = values[first]
+    first[:-1] = first[1:] - first[:-1]
+    first[-1:] = len(values) - first[:-1].sum()
+    return distinct, first
+
+
+def _with_others(met: np.ndarray, times: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and their numbers with other such values, whose numbers are 0 unless they are among the first."""
+    at = np.searchsorted(met, others)
+    new = np.ones(len(others), bool)
+    new[at < len(met)] = met[at[at < len(met)]] != others[at < len(met)]
+    return np.insert(met, at[new], others[new]), np.insert(times, at[new], 0)
 
 
 def _summed(values: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,15 +122,19 @@ def _bucket(keys: np.ndarray) -> np.ndarray:
 
 
 def _word_bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16)
+    """Words take every fourth bucket: they are fewer than keys."""
+    return (h >> np.uint64(64 - WORD_BITS)).astype(np.uint16) << np.uint16(BUCKET_BITS - WORD_BITS)
+
+
+_ZSTD, _SIZES, _NOTHING = pa.Codec("zstd"), struct.Struct("<QQ"), np.zeros(0, np.uint8)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
     """Arrays, each compressed by itself, behind their bytes' numbers before and after."""
     out = []
     for array in arrays:
-        packed = pa.compress(array.tobytes(), codec="zstd", asbytes=True) if len(array) else b""
-        out += [np.array([array.nbytes, len(packed)], "<u8").tobytes(), packed]
+        packed = _ZSTD.compress(array.tobytes(), asbytes=True) if array.size else b""
+        out += [_SIZES.pack(array.nbytes, len(packed)), packed]
     return b"".join(out)
 
 
@@ -121,9 +142,9 @@ def _unpacked(raw: bytes) -> list[np.ndarray]:
     """The bytes of what ``_packed`` was given."""
     out, at = [], 0
     while at < len(raw):
-        size, packed = np.frombuffer(raw, "<u8", 2, at).tolist()
-        at += 16
-        out.append(np.frombuffer(pa.decompress(raw[at : at + packed], size, codec="zstd") if size else b"", np.uint8))
+        size, packed = _SIZES.unpack_from(raw, at)
+        at += _SIZES.size
+        out.append(np.frombuffer(_ZSTD.decompress(raw[at : at + packed], size), np.uint8) if size else _NOTHING)
         at += packed
     return out
 
@@ -153,6 +174,10 @@ def _whole(small: np.ndarray, large: np.ndarray) -> np.ndarray:
 _EIGHT = np.arange(8, dtype=np.uint8)
 
 
+#: A key's count and the number of bytes it shares with the key before are one byte; counts from here on are told apart.
+MANY = 31
+
+
 def _key_cells(keys: np.ndarray, n: np.ndarray, cuts: np.ndarray) -> list[bytes]:
     """Keys and counts from cut to cut, each part sorted: of a key the bytes that differ from the key before, from the first such on."""
     differ = keys.copy()
@@ -161,38 +186,41 @@ def _key_cells(keys: np.ndarray, n: np.ndarray, cuts: np.ndarray) -> list[bytes]
     for i in range(1, 8):
         shared += differ < np.uint64(1 << (64 - 8 * i))
     shared[cuts[:-1]] = 0
+    del differ
     spelt = keys.astype(">u8").view(np.uint8).reshape(-1, 8)[_EIGHT >= shared[:, None]]
     at = np.concatenate([[0], np.cumsum(8 - shared.astype(np.int64))])[cuts].tolist()
+    both = shared | np.minimum(n, MANY).astype(np.uint8) << np.uint8(3)
+    many = np.flatnonzero(n >= MANY)
+    large, many = n[many].astype("<i8"), np.searchsorted(many, cuts).tolist()
     cuts, out = cuts.tolist(), []
-    for a, b, low, high in zip(cuts, cuts[1:], at, at[1:]):  # noqa: B905
-        small, large = _small(n[a:b])
-        out.append(_packed(shared[a:b], small, spelt[low:high], large))
+    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):  # noqa: B905
+        out.append(_packed(both[a:b], large[many[i] : many[i + 1]], spelt[at[i] : at[i + 1]]))
     return out
 
 
 def _cell_keys(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All keys and counts of the cells, in order."""
-    every, spelt, times = [np.zeros(0, np.uint8)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
-    for raw in cells:
-        shared, small, others, large = _unpacked(raw)
-        every.append(shared)
-        spelt.append(others)
-        times.append(_whole(small, large))
-    shared = np.concatenate(every)
+    both, large, spelt = (np.concatenate([_NOTHING, *parts]) for parts in list(zip(*map(_unpacked, cells), strict=True)) or [()] * 3)
+    n = (both >> np.uint8(3)).astype(np.int64)
+    n[n == MANY] = large.view("<i8")
+    shared = both & np.uint8(7)
     table = np.zeros((len(shared), 8), np.uint8)
-    table[_EIGHT >= shared[:, None]] = np.concatenate(spelt)
+    table[_EIGHT >= shared[:, None]] = spelt
     for i in range(7):
         # a byte holds until it is spelt out again
         told = np.flatnonzero(shared <= i)
         table[:, i] = np.repeat(table[told, i], np.diff(np.append(told, len(shared))))
-    return table.view(">u8").reshape(-1).astype(np.uint64), np.concatenate(times)
+    return table.view(">u8").reshape(-1).astype(np.uint64), n
 
 
 def _word_cells(h: np.ndarray, n: np.ndarray, cuts: np.ndarray) -> list[bytes]:
     """Sorted words and counts from cut to cut."""
+    steps = h.copy()
+    steps[1:] -= h[:-1]
+    steps[cuts[:-1]] = h[cuts[:-1]]
     cuts, out = cuts.tolist(), []
     for a, b in zip(cuts, cuts[1:]):  # noqa: B905
-        out.append(_packed(_planes(np.diff(h[a:b], prepend=np.uint64(0))), *_small(n[a:b])))
+        out.append(_packed(_planes(steps[a:b]), *_small(n[a:b])))
     return out
 
 
@@ -207,41 +235,45 @@ def _cuts(bucket: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(_changes(bucket)), len(bucket))
 
 
+def _apart(part: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
+    """A part's training texts and its others."""
+    held = part.column("held_out")
+    return part.column("text").filter(pc.invert(held)), part.column("text").filter(held)
+
+
 def _block_keys(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's distinct keys by bucket, there sorted, how often they occur in its training texts, and where buckets begin."""
     # all training keys from the front, all others from the back: the one large array is sorted in place
     every = np.empty(sum(len(bytes_of(p.column("text"))[0]) + p.num_rows for p in parts), np.uint64)
     front, back = 0, len(every)
     for part in parts:
-        keys, begin = context_keys(part.column("text"))
-        held = np.repeat(part.column("held_out").to_numpy(zero_copy_only=False), np.diff(begin))
-        own = keys[held]
+        training, others = _apart(part)
+        own, _ = context_keys(others)
         every[back - len(own) : back] = own
         back -= len(own)
-        own = keys[~held]
+        own, _ = context_keys(training)
         every[front : front + len(own)] = own
         front += len(own)
     met, times = _distinct(every[:front])
     others, _ = _distinct(every[front:])
     del every
-    keys, _ = _distinct(np.concatenate([met, others]))
-    n = np.zeros(len(keys), np.int64)
-    n[np.searchsorted(keys, met)] = times
-    bucket = _bucket(keys)
+    keys, n = _with_others(met, times, others)
+    del met, times, others
+    # keys of a bucket lie in runs with the same last bytes of the context
+    first = np.flatnonzero(_changes(keys >> np.uint64(64 - 8 * BUCKET_DEPTH)))
+    bucket = _bucket(keys[first])
     order = np.argsort(bucket, kind="stable")
-    return keys[order], n[order], _cuts(bucket[order])
+    size, bucket = np.diff(np.append(first, len(keys)))[order], bucket[order]
+    at = np.concatenate([[0], np.cumsum(size)])
+    place = np.repeat(first[order] - at[:-1], size) + np.arange(len(keys))
+    return keys[place], n[place], at[_cuts(bucket)]
 
 
 def _block_words(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A block's distinct words, sorted, how often they occur in its training texts, and where buckets begin."""
-    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-    for part in parts:
-        w = words(part.column("text"), lower=True)
-        training = ~part.column("held_out").to_numpy(zero_copy_only=False)
-        h, at = np.unique(w.hash, return_inverse=True)
-        hashes.append(h)
-        counts.append(np.bincount(at, weights=training[w.row_of()], minlength=len(h)).astype(np.int64))
-    h, n, _ = _summed(np.concatenate(hashes), np.concatenate(counts))
+    hashes = [[words(texts, lower=True).hash for texts in _apart(part)] for part in parts]
+    training, others = map(np.concatenate, zip(*hashes, strict=True))
+    h, n = _with_others(*_distinct(training), _distinct(others)[0])
     return h, n, _cuts(_word_bucket(h))
 
 
@@ -561,25 +593,29 @@ def train(keys: np.ndarray, n: np.ndarray) -> Model:
     return Model(table.astype(np.float32), upper.row)
 
 
-#: An odd number: keys multiplied by it are spread evenly, and still differ.
-_SPREAD, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-#: Keys taken up before they are made distinct.
-PENDING_KEYS = 1 << 22
+#: An odd number: keys multiplied by it, or by its powers, are spread evenly, and still differ.
+_SPREAD = 0x9E3779B97F4A7C15
+#: Rows whose keys are sorted together, at most; a key's lowest bits give way to the row's number.
+SORTED_ROWS = 1 << 14
+#: Keys that are sorted together; a part's are never apart.
+SORTED_KEYS = 1 << 22
+#: Cells that are decoded at once where only their keys are wanted.
+CELLS = 256
+#: Sorted keys that are looked up at once.
+SLICE_KEYS = 1 << 20
 
 
-def _occurrences(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A part's keys, multiplied, in runs of equal ones: the run's key, and by occurrence its row and, as bits, whether a run begins."""
-    keys, begin = context_keys(part.column("text"))
-    keys *= _SPREAD
-    row = np.repeat(np.arange(part.num_rows, dtype=np.uint16 if part.num_rows <= 1 << 16 else np.uint32), np.diff(begin))
-    # sorted by their leading bits, with the place in the others: one key may come in several runs
-    bits = np.uint64(len(keys).bit_length())
-    places = keys >> bits << bits | np.arange(len(keys), dtype=np.uint64)
-    places.sort()
-    places &= (np.uint64(1) << bits) - np.uint64(1)
-    keys = keys[places.astype(np.int64)]
-    new = _changes(keys)
-    return keys[new], row[places.astype(np.int64)], np.packbits(new)
+def _spread(keys: np.ndarray, value: np.ndarray, bits: np.uint64) -> tuple[np.uint64, np.ndarray, np.ndarray]:
+    """A number that spreads distinct keys so that they differ without their lowest bits; so cut they are sorted, with their values."""
+    by = 1
+    while True:
+        by = by * _SPREAD % (1 << 64)
+        cut = keys * np.uint64(by)
+        order = np.argsort(cut)
+        cut = cut[order]
+        cut >>= bits
+        if _changes(cut).all():
+            return np.uint64(by), cut, value[order]
 
 
 class _Found:
@@ -601,40 +637,62 @@ class _Found:
         return at
 
 
-def _model_scores(parts: list[pa.RecordBatch], answers: list[np.ndarray]) -> list[np.ndarray]:
-    """Of each part the sums of its texts' log10 probabilities; the answers are those to the block's ``_block_keys``."""
-    met, pending, seen = [], 0, []
+def _row_sums(parts: list[pa.RecordBatch], by: np.uint64, bits: np.uint64, cut: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """By row the sum of its keys' values; ``by``, ``cut`` and ``value`` are those of ``_spread``."""
+    every = np.empty(sum(len(bytes_of(p.column("text"))[0]) + p.num_rows for p in parts), np.uint64)
+    at, rows = 0, 0
     for part in parts:
-        seen.append(_occurrences(part))
-        met.append(seen[-1][0])
-        pending += len(met[-1])
-        if pending > PENDING_KEYS:
-            met, pending = [_distinct(np.concatenate(met))[0]], 0
-    met = _distinct(np.concatenate([np.zeros(0, np.uint64), *met]))[0]
-    keys = met * _BACK
-    order = np.argsort(keys)
-    order = order[np.argsort(_bucket(keys[order]), kind="stable")]
-    value = np.zeros(len(met), np.float32)
-    value[order] = np.concatenate([np.zeros(0, np.float32), *answers])
-    del keys, order
-    found, out = _Found(met), []
-    for part, (runs, row, new) in zip(parts, seen, strict=True):
-        times = np.diff(np.append(np.flatnonzero(np.unpackbits(new, count=len(row))), len(row)))
-        out.append(np.bincount(row, weights=np.repeat(value[found(runs)].astype(np.float64), times), minlength=part.num_rows))
+        keys, begin = context_keys(part.column("text"))
+        keys *= by
+        keys >>= bits
+        keys <<= bits
+        keys |= np.repeat(np.arange(rows, rows + part.num_rows, dtype=np.uint64), np.diff(begin))
+        every[at : at + len(keys)] = keys
+        at, rows = at + len(keys), rows + part.num_rows
+    every.sort()
+    out, low = np.zeros(rows), (np.uint64(1) << bits) - np.uint64(1)
+    for at in range(0, len(every), SLICE_KEYS):
+        own = every[at : at + SLICE_KEYS]
+        keys = own >> bits
+        first = np.flatnonzero(_changes(keys))
+        met, times = keys[first], np.diff(np.append(first, len(keys)))
+        begin, end = np.searchsorted(cut, met[0]), np.searchsorted(cut, met[-1]) + 1
+        found = value[begin:end].astype(np.float64)
+        if len(met) < len(found):
+            found = found[np.searchsorted(cut[begin:end], met)]
+        out += np.bincount((own & low).astype(np.int64), weights=np.repeat(found, times), minlength=rows)
     return out
 
 
-def _block_scores(parts: list[pa.RecordBatch], answers: list[np.ndarray], counts: list[np.ndarray], totals: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
-    """Base and model scores of a block's texts, from the buckets' answers; the totals are of words met in training, all and
+def _model_scores(parts: list[pa.RecordBatch], keys: np.ndarray, value: np.ndarray) -> Iterator[np.ndarray]:
+    """Of each part the sums of its texts' log10 probabilities, from those of the block's distinct keys."""
+    runs, rows, size = [], [], 0
+    for part in parts:
+        own = len(bytes_of(part.column("text"))[0]) + part.num_rows
+        if not runs or rows[-1] + part.num_rows > SORTED_ROWS or size + own > SORTED_KEYS:
+            runs.append([])
+            rows.append(0)
+            size = 0
+        runs[-1].append(part)
+        rows[-1] += part.num_rows
+        size += own
+    bits = np.uint64((max(rows, default=1) - 1).bit_length())
+    by, cut, value = _spread(keys, value, bits)
+    del keys
+    for run in runs:
+        sums = _row_sums(run, by, bits, cut, value)
+        yield from np.split(sums, np.cumsum([p.num_rows for p in run])[:-1])
+
+
+def _block_scores(parts: list[pa.RecordBatch], scores: list[np.ndarray], h: np.ndarray, n: np.ndarray, totals: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+    """Base and model scores of a block's texts, from its words and their numbers; the totals are of words met in training, all and
     distinct, and of texts in training."""
     tokens, distinct, end = totals
     train_tokens = tokens + end
     below = float(train_tokens + distinct + (end > 0) + 1)
-    scores = _model_scores(parts, answers)
-    found = [words(p.column("text"), lower=True) for p in parts]
-    h = np.unique(np.concatenate([np.zeros(0, np.uint64), *(np.unique(w.hash) for w in found)]))
-    n, place = np.concatenate([np.zeros(0, np.int64), *counts]), _Found(h)
-    for part, w, score in zip(parts, found, scores, strict=True):
+    place = _Found(h)
+    for part, score in zip(parts, scores, strict=True):
+        w = words(part.column("text"), lower=True)
         c = n[place(w.hash)] if len(w.hash) else np.zeros(0, np.int64)
         met = np.concatenate([[0], np.cumsum(c > 0)])
         first = w.first
@@ -649,13 +707,25 @@ def _block_scores(parts: list[pa.RecordBatch], answers: list[np.ndarray], counts
         yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
 
 
-def _scored(texts: pa.Table, answers: pa.Table, totals: tuple[int, int, int]) -> pa.Table:
-    """Scores of a block's texts."""
+def _scored(asked: pa.Table, answers: pa.Table, totals: tuple[int, int, int]) -> pa.Table:
+    """Scores of a block's texts, from what the block asked and the answers to it."""
+    give_back()
+
+    def cells(rows: pa.Table, kind: int) -> list[bytes]:
+        return rows.filter(pc.field("kind") == kind).sort_by("bucket").column("raw").to_pylist()
+
+    parts = [pa.ipc.open_stream(raw).read_next_batch() for raw in cells(asked, TEXTS)]
+    told = cells(asked, KEYS)
+    keys = np.concatenate([np.zeros(0, np.uint64), *(_cell_keys(told[i : i + CELLS])[0] for i in range(0, len(told), CELLS))])
+    del told
+    value = np.concatenate([np.zeros(0, np.float32), *(_joined(*_unpacked(raw), "<f4") for raw in cells(answers, KEYS))])
+    scores = list(_model_scores(parts, keys, value))
+    del keys, value
+    h = np.concatenate([np.zeros(0, np.uint64), *(_cell_words(raw)[0] for raw in cells(asked, WORDS))])
+    n = np.concatenate([np.zeros(0, np.int64), *(_whole(*_unpacked(raw)) for raw in cells(answers, WORDS))])
+    out = pa.Table.from_batches(list(_block_scores(parts, scores, h, n, totals)))
     give_back()
-    parts = [pa.ipc.open_stream(raw).read_next_batch() for raw in texts.sort_by("bucket").column("raw").to_pylist()]
-    told = {kind: [_unpacked(raw) for raw in answers.filter(pc.field("kind") == kind).sort_by("bucket").column("raw").to_pylist()] for kind in (KEYS, WORDS)}
-    values, counts = [_joined(planes, "<f4") for (planes,) in told[KEYS]], [_whole(*n) for n in told[WORDS]]
-    return pa.Table.from_batches(list(_block_scores(parts, values, counts, totals)))
+    return out
 
 
 _SCHEMA = (
@@ -692,4 +762,4 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     totals = (int(n[key == TOKENS].sum()), int(n[key == DISTINCT].sum()), ends)
 
     answers = by_bucket.mapInArrow(lambda batches: _answers(batches, upper.value), _ROWS)
-    return texts.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(lambda own, told: _scored(own, told, totals), _SCHEMA)
+    return asked.groupBy("_block").cogroup(answers.groupBy("_block")).applyInArrow(lambda own, told: _scored(own, told, totals), _SCHEMA)
